@@ -24,6 +24,12 @@ def na_to_empty(col: Column) -> Column:
     return F.when(col.isNull() | col.isin(*NA_TOKENS), F.lit("")).otherwise(col)
 
 
+def na_to_empty_sql(name: str) -> str:
+    """:func:`na_to_empty` of a named column as SQL text."""
+    tokens = ", ".join(f"'{t}'" for t in NA_TOKENS)
+    return f"CASE WHEN `{name}` IS NULL OR `{name}` IN ({tokens}) THEN '' ELSE `{name}` END"
+
+
 def normalize_text(col: Column, drop_none: bool = False) -> Column:
     """Lower-case, collapse blanks, turn ``_`` and ``-`` into blanks, trim; null gives ``""``.
 

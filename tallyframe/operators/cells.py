@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,6 @@ from tallyframe.functions.labels import (
     REPLICATED_ONLY_VALUE,
     presence,
 )
-from tallyframe.functions.text import is_blank
 from tallyframe.operators.equality import multiset_counts
 from tallyframe.operators.keys import known_keys
 from tallyframe.operators.ranking import sample_per_group
@@ -84,42 +84,47 @@ def _pair_unique(primary, replicated, keys, row, ts_col) -> DataFrame:
     )
 
 
+# SQL texts, so that one call builds a whole expression.
+_BOTH = "(keyed AND p_rows > 0 AND r_rows > 0)"
+_ONLY_P = "(keyed AND p_rows > 0 AND r_rows = 0)"
+_ONLY_R = "(keyed AND p_rows = 0 AND r_rows > 0)"
+
+
 def in_both() -> Column:
     """The key of a paired row is on both sides."""
-    return F.col("keyed") & (F.col("p_rows") > 0) & (F.col("r_rows") > 0)
+    return F.expr(_BOTH)
 
 
 def only_primary() -> Column:
-    return F.col("keyed") & (F.col("p_rows") > 0) & (F.col("r_rows") == 0)
+    return F.expr(_ONLY_P)
 
 
 def only_replicated() -> Column:
-    return F.col("keyed") & (F.col("p_rows") == 0) & (F.col("r_rows") > 0)
+    return F.expr(_ONLY_R)
 
 
-def _cell(col: str, normalize: Normalizer | None, null_is_empty: bool) -> tuple[Column, Column, Column]:
-    """(differs, primary is blank, replicated is blank) for one compared column."""
-    left, right = F.col(f"p.`{col}`"), F.col(f"r.`{col}`")
-    raw_left, raw_right = left, right
+def cell_differs(col: str, normalize: Normalizer | None = None, null_is_empty: bool = False) -> Column:
+    """Whether the cells of one column differ in a paired row (null equals null)."""
+    left, right = f"p.`{col}`", f"r.`{col}`"
     if null_is_empty:
-        raw_left = F.coalesce(left.cast("string"), F.lit(""))
-        raw_right = F.coalesce(right.cast("string"), F.lit(""))
-    differs = ~raw_left.eqNullSafe(raw_right)
+        raw = f"coalesce(string({left}), '') <> coalesce(string({right}), '')"
+    else:
+        raw = f"NOT ({left} <=> {right})"
     if normalize is None:
-        return differs, is_blank(left), is_blank(right)
+        return F.expr(raw)
     # Equal cells are equal normalised, so the patterns only run on cells that differ.
-    norm_left, norm_right = normalize(left), normalize(right)
-    return differs & (norm_left != norm_right), norm_left == "", norm_right == ""
+    return F.expr(raw) & (normalize(F.col(left)) != normalize(F.col(right)))
 
 
 def cell_class(col: str, normalize: Normalizer | None = None, null_is_empty: bool = False) -> Column:
     """How the cells of one column differ in a paired row; null if they do not."""
-    differs, left_blank, right_blank = _cell(col, normalize, null_is_empty)
+    if normalize is None:
+        left, right = (F.expr(f"coalesce(string({s}.`{col}`), '') = ''") for s in "pr")
+    else:
+        left, right = (normalize(F.col(f"{s}.`{col}`")) == "" for s in "pr")
     return F.when(
-        differs,
-        F.when(~left_blank & right_blank, PRIMARY_ONLY_VALUE)
-        .when(left_blank & ~right_blank, REPLICATED_ONLY_VALUE)
-        .otherwise(BOTH_DIFFER),
+        cell_differs(col, normalize, null_is_empty),
+        F.when(~left & right, PRIMARY_ONLY_VALUE).when(left & ~right, REPLICATED_ONLY_VALUE).otherwise(BOTH_DIFFER),
     )
 
 
@@ -136,26 +141,23 @@ def cell_diffs(
     """
     if not cols:
         raise ValueError("no columns to compare")
-    any_differs = None
-    for c in cols:
-        differs = _cell(c, normalize, null_is_empty)[0]
-        any_differs = differs if any_differs is None else any_differs | differs
+    any_differs = reduce(lambda a, b: a | b, [cell_differs(c, normalize, null_is_empty) for c in cols])
     cells = F.array(
         *[
             F.struct(
-                F.lit(c).alias("column"),
-                F.col(f"p.`{c}`").cast("string").alias("primary_value"),
-                F.col(f"r.`{c}`").cast("string").alias("replicated_value"),
+                F.expr(f"'{c}' AS column"),
+                F.expr(f"string(p.`{c}`) AS primary_value"),
+                F.expr(f"string(r.`{c}`) AS replicated_value"),
                 cell_class(c, normalize, null_is_empty).alias("diff_class"),
             )
             for c in cols
         ]
     )
     return (
-        paired.where(in_both())
+        paired.where(_BOTH)
         .where(any_differs)
         .select(*keys, F.inline(cells))
-        .where(F.col("diff_class").isNotNull())
+        .where("diff_class IS NOT NULL")
     )
 
 
@@ -175,62 +177,54 @@ def keyed_stats(
     classes = [
         F.when(in_both(), cell_class(c, normalize, null_is_empty)).alias(n) for c, n in zip(cols, names)
     ]
-    narrow = ["p_rows", "r_rows", "unequal", "keyed"] + [t for t in ("p_min_ts", "r_min_ts") if t in paired.columns]
-    rows = paired.select(*by, *narrow, *classes)
-
-    any_differs = F.lit(False)
-    for n in names:
-        any_differs = any_differs | F.col(n).isNotNull()
-    aggregates = [
-        F.coalesce(F.sum("p_rows"), F.lit(0)).alias("primary_rows"),
-        F.coalesce(F.sum("r_rows"), F.lit(0)).alias("replicated_rows"),
-        F.count_if(only_primary()).alias("n_primary_only"),
-        F.count_if(only_replicated()).alias("n_replicated_only"),
-        F.count_if(in_both()).alias("n_common"),
-        F.count_if(any_differs).alias("n_records_with_diffs"),
-        F.count_if(F.col("keyed") & (F.col("p_rows") > 1)).alias("n_duplicate_primary"),
-        F.count_if(F.col("keyed") & (F.col("r_rows") > 1)).alias("n_duplicate_replicated"),
-        F.count_if(F.col("unequal")).alias("n_unequal"),
-    ]
-    if "p_min_ts" in paired.columns:
-        aggregates += [
-            F.min("p_min_ts").alias("primary_min_ts"),
-            F.min(F.when(only_replicated(), F.col("r_min_ts"))).alias("extra_min_ts"),
-        ]
-    for n in names:
-        for suffix, label in (
-            ("p", PRIMARY_ONLY_VALUE),
-            ("r", REPLICATED_ONLY_VALUE),
-            ("b", BOTH_DIFFER),
-        ):
-            aggregates.append(F.count_if(F.col(n) == label).alias(n + suffix))
-    totals = per_group(rows, by, *aggregates)
-    plain = [c for c in totals.columns if not any(c in (n + "p", n + "r", n + "b") for n in names)]
-    stats = [
-        F.struct(
-            F.lit(c).alias("column"),
-            (F.col(n + "p") + F.col(n + "r") + F.col(n + "b")).alias("n_records"),
-            F.col(n + "p").alias("n_primary_only_value"),
-            F.col(n + "r").alias("n_replicated_only_value"),
-            F.col(n + "b").alias("n_both_differ"),
-        )
+    has_ts = "p_min_ts" in paired.columns
+    rows = paired.select(
+        *by, "p_rows", "r_rows", "unequal", "keyed", *(["p_min_ts", "r_min_ts"] if has_ts else []), *classes
+    )
+    any_differs = " OR ".join(f"{n} IS NOT NULL" for n in names) or "false"
+    totals = {
+        "primary_rows": "coalesce(sum(p_rows), 0)",
+        "replicated_rows": "coalesce(sum(r_rows), 0)",
+        "n_primary_only": f"count_if({_ONLY_P})",
+        "n_replicated_only": f"count_if({_ONLY_R})",
+        "n_common": f"count_if({_BOTH})",
+        "n_records_with_diffs": f"count_if({any_differs})",
+        "n_duplicate_primary": "count_if(keyed AND p_rows > 1)",
+        "n_duplicate_replicated": "count_if(keyed AND r_rows > 1)",
+        "n_unequal": "count_if(unequal)",
+    }
+    if has_ts:
+        totals["primary_min_ts"] = "min(p_min_ts)"
+        totals["extra_min_ts"] = f"min(CASE WHEN {_ONLY_R} THEN r_min_ts END)"
+    per_class = {
+        f"{n}{suffix}": f"count_if({n} = '{label}')"
+        for n in names
+        for suffix, label in (("p", PRIMARY_ONLY_VALUE), ("r", REPLICATED_ONLY_VALUE), ("b", BOTH_DIFFER))
+    }
+    counted = per_group(rows, by, *[F.expr(f"{e} AS {n}") for n, e in {**totals, **per_class}.items()])
+    stats = ", ".join(
+        f"named_struct('column', '{c}', 'n_records', {n}p + {n}r + {n}b, 'n_primary_only_value', {n}p,"
+        f" 'n_replicated_only_value', {n}r, 'n_both_differ', {n}b)"
         for c, n in zip(cols, names)
-    ]
-    empty = F.expr(
-        "CAST(array() AS ARRAY<STRUCT<column: STRING, n_records: BIGINT, n_primary_only_value: BIGINT,"
-        " n_replicated_only_value: BIGINT, n_both_differ: BIGINT>>)"
     )
-    return totals.select(*plain, (F.array(*stats) if stats else empty).alias("column_stats"))
+    kind = (
+        "ARRAY<STRUCT<column: STRING, n_records: BIGINT, n_primary_only_value: BIGINT,"
+        " n_replicated_only_value: BIGINT, n_both_differ: BIGINT>>"
+    )
+    return counted.select(*by, *totals, F.expr(f"CAST(array({stats}) AS {kind}) AS column_stats"))
 
 
 def column_diffs(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per column that differs somewhere, from :func:`keyed_stats`."""
-    return stats.select(*by, F.inline("column_stats")).where(F.col("n_records") > 0)
+    return stats.select(*by, F.inline("column_stats")).where("n_records > 0")
+
+
+OLD_DATA = "coalesce(extra_min_ts < primary_min_ts, false)"
 
 
 def old_data(stats: DataFrame) -> Column:
     """Rows only in the replicated side start before the primary's time range."""
-    return F.coalesce(F.col("extra_min_ts") < F.col("primary_min_ts"), F.lit(False))
+    return F.expr(OLD_DATA)
 
 
 def pair_presence(paired: DataFrame, keys: Sequence[str]) -> DataFrame:

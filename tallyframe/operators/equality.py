@@ -106,21 +106,17 @@ def distinct_merge_summary(counts: DataFrame, by: Sequence[str] = ()) -> DataFra
     ``n_matching_with_diffs`` estimates changed rows as ``min(rows) - rows in both``; it is 0
     where nothing is in both.
     """
-    left, right = F.col("primary_count") > 0, F.col("replicated_count") > 0
-    totals = per_group(
-        counts,
-        by,
-        F.coalesce(F.sum("primary_count"), F.lit(0)).alias("primary_rows"),
-        F.coalesce(F.sum("replicated_count"), F.lit(0)).alias("replicated_rows"),
-        F.count_if(left & ~right).alias("n_primary_only"),
-        F.count_if(~left & right).alias("n_replicated_only"),
-        F.count_if(left & right).alias("n_both"),
-        F.count_if(F.col("primary_count") != F.col("replicated_count")).alias("n_unbalanced"),
-    )
-    estimate = F.least("primary_rows", "replicated_rows") - F.col("n_both")
-    return totals.withColumn(
-        "n_matching_with_diffs",
-        F.when((F.col("n_both") > 0) & (estimate > 0), estimate).otherwise(0).cast("bigint"),
+    totals = {
+        "primary_rows": "coalesce(sum(primary_count), 0)",
+        "replicated_rows": "coalesce(sum(replicated_count), 0)",
+        "n_primary_only": "count_if(replicated_count = 0)",
+        "n_replicated_only": "count_if(primary_count = 0)",
+        "n_both": "count_if(primary_count > 0 AND replicated_count > 0)",
+        "n_unbalanced": "count_if(primary_count <> replicated_count)",
+    }
+    estimate = "least(primary_rows, replicated_rows) - n_both"
+    return per_group(counts, by, *[F.expr(f"{e} AS {n}") for n, e in totals.items()]).selectExpr(
+        *by, *totals, f"CASE WHEN n_both > 0 THEN greatest({estimate}, 0L) ELSE 0L END AS n_matching_with_diffs"
     )
 
 

@@ -14,7 +14,7 @@ def drop_ignored(df: DataFrame, ignored: Iterable[str], protected: Iterable[str]
     """Drop ignored columns (names match in any case) except the protected ones."""
     keep = {c.lower() for c in protected}
     gone = {c.lower() for c in ignored} - keep
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+    return df.select(*[c for c in df.columns if c.lower() not in gone])
 
 
 def compared_columns(

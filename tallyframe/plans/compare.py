@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import labels
-from tallyframe.functions.text import counted_message, join_messages
 from tallyframe.functions.values import try_number, try_time
 from tallyframe.operators import cells, equality, groups, keys, positional, schema
 from tallyframe.operators.ranking import sample_per_group
-from tallyframe.operators.tagged import where_group
+from tallyframe.operators.tagged import per_group, where_group
 from tallyframe.plans.rules import CompareRules, DatasetSpec, apply_rules, row_columns, spec_for
 
 # Texts of summaries.
@@ -31,73 +29,91 @@ RESULT_SCHEMA = (
 _RESULT_COLS = [part.split()[0] for part in RESULT_SCHEMA.split(",")]
 
 
-@dataclass
+FRAMES = (
+    "results",
+    "column_diffs",
+    "column_samples",
+    "key_presence",
+    "cell_diffs",
+    "record_samples",
+    "set_diffs",
+)
+
+
 class Diff:
-    """Difference frames of a comparison; each starts with the ``by`` columns and ``dataset``."""
+    """Difference frames of a comparison; each starts with the ``by`` columns and ``dataset``.
+
+    ``results`` has one row per group, the others hold the details; a frame that a comparison
+    does not have is None. Frames are given as DataFrames or as functions that build them when
+    first asked for.
+    """
 
-    results: DataFrame
-    column_diffs: DataFrame | None = None
-    column_samples: DataFrame | None = None
-    key_presence: DataFrame | None = None
-    cell_diffs: DataFrame | None = None
-    record_samples: DataFrame | None = None
-    set_diffs: DataFrame | None = None
+    def __init__(self, **frames: DataFrame | Callable[[], DataFrame] | None) -> None:
+        unknown = set(frames) - set(FRAMES)
+        if unknown:
+            raise TypeError(f"no such frames: {sorted(unknown)}")
+        self._frames = {n: f for n, f in frames.items() if f is not None}
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name not in FRAMES:
+            raise AttributeError(name)
+        frame = self._frames.get(name)
+        if callable(frame):
+            frame = self._frames[name] = frame()
+        return frame
+
+    def names(self) -> list[str]:
+        return [n for n in FRAMES if n in self._frames]
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
+        return {n: getattr(self, n) for n in self.names()}
 
 
-def _row_count_message() -> Column:
-    return F.when(
-        F.col("primary_rows") != F.col("replicated_rows"),
-        F.concat(
-            F.lit("Row count: Primary="),
-            F.col("primary_rows").cast("string"),
-            F.lit(", Replicated="),
-            F.col("replicated_rows").cast("string"),
-        ),
-    )
+# SQL texts of messages; a message is null where it does not apply.
+_ROW_COUNT = (
+    "CASE WHEN primary_rows <> replicated_rows"
+    " THEN concat('Row count: Primary=', primary_rows, ', Replicated=', replicated_rows) END"
+)
+_BOTH_SIDES = "(primary_rows > 0 AND replicated_rows > 0)"
+
+
+def _counted(label: str, count: str, where: str = "true") -> str:
+    return f"CASE WHEN {where} AND {count} > 0 THEN concat('{label}: ', {count}) END"
+
+
+def _sql_text(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def _result(df: DataFrame, by: Sequence[str], dataset: str, spec: DatasetSpec, columns: Sequence[str],
-            messages: Sequence[Column], same_columns: bool = True, **values: Column) -> DataFrame:
-    """Result rows: ``values`` name the counts that a mode knows; the others are 0."""
-    counts = {
-        c: values.get(c, F.col(c) if c in df.columns else F.lit(0)).cast("bigint")
-        for c in ("n_primary_only", "n_replicated_only", "n_records_with_diffs", "n_duplicate_keys")
-    }
-    match = values["match"] & F.lit(same_columns)
-    text = join_messages(_row_count_message(), *messages)
-    base = df.select(
-        *by,
-        F.lit(dataset).alias("dataset"),
-        F.lit(spec.kind).alias("kind"),
-        match.alias("match"),
-        F.col("primary_rows").cast("bigint").alias("primary_rows"),
-        F.col("replicated_rows").cast("bigint").alias("replicated_rows"),
-        *[c.alias(n) for n, c in counts.items()],
-        values.get("has_old_data", F.lit(False)).alias("has_old_data"),
-        F.lit(",".join(columns)).alias("columns_compared"),
-        text.alias("_text"),
+            messages: Sequence[str], match: str, same_columns: bool = True, **values: str) -> DataFrame:
+    """Result rows; ``values`` are SQL texts of the counts a mode knows, the others are 0."""
+
+    def count(name: str) -> str:
+        return f"CAST({values.get(name, name if name in df.columns else '0')} AS BIGINT) AS {name}"
+
+    base = df.selectExpr(
+        *[f"`{c}`" for c in by],
+        f"({match}) AND {str(same_columns).lower()} AS match",
+        "CAST(primary_rows AS BIGINT) AS primary_rows",
+        "CAST(replicated_rows AS BIGINT) AS replicated_rows",
+        *[count(c) for c in ("n_primary_only", "n_replicated_only", "n_records_with_diffs", "n_duplicate_keys")],
+        f"{values.get('has_old_data', 'false')} AS has_old_data",
+        f"concat_ws('; ', {', '.join([_ROW_COUNT, *messages])}) AS _text",
     )
-    found = F.col("_text") != ""
-    return base.select(
-        *by,
-        *[
-            {
-                "equivalent": (F.col("match") | ~found).alias("equivalent"),
-                "status": F.when(F.col("match"), labels.IDENTICAL).otherwise(labels.DIFFERENCES).alias("status"),
-                "difference_count": (
-                    F.col("n_primary_only") + F.col("n_replicated_only") + F.col("n_records_with_diffs")
-                ).alias("difference_count"),
-                "summary": F.when(F.col("match"), PERFECT_MATCH)
-                .when(~found, MATCH)
-                .otherwise(F.col("_text"))
-                .alias("summary"),
-                "error": F.lit(None).cast("string").alias("error"),
-            }.get(c, F.col(c))
-            for c in _RESULT_COLS
-        ],
+    derived = {
+        "dataset": _sql_text(dataset),
+        "kind": f"'{spec.kind}'",
+        "equivalent": "match OR _text = ''",
+        "status": f"CASE WHEN match THEN '{labels.IDENTICAL}' ELSE '{labels.DIFFERENCES}' END",
+        "difference_count": "n_primary_only + n_replicated_only + n_records_with_diffs",
+        "columns_compared": _sql_text(",".join(columns)),
+        "summary": f"CASE WHEN match THEN '{PERFECT_MATCH}' WHEN _text = '' THEN '{MATCH}' ELSE _text END",
+        "error": "CAST(NULL AS STRING)",
+    }
+    return base.selectExpr(
+        *[f"`{c}`" for c in by], *[f"{derived[c]} AS {c}" if c in derived else c for c in _RESULT_COLS]
     )
 
 
@@ -114,25 +130,27 @@ def _key_text(key_cols: Sequence[str], by: Sequence[str], key_cast: str | None =
     return F.concat_ws("|", *[text(k) for k in key_cols if k not in by])
 
 
-def _keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples) -> dict[str, DataFrame]:
+def _keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples) -> dict[str, Callable[[], DataFrame]]:
     """The detail frames of a keyed comparison."""
     name = F.lit(dataset).alias("dataset")
-    own = [k for k in key_cols if k not in by]
     key = _key_text(key_cols, by, spec.key_cast).alias("key")
+
+    def diffs() -> DataFrame:
+        return cells.cell_diffs(paired, key_cols, compared, spec.normalize, spec.null_is_empty)
+
     out = {
-        "key_presence": cells.pair_presence(paired, key_cols).select(*by, name, key, "presence"),
-        "record_samples": cells.one_sided_samples(paired, key_cols, n_samples, by).select(
+        "key_presence": lambda: cells.pair_presence(paired, key_cols).select(*by, name, key, "presence"),
+        "record_samples": lambda: cells.one_sided_samples(paired, key_cols, n_samples, by).select(
             *by, name, "presence", key, "record"
         ),
     }
     if compared:
-        diffs = cells.cell_diffs(paired, key_cols, compared, spec.normalize, spec.null_is_empty)
-        out["cell_diffs"] = diffs.select(
+        out["cell_diffs"] = lambda: diffs().select(
             *by, name, key, "column", "primary_value", "replicated_value", "diff_class"
         )
-        out["column_samples"] = sample_per_group(
-            diffs.select(*by, "column", *own), [*by, "column"], own, n_samples
-        ).select(*by, name, "column", key)
+        out["column_samples"] = lambda: cells.key_samples(diffs(), key_cols, n_samples, by).select(
+            *by, name, "column", key
+        )
     return out
 
 
@@ -156,27 +174,30 @@ def _compare_keyed(primary, replicated, cols, spec, dataset, by, n_samples) -> D
         primary, replicated, key_cols, row_cols, dedup="first", ts_col="_time" if ts else None
     )
     stats = cells.keyed_stats(paired, compared, by, spec.normalize, spec.null_is_empty)
-    duplicates = F.col("n_duplicate_primary") + F.col("n_duplicate_replicated")
-    match = F.col("n_unequal") == 0
-    values = {"match": match, "n_duplicate_keys": duplicates}
+    duplicates = "n_duplicate_primary + n_duplicate_replicated"
+    values = {"n_duplicate_keys": duplicates}
     messages = [
-        counted_message(f"{spec.record_noun} in primary but NOT in replicated", F.col("n_primary_only")),
-        counted_message(f"{spec.record_noun} in replicated but NOT in primary", F.col("n_replicated_only")),
-        counted_message(f"Matching {spec.matching_noun} with data differences", F.col("n_records_with_diffs")),
+        _counted(f"{spec.record_noun} in primary but NOT in replicated", "n_primary_only"),
+        _counted(f"{spec.record_noun} in replicated but NOT in primary", "n_replicated_only"),
+        _counted(f"Matching {spec.matching_noun} with data differences", "n_records_with_diffs"),
     ]
     if ts:
-        values["has_old_data"] = cells.old_data(stats)
-        messages.insert(2, F.when(cells.old_data(stats), OLD_DATA))
+        values["has_old_data"] = cells.OLD_DATA
+        messages.insert(2, f"CASE WHEN {cells.OLD_DATA} THEN {_sql_text(OLD_DATA)} END")
     if spec.dedup == "error":
-        messages.append(counted_message("Duplicate keys", duplicates))
+        messages.append(_counted("Duplicate keys", f"({duplicates})"))
     same = primary.columns == replicated.columns
     return Diff(
-        results=_result(stats, by, dataset, spec, cols, messages, same, **values),
-        column_diffs=cells.column_diffs(stats, by).select(*by, F.lit(dataset).alias("dataset"), *_COLUMN_STATS),
+        results=_result(stats, by, dataset, spec, cols, messages, "n_unequal = 0", same, **values),
+        column_diffs=lambda: _column_diffs(stats, by, dataset),
         **_keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples),
     )
 
 
+def _column_diffs(stats: DataFrame, by: Sequence[str], dataset: str) -> DataFrame:
+    return cells.column_diffs(stats, by).select(*by, F.lit(dataset).alias("dataset"), *_COLUMN_STATS)
+
+
 _COLUMN_STATS = ["column", "n_records", "n_primary_only_value", "n_replicated_only_value", "n_both_differ"]
 
 
@@ -224,24 +245,18 @@ def _compare_groups(primary, replicated, cols, spec, dataset, by, n_samples) ->
         totals = equal.withColumns(
             {c: totals.select(c).scalar() for c in ("n_missing", "n_unexpected", "n_groups")}
         )
-    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_missing", "n_unexpected", "n_groups")}
-    totals = totals.withColumns(zero)
+    n_missing, n_unexpected, n_groups = (
+        f"coalesce({c}, 0)" for c in ("n_missing", "n_unexpected", "n_groups")
+    )
     messages = [
-        counted_message("Missing actions in replicated", F.col("n_missing")),
-        counted_message("Unexpected actions in replicated", F.col("n_unexpected")),
-        counted_message("Row numbers with action mismatches", F.col("n_groups")),
+        _counted("Missing actions in replicated", n_missing),
+        _counted("Unexpected actions in replicated", n_unexpected),
+        _counted("Row numbers with action mismatches", n_groups),
     ]
     return Diff(
         results=_result(
-            totals,
-            by,
-            dataset,
-            spec,
-            cols,
-            messages,
-            match=F.col("match"),
-            n_primary_only=F.col("n_missing"),
-            n_replicated_only=F.col("n_unexpected"),
+            totals, by, dataset, spec, cols, messages, "match", n_primary_only=n_missing,
+            n_replicated_only=n_unexpected,
         ),
         set_diffs=set_diffs,
     )
@@ -285,123 +300,133 @@ def _compare_unique(primary, replicated, cols, spec, dataset, by, same_columns,
     compared = [c for c in row_cols if c not in spec.compare_exclude]
     paired = cells.pair_by_key(primary, replicated, key_cols, row_cols)
     stats = cells.keyed_stats(paired, compared, by, spec.normalize, spec.null_is_empty)
-    both = (F.col("primary_rows") > 0) & (F.col("replicated_rows") > 0)
     messages = [
-        F.when(both, counted_message("Records in primary but NOT in replicated", F.col("n_primary_only"))),
-        F.when(both, counted_message("Records in replicated but NOT in primary", F.col("n_replicated_only"))),
-        F.when(both, counted_message("Matching records with data differences", F.col("n_records_with_diffs"))),
+        _counted("Records in primary but NOT in replicated", "n_primary_only", _BOTH_SIDES),
+        _counted("Records in replicated but NOT in primary", "n_replicated_only", _BOTH_SIDES),
+        _counted("Matching records with data differences", "n_records_with_diffs", _BOTH_SIDES),
     ]
     return Diff(
-        results=_result(
-            stats, by, dataset, spec, cols, messages, same_columns, match=F.col("n_unequal") == 0
-        ),
-        column_diffs=cells.column_diffs(stats, by).select(*by, F.lit(dataset).alias("dataset"), *_COLUMN_STATS),
+        results=_result(stats, by, dataset, spec, cols, messages, "n_unequal = 0", same_columns),
+        column_diffs=lambda: _column_diffs(stats, by, dataset),
         **_keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples),
     )
 
 
 def _compare_rows(primary, replicated, cols, spec, dataset, by, same_columns, n_samples) -> Diff:
     """Whole rows: positional, distinct or multiset."""
-    name = F.lit(dataset).alias("dataset")
     row_cols = [c for c in cols if c not in by]
     counts = equality.multiset_counts(primary, replicated, [*by, *row_cols])
     totals = equality.distinct_merge_summary(counts, by)
-    match = F.col("n_unbalanced") == 0
-    equal_rows = F.col("primary_rows") == F.col("replicated_rows")
-    both = (F.col("primary_rows") > 0) & (F.col("replicated_rows") > 0)
-    record = F.to_json(F.struct(*row_cols)).alias("record")
-    surplus = F.col("primary_count") - F.col("replicated_count")
-
     if spec.full_row == "multiset":
-        more = counts.where(surplus != 0)
-        per = more.groupBy(*by) if by else more.groupBy()
-        over = per.agg(
-            F.coalesce(F.sum(F.when(surplus > 0, surplus)), F.lit(0)).alias("over_p"),
-            F.coalesce(F.sum(F.when(surplus < 0, -surplus)), F.lit(0)).alias("over_r"),
-        )
-        if by:
-            totals = totals.join(over, list(by), "left")
-        else:
-            totals = totals.withColumns({c: over.select(c).scalar() for c in ("over_p", "over_r")})
-        over_p, over_r = F.coalesce("over_p", F.lit(0)), F.coalesce("over_r", F.lit(0))
-        messages = [
-            counted_message("Records in primary but NOT in replicated", over_p),
-            counted_message("Records in replicated but NOT in primary", over_r),
-        ]
-        samples = more.select(
-            *by, labels.presence(surplus > 0, surplus < 0).alias("presence"), record
-        )
-        return Diff(
-            results=_result(totals, by, dataset, spec, cols, messages, same_columns, match=match,
-                            n_primary_only=over_p, n_replicated_only=over_r),
-            record_samples=sample_per_group(samples, [*by, "presence"], ["record"], n_samples).select(
-                *by, name, "presence", F.lit(None).cast("string").alias("key"), "record"
-            ),
-        )
+        return _multiset_rows(counts, totals, row_cols, cols, spec, dataset, by, same_columns, n_samples)
 
-    use_position = {"auto": equal_rows, "positional": F.lit(True), "distinct": F.lit(False)}[spec.full_row]
-    in_left, in_right = F.col("primary_count") > 0, F.col("replicated_count") > 0
-    samples = []
+    use_position = {"auto": "primary_rows = replicated_rows", "positional": "true", "distinct": "false"}[spec.full_row]
+    merged, placed = f"{_BOTH_SIDES} AND NOT ({use_position})", f"{_BOTH_SIDES} AND ({use_position})"
+    record = F.to_json(F.struct(*row_cols)).alias("record")
+    samples: list[Callable[[], DataFrame]] = []
     if spec.full_row != "positional":
-        one_sided = counts.where(in_left != in_right)
-        merged = where_group(one_sided, totals.withColumn("_use", ~use_position & both), by, "_use")
-        samples.append(merged.select(*by, labels.presence(in_left, in_right).alias("presence"), record))
+
+        def one_sided() -> DataFrame:
+            rows = where_group(
+                counts.where("(primary_count = 0) <> (replicated_count = 0)"),
+                totals.withColumn("_use", F.expr(merged)), by, "_use",
+            )
+            side = labels.presence(F.col("primary_count") > 0, F.col("replicated_count") > 0)
+            return rows.select(*by, side.alias("presence"), record)
+
+        samples.append(one_sided)
     if spec.full_row != "distinct":
-        shifted = where_group(counts, totals.withColumn("_use", use_position & both & ~match), by, "_use")
+        shifted = where_group(
+            counts, totals.withColumn("_use", F.expr(f"{placed} AND n_unbalanced > 0")), by, "_use"
+        )
         runs = positional.runs_of_counts(shifted, by)
         moved = positional.positional_summary(runs, by).select(*by, "n_different")
         if by:
             totals = totals.join(moved, list(by), "left")
         else:
             totals = totals.withColumn("n_different", moved.select("n_different").scalar())
-        pairs = positional.positional_samples(runs, n_samples, by)
-        for side, label in (("primary", labels.PRIMARY_ONLY), ("replicated", labels.REPLICATED_ONLY)):
-            samples.append(
-                pairs.where(F.col(side).isNotNull()).select(
-                    *by, F.lit(label).alias("presence"), F.to_json(side).alias("record")
-                )
+
+        def displaced() -> DataFrame:
+            pairs = positional.positional_samples(runs, n_samples, by)
+            return reduce(
+                DataFrame.unionByName,
+                [
+                    pairs.where(F.col(side).isNotNull()).select(
+                        *by, F.lit(label).alias("presence"), F.to_json(side).alias("record")
+                    )
+                    for side, label in (("primary", labels.PRIMARY_ONLY), ("replicated", labels.REPLICATED_ONLY))
+                ],
             )
+
+        samples.append(displaced)
     else:
         totals = totals.withColumn("n_different", F.lit(0))
-    totals = totals.withColumn("n_different", F.coalesce("n_different", F.lit(0)))
 
-    merged_counts = {
-        c: F.when(both & ~use_position, F.col(c)).otherwise(0)
+    only_p, only_r, changed = (
+        f"CASE WHEN {merged} THEN {c} ELSE 0 END"
         for c in ("n_primary_only", "n_replicated_only", "n_matching_with_diffs")
-    }
-    by_position = F.when(both & use_position, F.col("n_different")).otherwise(0)
+    )
+    moved_rows = f"CASE WHEN {placed} THEN coalesce(n_different, 0) ELSE 0 END"
     messages = [
-        counted_message("Rows with data differences", by_position),
-        counted_message("Records in primary but NOT in replicated", merged_counts["n_primary_only"]),
-        counted_message("Records in replicated but NOT in primary", merged_counts["n_replicated_only"]),
-        counted_message("Matching records with data differences", merged_counts["n_matching_with_diffs"]),
+        _counted("Rows with data differences", moved_rows),
+        _counted("Records in primary but NOT in replicated", only_p),
+        _counted("Records in replicated but NOT in primary", only_r),
+        _counted("Matching records with data differences", changed),
     ]
-    all_samples = reduce(DataFrame.unionByName, samples)
     return Diff(
         results=_result(
-            totals, by, dataset, spec, cols, messages, same_columns, match=match,
-            n_primary_only=merged_counts["n_primary_only"],
-            n_replicated_only=merged_counts["n_replicated_only"],
-            n_records_with_diffs=by_position + merged_counts["n_matching_with_diffs"],
+            totals, by, dataset, spec, cols, messages, "n_unbalanced = 0", same_columns,
+            n_primary_only=only_p, n_replicated_only=only_r, n_records_with_diffs=f"{moved_rows} + {changed}",
         ),
-        record_samples=sample_per_group(all_samples, [*by, "presence"], ["record"], n_samples).select(
-            *by, name, "presence", F.lit(None).cast("string").alias("key"), "record"
+        record_samples=lambda: _record_samples(
+            reduce(DataFrame.unionByName, [s() for s in samples]), dataset, by, n_samples
+        ),
+    )
+
+
+def _multiset_rows(counts, totals, row_cols, cols, spec, dataset, by, same_columns, n_samples) -> Diff:
+    surplus = counts.where("primary_count <> replicated_count").withColumn(
+        "_more", F.expr("primary_count - replicated_count")
+    )
+    over = per_group(
+        surplus, by, F.expr("sum(greatest(_more, 0L)) AS over_p"), F.expr("sum(greatest(-_more, 0L)) AS over_r")
+    )
+    if by:
+        totals = totals.join(over, list(by), "left")
+    else:
+        totals = totals.withColumns({c: over.select(c).scalar() for c in ("over_p", "over_r")})
+    over_p, over_r = "coalesce(over_p, 0)", "coalesce(over_r, 0)"
+    messages = [
+        _counted("Records in primary but NOT in replicated", over_p),
+        _counted("Records in replicated but NOT in primary", over_r),
+    ]
+    record = F.to_json(F.struct(*row_cols)).alias("record")
+    side = labels.presence(F.col("_more") > 0, F.col("_more") < 0).alias("presence")
+    return Diff(
+        results=_result(
+            totals, by, dataset, spec, cols, messages, "n_unbalanced = 0", same_columns,
+            n_primary_only=over_p, n_replicated_only=over_r,
         ),
+        record_samples=lambda: _record_samples(surplus.select(*by, side, record), dataset, by, n_samples),
+    )
+
+
+def _record_samples(rows: DataFrame, dataset: str, by: Sequence[str], n: int) -> DataFrame:
+    """The first rows of each side, without a key."""
+    return sample_per_group(rows, [*by, "presence"], ["record"], n).select(
+        *by, F.lit(dataset).alias("dataset"), "presence", F.lit(None).cast("string").alias("key"), "record"
     )
 
 
 def _compare_schemas(primary, replicated, left_only, right_only, spec, dataset, by) -> Diff:
     """Different column sets: rows are counted but not compared."""
     totals = equality.row_counts(primary, replicated, by)
-    both = (F.col("primary_rows") > 0) & (F.col("replicated_rows") > 0)
     messages = [
-        F.when(both, f"Columns only in {side}: {', '.join(sorted(names))}")
+        f"CASE WHEN {_BOTH_SIDES} THEN {_sql_text(f'Columns only in {side}: ' + ', '.join(sorted(names)))} END"
         for side, names in (("primary", left_only), ("replicated", right_only))
         if names
     ]
-    return Diff(
-        results=_result(totals, by, dataset, spec, primary.columns, messages, match=F.lit(False))
-    )
+    return Diff(results=_result(totals, by, dataset, spec, primary.columns, messages, "false"))
 
 
 _MODES: dict[str, Callable[..., Diff]] = {
@@ -432,17 +457,17 @@ def compare_tables(
         # Without its key such a dataset is only counted and tested for equality.
         totals = equality.tables_equal(primary.select(*cols), replicated.select(
             *row_columns(replicated, dataset, rules, spec)), by)
-        return Diff(results=_result(totals, by, dataset, spec, cols, [], match=F.col("match")))
+        return Diff(results=_result(totals, by, dataset, spec, cols, [], "match"))
     return _MODES[spec.mode](primary, replicated, cols, spec, dataset, list(by), rules.max_samples)
 
 
 def union_diffs(diffs: Sequence[Diff]) -> Diff:
     """The frames of several comparisons under each other."""
-    out = {}
-    for f in fields(Diff):
-        frames = [getattr(d, f.name) for d in diffs if getattr(d, f.name) is not None]
-        out[f.name] = reduce(DataFrame.unionByName, frames) if frames else None
-    return Diff(**out)
+
+    def stacked(name: str) -> Callable[[], DataFrame]:
+        return lambda: reduce(DataFrame.unionByName, [getattr(d, name) for d in diffs if name in d.names()])
+
+    return Diff(**{n: stacked(n) for n in FRAMES if any(n in d.names() for d in diffs)})
 
 
 def error_result(spark: SparkSession, dataset: str, kind: str, problem: str, by_schema: str = "") -> DataFrame:

@@ -30,7 +30,7 @@ ROWS_WITH_DIFFERENCES = r"(?i)(\d+)[^\S\n]+rows?[^\S\n]+with[^\S\n]+differences"
 VALUE_DIFFERENCES = r"(?i)(\d+)[^\S\n]+value[^\S\n]+differences"
 SAME_WORDS = ("IDENTICAL", "No differences found")
 
-_HEAD, _SUMMARY, _DETAIL, _END = 0, 1, 2, 3
+_HEAD, _SUMMARY, _DETAIL_HEAD, _DETAIL, _END = range(5)
 
 
 def summary_line(status: Column, name: Column, summary: Column) -> Column:
@@ -78,7 +78,10 @@ def report_lines(diff: Diff, emp_col: str = "emp_id", generated_at: str | None =
             results, e, _SUMMARY, d, 0, F.lit(""),
             F.array(summary_line(F.when(F.col("match"), "MATCH").otherwise("DIFF"), d, F.col("summary"))),
         ),
-        _lines(totals, e, _DETAIL, None, 0, F.lit(""), F.array(F.lit(""), F.lit("DETAILED RESULTS:"), F.lit("-" * 40))),
+        _lines(
+            totals, e, _DETAIL_HEAD, None, 0, F.lit(""),
+            F.array(F.lit(""), F.lit("DETAILED RESULTS:"), F.lit("-" * 40)),
+        ),
         _lines(totals, e, _END, None, 0, F.lit(""), F.array(rule)),
     ]
     differing = results.where(~F.col("match"))

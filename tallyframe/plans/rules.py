@@ -67,7 +67,7 @@ class CompareRules:
         found: dict[str, dict[str, tuple[str, ...]]] = {name: {} for name in SECTIONS}
         everywhere: list[str] = []
         excluded: list[str] = []
-        for row in rules.select("dataset", "rule", "column").toLocalIterator():
+        for row in rules.select("dataset", "rule", "column").collect():  # configuration, not data
             if row["rule"] == "exclude":
                 excluded.append(row["dataset"].lower())
             elif row["dataset"] is None:

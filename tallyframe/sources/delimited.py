@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.text import header_separator, na_to_empty
+from tallyframe.functions.text import header_separator, na_to_empty_sql
 
 CORRUPT = "_corrupt_record"
 
@@ -51,7 +51,8 @@ def read_delimited(
     the header's; :func:`good_rows` and :func:`malformed_rows` tell them apart.
     """
     sep = sep or detect_separator(spark, path)
-    reader = spark.read.options(header=True, sep=sep, escape='"', multiLine=multi_line)
+    # Without pruning, a row's number of fields is checked whatever columns a query uses.
+    reader = spark.read.options(header=True, sep=sep, escape='"', multiLine=multi_line, columnPruning=False)
     names = reader.csv(path).columns
     schema = T.StructType(
         [T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())]
@@ -73,20 +74,22 @@ def good_rows(df: DataFrame, sep: str) -> DataFrame:
     """Well-formed rows and short rows (missing fields are null) with NA tokens as ``""``."""
     cols = [c for c in df.columns if c != CORRUPT]
     kept = df.where(F.col(CORRUPT).isNull() | ~_too_long(len(cols), sep))
-    return kept.select(*[na_to_empty(F.col(f"`{c}`")).alias(c) for c in cols])
+    return canonical(kept.select(*cols))
 
 
 def malformed_rows(df: DataFrame, sep: str) -> DataFrame:
     """Rows with more fields than the header: any of these fails a dataset."""
     cols = [c for c in df.columns if c != CORRUPT]
-    return df.where(F.col(CORRUPT).isNotNull() & _too_long(len(cols), sep)).select(CORRUPT)
+    # Spark refuses a scan of the raw text alone, so one real column takes part.
+    used = F.length(F.coalesce(F.col(f"`{cols[0]}`"), F.lit(""))) >= 0
+    return df.where(F.col(CORRUPT).isNotNull() & _too_long(len(cols), sep) & used).select(CORRUPT)
 
 
 def canonical(df: DataFrame) -> DataFrame:
     """Text columns of any table with null and NA tokens as ``""``; other types stay."""
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    return df.select(
-        *[na_to_empty(F.col(f"`{c}`")).alias(c) if c in text else F.col(f"`{c}`") for c in df.columns]
+    return df.selectExpr(
+        *[f"{na_to_empty_sql(c)} AS `{c}`" if c in text else f"`{c}`" for c in df.columns]
     )
 
 

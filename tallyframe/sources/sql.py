@@ -84,6 +84,23 @@ class QueryTemplate:
         return spark.sql(self.sql, args=self.args(employer_id, lookback_minutes, on_missing))
 
 
+    def run_for_all(
+        self, spark: SparkSession, employers: DataFrame, emp_col: str = "emp_id",
+        lookback_col: str = "lookback_minutes",
+    ) -> DataFrame:
+        """The template for every row of ``employers`` in one query, with ``emp_col`` in front.
+
+        The slots become columns of a lateral join, which Spark turns into a plain join.
+        """
+        employers.createOrReplaceTempView("_employers")
+        columns = {
+            EMPLOYER: f"_employers.`{emp_col}`",
+            INTERVAL: f"make_dt_interval(0, 0, CAST(_employers.`{lookback_col}` AS INT), 0)",
+        }
+        body = _SLOT.sub(lambda m: columns[m.group(1)], self.text)
+        return spark.sql(f"SELECT _employers.`{emp_col}`, q.* FROM _employers, LATERAL ({body}) AS q")
+
+
 def lookbacks(deposits: DataFrame, by: Sequence[str], ts_col: str, as_of) -> DataFrame:
     """Per employer: newest deposit time and whole minutes from it to ``as_of``."""
     return (
