@@ -7,6 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Settings that suit this library. The last one saves driver time: without it, every column
+# expression records its call site.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tallyframe.functions.text import header_separator, na_to_empty_sql
 
 CORRUPT = "_corrupt_record"
+_KEEP_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def detect_separator(spark: SparkSession, path: str) -> str:
@@ -52,7 +53,9 @@ def read_delimited(
     """
     sep = sep or detect_separator(spark, path)
     # Without pruning, a row's number of fields is checked whatever columns a query uses.
-    reader = spark.read.options(header=True, sep=sep, escape='"', multiLine=multi_line, columnPruning=False)
+    reader = spark.read.options(
+        header=True, sep=sep, escape='"', multiLine=multi_line, columnPruning=False, **_KEEP_BLANKS
+    )
     names = reader.csv(path).columns
     schema = T.StructType(
         [T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())]
@@ -98,7 +101,7 @@ def write_delimited(
 ) -> None:
     """Delimited sink with a header and proper quoting (values may hold the separator)."""
     writer = df.write.mode(mode).options(
-        header=True, sep=sep, escape='"', emptyValue="", nullValue="", quoteAll=False
+        header=True, sep=sep, escape='"', emptyValue="", nullValue="", **_KEEP_BLANKS
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -12,11 +12,15 @@ TABLES = (
 ).split()
 
 
+def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    """Register tables as views."""
+    for t in names:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+
+
 def run_sql(spark: SparkSession, sf_dir: str, text: str, **args) -> DataFrame:
     """Run SQL over the Parquet tables that it names."""
-    for t in TABLES:
-        if re.search(rf"\b{t}\b", text):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    register(spark, sf_dir, *[t for t in TABLES if re.search(rf"\b{t}\b", text)])
     return spark.sql(text, args=args) if args else spark.sql(text)
 
 
