@@ -73,19 +73,22 @@ def _too_long(n_columns: int, sep: str):
     return F.size(F.split(bare, "[" + sep + "]", -1)) > n_columns
 
 
+def _uses(col: str):
+    """Always true: Spark refuses a scan of the raw text alone, so one real column takes part."""
+    return F.length(F.coalesce(F.col(f"`{col}`"), F.lit(""))) >= 0
+
+
 def good_rows(df: DataFrame, sep: str) -> DataFrame:
     """Well-formed rows and short rows (missing fields are null) with NA tokens as ``""``."""
     cols = [c for c in df.columns if c != CORRUPT]
-    kept = df.where(F.col(CORRUPT).isNull() | ~_too_long(len(cols), sep))
+    kept = df.where(F.col(CORRUPT).isNull() | ~_too_long(len(cols), sep)).where(_uses(cols[0]))
     return canonical(kept.select(*cols))
 
 
 def malformed_rows(df: DataFrame, sep: str) -> DataFrame:
     """Rows with more fields than the header: any of these fails a dataset."""
     cols = [c for c in df.columns if c != CORRUPT]
-    # Spark refuses a scan of the raw text alone, so one real column takes part.
-    used = F.length(F.coalesce(F.col(f"`{cols[0]}`"), F.lit(""))) >= 0
-    return df.where(F.col(CORRUPT).isNotNull() & _too_long(len(cols), sep) & used).select(CORRUPT)
+    return df.where(F.col(CORRUPT).isNotNull() & _too_long(len(cols), sep)).where(_uses(cols[0])).select(CORRUPT)
 
 
 def canonical(df: DataFrame) -> DataFrame:
