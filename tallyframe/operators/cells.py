@@ -14,7 +14,7 @@ from tallyframe.functions.labels import (
     REPLICATED_ONLY_VALUE,
     presence,
 )
-from tallyframe.operators.equality import multiset_counts
+from tallyframe.operators.equality import multiset_counts, side_counts
 from tallyframe.operators.keys import known_keys
 from tallyframe.operators.ranking import sample_per_group
 from tallyframe.operators.tagged import per_group
@@ -29,6 +29,7 @@ def pair_by_key(
     cols: Sequence[str] | None = None,
     dedup: str | None = None,
     ts_col: str | None = None,
+    track_equality: bool = True,
 ) -> DataFrame:
     """One row per key: row counts and the row of each side as structs ``p`` and ``r``.
 
@@ -40,7 +41,8 @@ def pair_by_key(
     ``unequal`` tells whether the rows of the key differ at all; ``p_min_ts``/``r_min_ts`` (with
     ``ts_col``) are the earliest times of the key on each side. Rows whose key is null belong to no
     key: ``"first"`` keeps them together with ``keyed`` false, so that row totals and equality stay
-    whole; the join leaves them out.
+    whole; the join leaves them out. Without ``track_equality``, ``"first"`` needs one shuffle
+    instead of two and ``unequal`` is null.
     """
     keys = list(keys)
     cols = [c for c in (primary.columns if cols is None else cols) if c not in keys]
@@ -50,12 +52,17 @@ def pair_by_key(
     if dedup != "first":
         raise ValueError("dedup is None or 'first'")
 
-    counts = multiset_counts(primary, replicated, [*keys, *cols], ts_col)
+    if track_equality:
+        counts = multiset_counts(primary, replicated, [*keys, *cols], ts_col)
+    else:
+        counts = side_counts(primary, replicated, [*keys, *cols], ts_col)
     left, right = F.col("primary_count") > 0, F.col("replicated_count") > 0
     aggregates = [
         F.sum("primary_count").alias("p_rows"),
         F.sum("replicated_count").alias("r_rows"),
-        (F.count_if(F.col("primary_count") != F.col("replicated_count")) > 0).alias("unequal"),
+        F.expr(
+            "count_if(primary_count <> replicated_count) > 0" if track_equality else "CAST(NULL AS BOOLEAN)"
+        ).alias("unequal"),
         F.min(F.when(left, row)).alias("p"),
         F.min(F.when(right, row)).alias("r"),
     ]

@@ -70,6 +70,26 @@ def multiset_counts(
     return tagged_union(primary, replicated, moved).groupBy(*cols).agg(*aggregates)
 
 
+def side_counts(
+    primary: DataFrame, replicated: DataFrame, cols: Sequence[str], ts_col: str | None = None
+) -> DataFrame:
+    """The columns of :func:`multiset_counts` without collapsing equal rows: no shuffle."""
+    moved: list = list(cols)
+    if ts_col:
+        moved.append(F.col(ts_col).alias("_ts"))
+    rows = tagged_union(primary, replicated, moved)
+    times = {
+        "p_min_ts": F.when(F.col(IN_PRIMARY) == 1, F.col("_ts")),
+        "r_min_ts": F.when(F.col(IN_REPLICATED) == 1, F.col("_ts")),
+    }
+    return rows.select(
+        *cols,
+        F.col(IN_PRIMARY).alias("primary_count"),
+        F.col(IN_REPLICATED).alias("replicated_count"),
+        *([c.alias(n) for n, c in times.items()] if ts_col else []),
+    )
+
+
 def multiset_diff(
     primary: DataFrame, replicated: DataFrame, cols: Sequence[str] | None = None
 ) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.equality import multiset_counts
+from tallyframe.operators.equality import tables_equal
+from tallyframe.operators.keys import known_keys
 from tallyframe.operators.tagged import IN_PRIMARY, IN_REPLICATED, per_group, tagged_union, where_group
 
 MISSING = "missing"
@@ -26,6 +27,7 @@ def group_set_diff(
     info_cols: Sequence[str] = (),
     by: Sequence[str] = (),
     always_check_expected: bool = False,
+    equality: DataFrame | None = None,
 ) -> DataFrame:
     """Missing and unexpected items per group, one row each.
 
@@ -37,112 +39,93 @@ def group_set_diff(
     * unexpected: R - P.
 
     The expectation part needs the two tables (of the same ``by`` values) to differ at all,
-    unless ``always_check_expected``. ``info_cols`` come from the group's first row in the order
-    of all columns: the primary's for missing items (the other side's if it has none), the
-    replicated side's for unexpected ones.
-
-    Sets are never built as arrays. Rows collapse to distinct rows (where whole rows matter), then
-    to distinct (group, item) pairs, then to one row of facts per group; every step combines before its
-    shuffle. The last join has one row per group on one side, so a hot group can be split.
+    unless ``always_check_expected``; pass ``equality`` (from :func:`tables_equal`) if it is known.
+    ``info_cols`` come from the group's first row in the order of all columns: the primary's for
+    missing items (the other side's if it has none), the replicated side's for unexpected ones.
+
+    Sets are never built as arrays. Only group, item and flag move: they collapse to distinct
+    (group, item) pairs and these to one row of facts per group, both before their shuffles.
+    The join of the two has one row per group on one side, so a hot group can be split. Whole
+    rows are read again only for the groups that are reported.
     """
     group = [*by, *[g for g in group if g not in by]]
     wanted = list(dict.fromkeys([*expected, *expected_if_flagged]))
-    cols = list(primary.columns)
-
-    # Whole rows matter for table equality and for the order of the first row; else only these.
-    whole_rows = bool(info_cols) or (bool(wanted) and not always_check_expected)
-    if whole_rows:
-        rows = multiset_counts(primary, replicated, cols)
-    else:
-        rows = tagged_union(primary, replicated, cols).withColumnsRenamed(
-            {IN_PRIMARY: "primary_count", IN_REPLICATED: "replicated_count"}
-        )
-    for g in group:
-        rows = rows.where(F.col(g).isNotNull())
-    left, right = F.col("primary_count") > 0, F.col("replicated_count") > 0
     is_flagged = F.lit(False) if flag is None else F.coalesce(flag() if callable(flag) else flag, F.lit(False))
 
-    facts = [
-        F.max(left).alias("in_p"),
-        F.max(right).alias("in_r"),
-        F.max(is_flagged).alias("flagged"),
-        F.max(F.col("primary_count") != F.col("replicated_count")).alias("unequal"),
-    ]
-    if info_cols:
-        # All columns for the order, then the wanted ones: the first row of each side.
-        whole = F.struct(*[F.col(f"`{c}`") for c in cols])
-        facts += [F.min(F.when(left, whole)).alias("first_p"), F.min(F.when(right, whole)).alias("first_r")]
-    items = rows.groupBy(*group, F.col(item).alias("item")).agg(*facts)
-
-    named = F.col("item").isNotNull()
-    group_facts = [
-        F.max("flagged").alias("is_flagged"),
-        F.max("unequal").alias("unequal"),
-        F.coalesce(F.max(F.when(named, F.col("in_r"))), F.lit(False)).alias("r_any"),
-    ]
+    rows = known_keys(
+        tagged_union(primary, replicated, [*group, F.col(item).alias("item"), is_flagged.alias("flagged")]), group
+    )
+    items = rows.groupBy(*group, "item").agg(
+        F.expr(f"max({IN_PRIMARY}) = 1 AS in_p"),
+        F.expr(f"max({IN_REPLICATED}) = 1 AS in_r"),
+        F.expr("max(flagged) AS flagged"),
+    )
+    group_facts = {
+        "is_flagged": "max(flagged)",
+        "p_any": "coalesce(max(CASE WHEN item IS NOT NULL THEN in_p END), false)",
+        "r_any": "coalesce(max(CASE WHEN item IS NOT NULL THEN in_r END), false)",
+    }
     for i, e in enumerate(wanted):
-        here = F.col("item") == e
-        group_facts += [
-            F.coalesce(F.max(F.when(here, F.col("in_p"))), F.lit(False)).alias(f"p_has_{i}"),
-            F.coalesce(F.max(F.when(here, F.col("in_r"))), F.lit(False)).alias(f"r_has_{i}"),
-        ]
-    if info_cols:
-        group_facts += [F.min("first_p").alias("first_p"), F.min("first_r").alias("first_r")]
-    groups = items.groupBy(*group).agg(*group_facts)
-
-    def info(first: Column) -> list[Column]:
-        return [first.getField(c).alias(f"info_{c}") for c in info_cols]
-
-    # Items that only one side of the group holds.
-    unflagged = ~F.col("is_flagged")
-    optional = F.col("item").isin(*optional_unless_flagged) if optional_unless_flagged else F.lit(False)
-    one_sided = items.where(named & (F.col("in_p") != F.col("in_r"))).select(*group, "item", "in_p")
+        for side in ("p", "r"):
+            group_facts[f"{side}_has_{i}"] = f"coalesce(max(CASE WHEN item = {_text(e)} THEN in_{side} END), false)"
+    groups = (
+        items.groupBy(*group).agg(*[F.expr(f"{e} AS {n}") for n, e in group_facts.items()]).where("p_any OR r_any")
+    )
+
+    # Items that only one side of the group holds. Both inputs of this join use the same columns
+    # of the pairs, and no filter here can move below their aggregation, so Spark computes and
+    # shuffles the pairs once.
+    optional = ", ".join(_text(o) for o in optional_unless_flagged)
+    reported = f"NOT (in_p AND item IN ({optional}) AND NOT is_flagged)" if optional else "true"
     out = (
-        one_sided.join(groups, group)
-        .where(~(F.col("in_p") & optional & unflagged))
-        .select(
-            *group,
-            "item",
-            F.when(F.col("in_p"), MISSING).otherwise(UNEXPECTED).alias("kind"),
-            "is_flagged",
-            *(info(F.when(F.col("in_p"), F.col("first_p")).otherwise(F.col("first_r"))) if info_cols else []),
-        )
+        items.where("CASE WHEN in_p <> in_r THEN item END IS NOT NULL")
+        .join(groups.select(*group, "is_flagged"), group)
+        .selectExpr(*group, "item", "in_p", "is_flagged OR flagged AS is_flagged")
+        .where(reported)
+        .selectExpr(*group, "item", f"CASE WHEN in_p THEN '{MISSING}' ELSE '{UNEXPECTED}' END AS kind", "is_flagged")
     )
-    if not wanted:
-        return out
+    if wanted:
+        # Expected items that the replicated side lacks and the first part has not reported.
+        def applies(e: str) -> str:
+            return "true" if e in expected else "is_flagged"
+
+        complete = " AND ".join(f"(NOT {applies(e)} OR p_has_{i})" for i, e in enumerate(wanted))
+        lacking = []
+        for i, e in enumerate(wanted):
+            told = f"p_has_{i}" + (" AND is_flagged" if e in optional_unless_flagged else "")
+            lacking.append(f"CASE WHEN {applies(e)} AND NOT r_has_{i} AND NOT ({told}) THEN {_text(e)} END")
+        candidates = groups.where(f"r_any AND NOT ({complete})")
+        if not always_check_expected:
+            equality = tables_equal(primary, replicated, by) if equality is None else equality
+            candidates = where_group(candidates, equality.withColumn("_differs", ~F.col("match")), by, "_differs")
+        absent = (
+            candidates.selectExpr(*group, f"explode(array({', '.join(lacking)})) AS item", "is_flagged")
+            .where("item IS NOT NULL")
+            .selectExpr(*group, "item", f"'{MISSING}' AS kind", "is_flagged")
+        )
+        out = out.unionByName(absent)
+    return _with_info(out, primary, replicated, group, info_cols) if info_cols else out
 
-    # Expected items that the replicated side lacks and the first part has not reported.
-    def applies(e: str) -> Column:
-        return F.lit(True) if e in expected else F.col("is_flagged")
 
-    complete = F.lit(True)
-    for i, e in enumerate(wanted):
-        complete = complete & (~applies(e) | F.col(f"p_has_{i}"))
-    lacking = []
-    for i, e in enumerate(wanted):
-        reported = F.col(f"p_has_{i}") & ~(F.lit(e in optional_unless_flagged) & unflagged)
-        lacking.append(F.when(applies(e) & ~F.col(f"r_has_{i}") & ~reported, F.lit(e)))
-    candidates = groups.where(F.col("r_any") & ~complete)
-    if not always_check_expected:
-        differing = per_group(groups, by, F.max("unequal").alias("_differs"))
-        candidates = where_group(candidates, differing, by, "_differs")
-    absent = (
-        candidates.select(
-            *group,
-            F.explode(F.array(*lacking)).alias("item"),
-            "is_flagged",
-            *(["first_p", "first_r"] if info_cols else []),
-        )
-        .where(F.col("item").isNotNull())
-        .select(
-            *group,
-            "item",
-            F.lit(MISSING).alias("kind"),
-            "is_flagged",
-            *(info(F.coalesce("first_p", "first_r")) if info_cols else []),
-        )
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _with_info(out, primary, replicated, group, info_cols) -> DataFrame:
+    """Adds the chosen columns of the first row of each reported group."""
+    cols = list(primary.columns)
+    whole = F.struct(*cols)
+    rows = tagged_union(primary, replicated, cols).join(out.select(*group).distinct(), group, "left_semi")
+    first = rows.groupBy(*group).agg(
+        F.min(F.when(F.col(IN_PRIMARY) == 1, whole)).alias("first_p"),
+        F.min(F.when(F.col(IN_REPLICATED) == 1, whole)).alias("first_r"),
+    )
+    source = F.expr(f"CASE WHEN kind = '{MISSING}' THEN coalesce(first_p, first_r) ELSE first_r END")
+    return (
+        out.join(first, group, "left")
+        .withColumn("_first", source)
+        .select(*out.columns, *[F.col(f"_first.{c}").alias(f"info_{c}") for c in info_cols])
     )
-    return out.unionByName(absent)
 
 
 def group_set_totals(diffs: DataFrame, group: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from tallyframe.operators import cells, equality, groups, keys, positional, sche
 from tallyframe.operators.ranking import sample_per_group
 from tallyframe.operators.tagged import per_group, where_group
 from tallyframe.plans.rules import CompareRules, DatasetSpec, apply_rules, row_columns, spec_for
+from tallyframe.session import cut_lineage
 
 # Texts of summaries.
 PERFECT_MATCH = "Perfect match"
@@ -130,17 +131,22 @@ def _key_text(key_cols: Sequence[str], by: Sequence[str], key_cast: str | None =
     return F.concat_ws("|", *[text(k) for k in key_cols if k not in by])
 
 
-def _keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples) -> dict[str, Callable[[], DataFrame]]:
-    """The detail frames of a keyed comparison."""
+def _keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples, stored) -> dict[str, Callable[[], DataFrame]]:
+    """The detail frames of a keyed comparison, all from the pairs whose rows differ."""
     name = F.lit(dataset).alias("dataset")
     key = _key_text(key_cols, by, spec.key_cast).alias("key")
 
+    @cache
+    def changed() -> DataFrame:
+        rows = paired.where("unequal")
+        return cut_lineage(rows, "changed") if stored else rows
+
     def diffs() -> DataFrame:
-        return cells.cell_diffs(paired, key_cols, compared, spec.normalize, spec.null_is_empty)
+        return cells.cell_diffs(changed(), key_cols, compared, spec.normalize, spec.null_is_empty)
 
     out = {
-        "key_presence": lambda: cells.pair_presence(paired, key_cols).select(*by, name, key, "presence"),
-        "record_samples": lambda: cells.one_sided_samples(paired, key_cols, n_samples, by).select(
+        "key_presence": lambda: cells.pair_presence(changed(), key_cols).select(*by, name, key, "presence"),
+        "record_samples": lambda: cells.one_sided_samples(changed(), key_cols, n_samples, by).select(
             *by, name, "presence", key, "record"
         ),
     }
@@ -154,7 +160,7 @@ def _keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples) -> d
     return out
 
 
-def _compare_keyed(primary, replicated, cols, spec, dataset, by, n_samples) -> Diff:
+def _compare_keyed(primary, replicated, cols, spec, dataset, by, n_samples, stored) -> Diff:
     """First row per key on each side, cells compared through the normaliser."""
     key_cols = [*by, *spec.keys]
     if spec.key_cast:
@@ -174,6 +180,8 @@ def _compare_keyed(primary, replicated, cols, spec, dataset, by, n_samples) -> D
         primary, replicated, key_cols, row_cols, dedup="first", ts_col="_time" if ts else None
     )
     stats = cells.keyed_stats(paired, compared, by, spec.normalize, spec.null_is_empty)
+    if stored:
+        stats = cut_lineage(stats, "stats")
     duplicates = "n_duplicate_primary + n_duplicate_replicated"
     values = {"n_duplicate_keys": duplicates}
     messages = [
@@ -190,7 +198,7 @@ def _compare_keyed(primary, replicated, cols, spec, dataset, by, n_samples) -> D
     return Diff(
         results=_result(stats, by, dataset, spec, cols, messages, "n_unequal = 0", same, **values),
         column_diffs=lambda: _column_diffs(stats, by, dataset),
-        **_keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples),
+        **_keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples, stored),
     )
 
 
@@ -201,7 +209,7 @@ def _column_diffs(stats: DataFrame, by: Sequence[str], dataset: str) -> DataFram
 _COLUMN_STATS = ["column", "n_records", "n_primary_only_value", "n_replicated_only_value", "n_both_differ"]
 
 
-def _compare_groups(primary, replicated, cols, spec, dataset, by, n_samples) -> Diff:
+def _compare_groups(primary, replicated, cols, spec, dataset, by, n_samples, stored) -> Diff:
     """Items per group; needs the group and item columns on both sides."""
     rules = spec.groups
     for side in (primary, replicated):
@@ -212,6 +220,8 @@ def _compare_groups(primary, replicated, cols, spec, dataset, by, n_samples) ->
     primary, replicated = primary.select(*cols), replicated.select(*cols)
     group = [*by, *spec.keys]
     has_flag = rules.flag is not None and "object_changes" in cols
+    # One row per group; two parts of the result need it, and it takes all columns to compute.
+    equal = cut_lineage(equality.tables_equal(primary, replicated, by), "equality")
     diffs = groups.group_set_diff(
         primary,
         replicated,
@@ -224,7 +234,10 @@ def _compare_groups(primary, replicated, cols, spec, dataset, by, n_samples) ->
         info_cols=[c for c in rules.info_cols if c in cols],
         by=by,
         always_check_expected=rules.always_check_expected,
+        equality=equal,
     )
+    if stored:
+        diffs = cut_lineage(diffs, "sets")
     info = [c for c in rules.info_cols if c in cols]
     named = [x for c in info for x in (F.lit(c), F.col(f"info_{c}").cast("string"))]
     own = _key_text(group, by).alias("group_key")
@@ -237,7 +250,6 @@ def _compare_groups(primary, replicated, cols, spec, dataset, by, n_samples) ->
         "is_flagged",
         (F.create_map(*named) if named else F.expr("CAST(map() AS MAP<STRING, STRING>)")).alias("info"),
     )
-    equal = equality.tables_equal(primary, replicated, by)
     totals = groups.group_set_totals(diffs, group, by)
     if by:
         totals = equal.join(totals, list(by), "left")
@@ -262,7 +274,7 @@ def _compare_groups(primary, replicated, cols, spec, dataset, by, n_samples) ->
     )
 
 
-def _compare_generic(primary, replicated, cols, spec, dataset, by, n_samples) -> Diff:
+def _compare_generic(primary, replicated, cols, spec, dataset, by, n_samples, stored) -> Diff:
     """Keyed where the key is unique on both sides, whole rows elsewhere (per ``by`` group)."""
     left_only, right_only = schema.one_sided_columns(primary, replicated)
     if left_only or right_only:
@@ -276,10 +288,12 @@ def _compare_generic(primary, replicated, cols, spec, dataset, by, n_samples) ->
         df.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in spec.keys})
         for df in (primary, replicated)
     )
+    # Stored because it is small and read again: Spark then knows its size and broadcasts it only
+    # if that is safe.
     unique = keys.key_uniqueness(primary, replicated, spec.keys, by)
-    repeated = unique.where(~F.col("is_unique"))
+    repeated = cut_lineage(unique.where(~F.col("is_unique")), "repeated")
     if repeated.isEmpty():
-        return _compare_unique(primary, replicated, cols, spec, dataset, by, same, n_samples)
+        return _compare_unique(primary, replicated, cols, spec, dataset, by, same, n_samples, stored)
     if not by:
         return _compare_rows(primary, replicated, cols, spec, dataset, by, same, n_samples)
     by_keys, by_rows = [], []
@@ -288,18 +302,20 @@ def _compare_generic(primary, replicated, cols, spec, dataset, by, n_samples) ->
         by_rows.append(keys.rows_with_keys(df, repeated, by))
     return union_diffs(
         [
-            _compare_unique(*by_keys, cols, spec, dataset, by, same, n_samples),
+            _compare_unique(*by_keys, cols, spec, dataset, by, same, n_samples, stored),
             _compare_rows(*by_rows, cols, spec, dataset, by, same, n_samples),
         ]
     )
 
 
-def _compare_unique(primary, replicated, cols, spec, dataset, by, same_columns, n_samples) -> Diff:
+def _compare_unique(primary, replicated, cols, spec, dataset, by, same_columns, n_samples, stored) -> Diff:
     key_cols = [*by, *spec.keys]
     row_cols = [c for c in cols if c not in key_cols]
     compared = [c for c in row_cols if c not in spec.compare_exclude]
     paired = cells.pair_by_key(primary, replicated, key_cols, row_cols)
     stats = cells.keyed_stats(paired, compared, by, spec.normalize, spec.null_is_empty)
+    if stored:
+        stats = cut_lineage(stats, "stats")
     messages = [
         _counted("Records in primary but NOT in replicated", "n_primary_only", _BOTH_SIDES),
         _counted("Records in replicated but NOT in primary", "n_replicated_only", _BOTH_SIDES),
@@ -308,7 +324,7 @@ def _compare_unique(primary, replicated, cols, spec, dataset, by, same_columns,
     return Diff(
         results=_result(stats, by, dataset, spec, cols, messages, "n_unequal = 0", same_columns),
         column_diffs=lambda: _column_diffs(stats, by, dataset),
-        **_keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples),
+        **_keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples, stored),
     )
 
 
@@ -320,6 +336,7 @@ def _compare_rows(primary, replicated, cols, spec, dataset, by, same_columns, n_
     if spec.full_row == "multiset":
         return _multiset_rows(counts, totals, row_cols, cols, spec, dataset, by, same_columns, n_samples)
 
+    totals = cut_lineage(totals, "totals")
     use_position = {"auto": "primary_rows = replicated_rows", "positional": "true", "distinct": "false"}[spec.full_row]
     merged, placed = f"{_BOTH_SIDES} AND NOT ({use_position})", f"{_BOTH_SIDES} AND ({use_position})"
     record = F.to_json(F.struct(*row_cols)).alias("record")
@@ -443,11 +460,14 @@ def compare_tables(
     spec: DatasetSpec | None = None,
     rules: CompareRules | None = None,
     by: Sequence[str] = (),
+    stored: bool = False,
 ) -> Diff:
     """Compare two versions of a dataset; ``by`` columns (such as ``emp_id``) compare apart.
 
-    The result frames are lazy. Only two small probes may run here: whether the key of a generic
-    dataset is unique, and the checkpoint of a positional comparison.
+    The result frames are lazy, apart from what decides how to go on: whether keys are unique,
+    totals of whole rows, equality of grouped tables, and the layout of a positional comparison.
+    With ``stored``, counts and differing rows are computed once into the shared folder, which
+    pays when several frames are read.
     """
     rules = rules or CompareRules()
     spec = spec or spec_for(dataset)
@@ -458,7 +478,7 @@ def compare_tables(
         totals = equality.tables_equal(primary.select(*cols), replicated.select(
             *row_columns(replicated, dataset, rules, spec)), by)
         return Diff(results=_result(totals, by, dataset, spec, cols, [], "match"))
-    return _MODES[spec.mode](primary, replicated, cols, spec, dataset, list(by), rules.max_samples)
+    return _MODES[spec.mode](primary, replicated, cols, spec, dataset, list(by), rules.max_samples, stored)
 
 
 def union_diffs(diffs: Sequence[Diff]) -> Diff:
@@ -487,6 +507,7 @@ def compare_run(
     rules: CompareRules | None = None,
     specs: Mapping[str, DatasetSpec] | None = None,
     by: Sequence[str] = ("emp_id",),
+    stored: bool = False,
 ) -> Diff:
     """Compare all datasets of a run, every employer in the same jobs.
 
@@ -501,7 +522,7 @@ def compare_run(
         spec = (specs or {}).get(name) or spec_for(name)
         try:
             primary, replicated = tables[name]
-            diffs.append(compare_tables(primary, replicated, name, spec, rules, by))
+            diffs.append(compare_tables(primary, replicated, name, spec, rules, by, stored))
             if by and not by_schema:
                 by_schema = ", ".join(f"`{c}` {primary.schema[c].dataType.simpleString()}" for c in by)
         except Exception as problem:  # one dataset must not stop the others
@@ -536,7 +557,7 @@ def write_datasets(
     status = {}
     for name in sorted(tables):
         try:
-            diff = compare_run(spark, {name: tables[name]}, rules, specs, by)
+            diff = compare_run(spark, {name: tables[name]}, rules, specs, by, stored=True)
             for frame, df in diff.tables().items():
                 df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{frame}/dataset_name={name}")
             status[name] = "ok"

@@ -127,7 +127,8 @@ _FIRST_SOURCE = (
 )
 def first_per_key_diff(spark, sf):
     paired = cells.pair_by_key(
-        *pair(spark, sf, "line_keys"), ["l_orderkey", "l_linenumber"], LINE_COLS, dedup="first"
+        *pair(spark, sf, "line_keys"), ["l_orderkey", "l_linenumber"], LINE_COLS, dedup="first",
+        track_equality=False,
     )
     return cells.column_diffs(cells.keyed_stats(paired, LINE_COLS, normalize=text.normalize_text))
 
@@ -334,7 +335,7 @@ def old_data_flag(spark, sf):
         run_sql(spark, sf, q).withColumn("seen_at", values.try_time(F.col("o_orderdate"))) for q in (_OLD_P, _OLD_R)
     )
     by = ["o_orderpriority"]
-    paired = cells.pair_by_key(p, r, [*by, "o_orderkey"], ["o_orderstatus"], "first", ts_col="seen_at")
+    paired = cells.pair_by_key(p, r, [*by, "o_orderkey"], ["o_orderstatus"], "first", "seen_at", False)
     stats = cells.keyed_stats(paired, [], by)
     return stats.select(*by, cells.old_data(stats).alias("has_old_data"))
 

@@ -69,9 +69,9 @@ def compare_with_rules_table(spark, sf):
     return _compared(spark, sf, "11-users.psv", rules).results.select(*RESULT)
 
 
-def _run(spark, sf) -> Diff:
+def _run(spark, sf, stored=False) -> Diff:
     tables = {name: pair(spark, sf, name) for name in RUN}
-    return compare_run(spark, tables, RULES)
+    return compare_run(spark, tables, RULES, stored=stored)
 
 
 def _written(spark, sf):
@@ -79,7 +79,7 @@ def _written(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _WRITTEN:
         path = scratch_path(spark, "run")
-        write_run(_run(spark, sf), path)
+        write_run(_run(spark, sf, stored=True), path)
         _WRITTEN[key] = path
     return lambda name: spark.read.parquet(f"{_WRITTEN[key]}/{name}")
 
