@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,14 @@ def header_separators(spark: SparkSession, path: str) -> DataFrame:
     return first.withColumn("separator", header_separator(F.col("header"), F.col("file_name")))
 
 
+def csv_reader(spark: SparkSession, sep: str, multi_line: bool = False) -> DataFrameReader:
+    """Reader of text columns under a header; malformed rows are kept."""
+    # Without pruning, a row's number of fields is checked whatever columns a query uses.
+    return spark.read.options(
+        header=True, sep=sep, escape='"', multiLine=multi_line, columnPruning=False, mode="PERMISSIVE", **_KEEP_BLANKS
+    )
+
+
 def read_delimited(
     spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False
 ) -> DataFrame:
@@ -52,19 +60,10 @@ def read_delimited(
     the header's; :func:`good_rows` and :func:`malformed_rows` tell them apart.
     """
     sep = sep or detect_separator(spark, path)
-    # Without pruning, a row's number of fields is checked whatever columns a query uses.
-    reader = spark.read.options(
-        header=True, sep=sep, escape='"', multiLine=multi_line, columnPruning=False, **_KEEP_BLANKS
-    )
-    names = reader.csv(path).columns
-    schema = T.StructType(
-        [T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())]
-    )
-    return (
-        reader.schema(schema)
-        .options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
-        .csv(path)
-    )
+    names = csv_reader(spark, sep, multi_line).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    reader = csv_reader(spark, sep, multi_line).schema(schema)
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).csv(path)
 
 
 def _too_long(n_columns: int, sep: str):
@@ -79,16 +78,28 @@ def _uses(col: str):
 
 
 def good_rows(df: DataFrame, sep: str) -> DataFrame:
-    """Well-formed rows and short rows (missing fields are null) with NA tokens as ``""``."""
+    """Well-formed rows and short rows (missing fields are null) with NA tokens as ``""``.
+
+    A column ``emp_id`` that comes from the path and not from the file may be the last one.
+    """
     cols = [c for c in df.columns if c != CORRUPT]
-    kept = df.where(F.col(CORRUPT).isNull() | ~_too_long(len(cols), sep)).where(_uses(cols[0]))
+    kept = df.where(F.col(CORRUPT).isNull() | ~_too_long(_fields(df), sep)).where(_uses(cols[0]))
     return canonical(kept.select(*cols))
 
 
+def _fields(df: DataFrame) -> int:
+    """Number of columns in the file: those before the raw text."""
+    return df.columns.index(CORRUPT)
+
+
+def overlong(df: DataFrame, n_columns: int, sep: str) -> DataFrame:
+    """Rows with more fields than the header."""
+    return df.where(F.col(CORRUPT).isNotNull() & _too_long(n_columns, sep)).where(_uses(df.columns[0]))
+
+
 def malformed_rows(df: DataFrame, sep: str) -> DataFrame:
-    """Rows with more fields than the header: any of these fails a dataset."""
-    cols = [c for c in df.columns if c != CORRUPT]
-    return df.where(F.col(CORRUPT).isNotNull() & _too_long(len(cols), sep)).where(_uses(cols[0])).select(CORRUPT)
+    """Raw text of rows with more fields than the header: any of these fails a dataset."""
+    return overlong(df, _fields(df), sep).select(CORRUPT)
 
 
 def canonical(df: DataFrame) -> DataFrame:

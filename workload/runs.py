@@ -207,10 +207,22 @@ lines AS (
   FROM diff WHERE n_replicated_only > 0
  UNION ALL SELECT emp_id, side + 1, '', {{'i': 0, 't': '     Sample (first ' || count(*) || ' records):'}} FROM shown GROUP BY ALL
  UNION ALL SELECT emp_id, side + 2, lpad(CAST(i AS VARCHAR), 6, '0'), {{'i': 0, 't': '       ' || i || '. ' || rec}} FROM shown)
-SELECT emp_id, l.t AS "text", row_number() OVER (PARTITION BY emp_id ORDER BY part, o, l.i) AS place FROM lines"""
-
-
-@query(_USER_LINES)
+"""
+_USER_DETAILS = """SELECT emp_id, l.t AS "text", row_number() OVER (PARTITION BY emp_id ORDER BY part, o, l.i) AS place
+FROM lines"""
+# The whole report: head and summary before the details, a rule after them.
+_USER_REPORT = """SELECT emp_id, l.t AS "text", row_number() OVER (PARTITION BY emp_id ORDER BY part, o, l.i) AS line_no
+FROM (SELECT * FROM lines UNION ALL SELECT emp_id, 0, '', unnest([
+  {'i': 0, 't': repeat('=', 80)}, {'i': 1, 't': 'COMPARISON REPORT'}, {'i': 2, 't': repeat('=', 80)},
+  {'i': 3, 't': 'Generated: now'}, {'i': 4, 't': 'Employer ID: ' || emp_id}, {'i': 5, 't': 'Total files compared: 1'},
+  {'i': 6, 't': 'Matching files: ' || CAST(match AS INT)}, {'i': 7, 't': 'Different files: ' || CAST(NOT match AS INT)},
+  {'i': 8, 't': ''}, {'i': 9, 't': 'SUMMARY:'}, {'i': 10, 't': repeat('-', 40)},
+  {'i': 11, 't': printf('%-10s %-40s - %s', CASE WHEN match THEN 'MATCH' ELSE 'DIFF' END, dataset, summary)},
+  {'i': 12, 't': ''}, {'i': 13, 't': 'DETAILED RESULTS:'}, {'i': 14, 't': repeat('-', 40)}]) FROM res
+ UNION ALL SELECT emp_id, 999, '', {'i': 0, 't': repeat('=', 80)} FROM res)"""
+
+
+@query(_USER_LINES + _USER_DETAILS)
 def report_details(spark, sf):
     """The detail section of one dataset in each employer's report, in order."""
     lines = report.report_lines(_compared(spark, sf, "11-users.psv"), generated_at="now")
@@ -220,9 +232,15 @@ def report_details(spark, sf):
     return inside.select("emp_id", "text", (F.col("line_no") - F.col("_start") - 1).alias("place"))
 
 
-@query()
+@query(_USER_LINES + _USER_REPORT)
 def report_lines(spark, sf):
-    """Whole reports of a run with all kinds of datasets."""
+    """The whole report of each employer, line by line."""
+    return report.report_lines(_compared(spark, sf, "11-users.psv"), generated_at="now")
+
+
+@query()
+def report_of_run(spark, sf):
+    """Reports of a run with all kinds of datasets."""
     table = _written(spark, sf)
     names = ["results", "column_diffs", "column_samples", "record_samples", "set_diffs"]
     return report.report_lines(Diff(**{n: table(n) for n in names}), generated_at="now")
