@@ -523,12 +523,10 @@ def compare_run(
         try:
             primary, replicated = tables[name]
             diffs.append(compare_tables(primary, replicated, name, spec, rules, by, stored))
-            if by and not by_schema:
-                by_schema = ", ".join(f"`{c}` {primary.schema[c].dataType.simpleString()}" for c in by)
+            by_schema = by_schema or _by_schema(primary, by)
         except Exception as problem:  # one dataset must not stop the others
             failed.append((name, spec.kind, str(problem).splitlines()[0]))
-    if by and not by_schema:
-        by_schema = ", ".join(f"`{c}` string" for c in by)
+    by_schema = by_schema or ", ".join(f"`{c}` string" for c in by)
     errors = [Diff(results=error_result(spark, *f, by_schema)) for f in failed]
     if not diffs and not errors:
         raise ValueError("no datasets to compare")
@@ -554,16 +552,23 @@ def write_datasets(
     Every dataset gets its own folders ``path/<frame>/dataset_name=<name>``; returns status per
     dataset. The next dataset starts only when the one before is written.
     """
+    rules = rules or CompareRules()
     status = {}
-    for name in sorted(tables):
+    for name in sorted(n for n in tables if not rules.is_excluded(n)):
+        spec = (specs or {}).get(name) or spec_for(name)
         try:
-            diff = compare_run(spark, {name: tables[name]}, rules, specs, by, stored=True)
+            diff = compare_tables(*tables[name], name, spec, rules, by, stored=True)
             for frame, df in diff.tables().items():
                 df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{frame}/dataset_name={name}")
             status[name] = "ok"
         except Exception as problem:
-            status[name] = f"error: {str(problem).splitlines()[0]}"
-            error_result(spark, name, "", status[name]).write.mode("overwrite").parquet(
-                f"{path.rstrip('/')}/results/dataset_name={name}"
-            )
+            text = str(problem).splitlines()[0]
+            status[name] = f"error: {text}"
+            failed = error_result(spark, name, spec.kind, text, _by_schema(tables[name][0], by))
+            failed.write.mode("overwrite").parquet(f"{path.rstrip('/')}/results/dataset_name={name}")
     return status
+
+
+def _by_schema(df: DataFrame, by: Sequence[str]) -> str:
+    types = dict(df.dtypes)
+    return ", ".join(f"`{c}` {types.get(c, 'string')}" for c in by)
