@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.values import minutes_between
+from tallyframe.operators.layout import balanced_by
 from tallyframe.sources.delimited import write_delimited
 
 # Names in SQL templates.
@@ -142,7 +143,7 @@ def export_datasets(
             df = spark.sql(QueryTemplate(text).sql, args=dict(args or {}))
             if employers is not None:
                 df = df.join(employers.select(emp_col), emp_col, "left_semi")
-            # Rows of one employer may be most of the table: no repartition by employer here.
+            df = balanced_by(df, emp_col)
             path = "/".join(
                 [out.rstrip("/"), f"dataset={name}"]
                 + ([f"run_date={run_date}"] if run_date else [])

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import cells, equality, groups, keys, positional, ranking
+from tallyframe.operators import cells, equality, groups, keys, layout, positional, ranking
 from workload.catalog import QUERIES
 from workload.data import pair, run_sql
 
@@ -89,3 +89,20 @@ def test_template_of_all_employers_is_a_plain_join(spark):
 def test_employer_filter_reaches_the_scan(spark):
     text = plan(run_sql(spark, SF_DIR, "SELECT event_id FROM events WHERE user_id = :emp", emp=3))
     assert "EqualTo(user_id,3)" in text
+
+
+def test_bucketed_sides_pair_without_shuffle(spark, tmp_path):
+    sides = []
+    for name, df in zip(("side_p", "side_r"), pair(spark, SF_DIR, "orders")):
+        layout.save_by_key(df, name, ["o_orderkey"], 4, str(tmp_path / name))
+        sides.append(spark.table(name))
+    paired = cells.pair_by_key(*sides, ["o_orderkey"])
+    assert "Exchange" not in plan(paired)
+    assert paired.count() == keys.key_presence(*sides, ["o_orderkey"]).count()
+    for name in ("side_p", "side_r"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_exports_are_balanced_by_size(spark):
+    df = run_sql(spark, SF_DIR, "SELECT o_custkey % 3 AS emp_id, o_orderkey FROM orders")
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(layout.balanced_by(df, "emp_id"))
