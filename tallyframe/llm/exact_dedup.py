@@ -25,7 +25,7 @@ from tallyframe.llm.common import normal_spaces
 from tallyframe.session import cut_lineage
 
 BLOCK_CHARS = 4096
-HOT_ROWS = 2000  # rows of one value that may meet in a task
+HOT_ROWS = 500  # rows of one value that may meet in a task
 MAX_HOT = 50_000  # the most frequent values that are salted; 16 bytes each are broadcast
 
 

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import exact_dedup, simhash
+from tallyframe.llm import bpe, exact_dedup, packing, simhash
 from tallyframe.llm.common import table
 from tallyframe.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 
+def word_bpe() -> str:
+    """The tokenizer file that the queries use; operators take any path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query(
     r"""
     WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -24,3 +32,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), word_bpe())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "window_id"
+    )
+
+
+@query()
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
