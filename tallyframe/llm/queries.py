@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, exact_dedup, packing, simhash
-from tallyframe.llm.common import table
+from tallyframe.llm import bpe, exact_dedup, language, packing, simhash, toxicity
+from tallyframe.llm.common import bucket_of_id, table
 from tallyframe.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 
@@ -34,6 +34,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket_of_id(F.col("doc_id"), 3) == 1
+    model = language.trained(docs, ~held_out)
+    return language.predicted(docs, model, ["doc_id"]).withColumn("held_out", held_out)
+
+
 @query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), word_bpe())
@@ -45,3 +53,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket_of_id(F.col("doc_id"), 5) == 0
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.scored(docs, model, ["doc_id"]).withColumn("held_out", held_out)
