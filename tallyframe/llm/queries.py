@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, exact_dedup, language, packing, simhash, toxicity
+from tallyframe.llm import bpe, exact_dedup, language, packing, simhash, toxicity, url_rules
 from tallyframe.llm.common import bucket_of_id, table
 from tallyframe.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -55,6 +55,31 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
 
+RULES = """
+    SELECT * FROM VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+                         ('org', '/fr/', 'allow') AS rules(host, path, verdict)"""
+
+
+@query(
+    r"""
+    WITH u AS (
+      SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (
+      SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    r AS (
+      SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(h, q, v)),
+    fits AS (
+      SELECT page_id, h || q AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC, length(h) DESC) AS place
+      FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
+    SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+    FROM p LEFT JOIN fits ON p.page_id = fits.page_id AND place = 1
+    """
+)
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), spark.sql(RULES))
+
+
 @query()
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
