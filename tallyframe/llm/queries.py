@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, exact_dedup, language, packing, simhash, toxicity, url_rules
+from tallyframe.llm import bpe, exact_dedup, language, packing, quality, simhash, toxicity, url_rules
 from tallyframe.llm.common import bucket_of_id, table
 from tallyframe.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -86,3 +86,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = bucket_of_id(F.col("doc_id"), 5) == 0
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.scored(docs, model, ["doc_id"]).withColumn("held_out", held_out)
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
