@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, exact_dedup, language, packing, quality, simhash, toxicity, url_rules
+from tallyframe.llm import bpe, exact_dedup, language, packing, quality, simhash, toxicity, url_rules, warc
 from tallyframe.llm.common import bucket_of_id, table
 from tallyframe.llm.registry import QUERIES, SQL, query  # noqa: F401
+from tallyframe.session import scratch_path
 
 
 def word_bpe() -> str:
@@ -34,6 +35,32 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    d AS (SELECT page_id, h, sha1(h) || '0' AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+    SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i:
+             substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((((instr('0123456789abcdef', substr(x, (5 * i) // 4 + 1, 1)) - 1) * 16
+               + instr('0123456789abcdef', substr(x, (5 * i) // 4 + 2, 1)) - 1) >> (3 - (5 * i) % 4)) & 31)::INT, 1)), '') AS payload_digest,
+           CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> last THEN last END AS refers_to
+    FROM d
+    """
+)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    of_page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:([^:]*):', 1) AS BIGINT)")
+    return warc.resolved(warc.read_archives(spark, path, with_payload=False)).select(
+        of_page("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        of_page("refers_to").alias("refers_to"),
+    )
+
+
 @query()
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
