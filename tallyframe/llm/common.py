@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +29,59 @@ def let(value: Column, body) -> Column:
 def bucket_of_id(doc_id: Column, modulus: int) -> Column:
     """The remainder of a document's id under CRC-32, which splits rows for training and testing."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+CHUNK = 1024  # rows of one key in a chunk; two chunks are compared in one cell
+MAX_HOT = 50_000  # keys of which the row counts are broadcast, the most frequent ones
+
+
+def dealt_in_cells(rows: DataFrame, key: str, item: str, chunk: int = CHUNK) -> DataFrame:
+    """``rows`` partitioned and sorted by ``key`` and ``cell``, so that each pair of rows of a key meets in a cell.
+
+    A key of at most ``chunk`` rows has one cell. A larger one is cut into chunks by a hash of
+    ``item``, and each pair of chunks is a cell, so no task holds more than two chunks of a group.
+    """
+    hot = (
+        rows.groupBy(key)
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > chunk)
+        .orderBy(F.desc("_n"), key)
+        .limit(MAX_HOT)
+        .select(key, F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks"))
+    )
+    own = F.pmod(F.xxhash64(item), F.col("_chunks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda j: j != own)
+    cells = F.transform(others, lambda j: F.least(own, j) * F.col("_chunks") + F.greatest(own, j))
+    one = F.array(F.lit(-1))
+    return (
+        rows.join(F.broadcast(hot), key, "left")
+        .select(*rows.columns, F.explode(F.when(F.col("_chunks").isNull(), one).otherwise(cells)).alias("cell"))
+        .repartition(key, "cell")
+        .sortWithinPartitions(key, "cell", item)
+    )
+
+
+def whole_groups(batches: Iterator, group: list[str], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted Arrow batches as arrays, cut so that no group of equal ``group`` columns is split."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*group, *names)]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        last = np.logical_and.reduce([c == c[-1] for c in now[: len(group)]])
+        split = int(np.argmax(last))
+        if split:
+            yield [x[:split] for x in now]
+        held = [x[split:] for x in now]
+    if held is not None:
+        yield held
+
+
+def group_ends(columns: list[np.ndarray]) -> np.ndarray:
+    """For each row of sorted columns the row after the last one that is equal in all of them."""
+    n = len(columns[0])
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns]) if n > 1 else np.empty(0, bool)
+    starts = np.flatnonzero(np.concatenate(([True], new)))
+    return np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))

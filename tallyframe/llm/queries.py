@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, exact_dedup, language, packing, quality, simhash, toxicity, url_rules, warc
+from tallyframe.llm import bpe, exact_dedup, language, line_dedup, packing, quality, simhash, toxicity, url_rules, warc
 from tallyframe.llm.common import bucket_of_id, table
 from tallyframe.llm.registry import QUERIES, SQL, query  # noqa: F401
 from tallyframe.session import scratch_path
@@ -69,6 +69,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(docs, model, ["doc_id"]).withColumn("held_out", held_out)
 
 
+@query()
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), word_bpe())

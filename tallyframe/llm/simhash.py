@@ -27,14 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.llm.common import CHUNK, dealt_in_cells, group_ends, whole_groups
 from tallyframe.llm.components import components
 from tallyframe.session import cut_lineage
 
 SEGMENT = 0xFFFF
 HALVES = ((0, 8), (8, 8))
 THIRDS = ((0, 5), (5, 5), (10, 6))
-CHUNK = 1024  # nodes of one key in a chunk; two chunks are compared in one cell
-MAX_HOT = 50_000  # keys of which the row counts are broadcast
 _SUM_ROWS = 1 << 15
 
 
@@ -137,9 +136,7 @@ def _labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _forest(key: np.ndarray, cell: np.ndarray, node: np.ndarray, f: np.ndarray, budget: int, limit: int) -> tuple:
     """Edges of a spanning forest of the links inside each (key, cell); rows come sorted by these."""
-    n = len(key)
-    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
-    end = np.repeat(np.append(new[1:], n), np.diff(np.append(new, n)))
+    n, end = len(key), group_ends([key, cell])
     label, lag = np.arange(n), 1
     rows = np.flatnonzero(np.arange(n) + 1 < end)
     while len(rows):
@@ -161,50 +158,14 @@ def links(nodes: DataFrame, fingerprints: list[str], budget: int = 3, limit: int
     allow them. ``budget``: of the chain, in bits of one fingerprint. ``limit``: over all fingerprints.
     """
     keyed = nodes.select("node", *fingerprints, F.explode(chain_keys(fingerprints)).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    hot = (
-        counts.filter(F.col("n") > chunk)
-        .orderBy(F.desc("n"), "key")
-        .limit(MAX_HOT)
-        .select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    )
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    cell = lambda j: F.least(own, j) * F.col("chunks") + F.greatest(own, j)
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != own)
-    cells = F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.transform(others, cell))
-    dealt = (
-        keyed.join(F.broadcast(hot), "key", "left")
-        .select("key", "node", *fingerprints, F.explode(cells).alias("cell"))
-        .repartition("key", "cell")
-        .sortWithinPartitions("key", "cell")
-    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _with_end(batches):
-            if batch is None:
-                part, held = held, None
-            else:
-                now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "node", *fingerprints)]
-                if held is not None:
-                    now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-                last = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-                split = int(np.argmax(last))
-                held, part = [x[split:] for x in now], [x[:split] for x in now]
-            if part is not None and len(part[0]) > 1:
-                f = np.stack(part[3:], 1).view(np.uint64)
-                a, b = _forest(part[0], part[1], part[2], f, budget, limit)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return dealt.mapInArrow(compare, "a bigint, b bigint")
-
-
-def _with_end(batches: Iterator) -> Iterator:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch
-    yield None
+        for key, cell, node, *f in whole_groups(batches, ["key", "cell"], ["node", *fingerprints]):
+            a, b = _forest(key, cell, node, np.stack(f, 1).view(np.uint64), budget, limit)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return dealt_in_cells(keyed, "key", "node", chunk).mapInArrow(compare, "a bigint, b bigint")
 
 
 def _grouped(prints: DataFrame, names: list[str], budget: int, limit: int) -> DataFrame:
