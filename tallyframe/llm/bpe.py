@@ -18,7 +18,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -27,11 +27,15 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from tallyframe.llm.common import map_batches
+
 KEPT_WORDS = 200_000  # words that a worker remembers
-KEPT_CHUNKS = 500_000  # and what stands between white space
+KEPT_CHUNKS = 250_000  # and what stands between white space, twice
+LONG_WORD = 64  # characters; longer words are merged one by one
+MERGED_TOGETHER = 20_000
+TOGETHER_CHARS = 2_000_000  # of texts whose new words are encoded at once
 _END = "\ue000"  # stands for the end of a word; no byte maps to it
-_LATE = 1 << 40
-_NEVER = np.int64(_LATE)
+_NEVER = np.int64(1) << 40
 # Texts of these characters alone are split by the pattern; the tests hold each of them against the library.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u017f\u2013\u2014\u2018-\u201d\u2026\u20ac]*+")
 
@@ -76,7 +80,7 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_ranks = keys[order], order
         self.rank_of = {k: r for r, k in reversed(list(enumerate(keys.tolist())))}
-        self.made = [self.vocabulary[a + b] for a, b in pairs]
+        self.made = np.array([self.vocabulary[a + b] for a, b in pairs])
 
         own = np.flatnonzero(self.rank >= 0)
         good = np.ones(size, bool)
@@ -94,6 +98,7 @@ class WordBpe:
         self.last = {c: self.vocabulary[c + suffix] for c in self.characters}
         self.raw = [i.to_bytes(4, "little") for i in range(size)]
         self.known: dict[str, bytes] = {}  # words
+        self.older: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}  # what stands between white space in plain texts, in lower case
         self.failed = 0  # words that needed exact merging, for tests and reports
 
@@ -128,25 +133,46 @@ class WordBpe:
         return good
 
     # -- exact merging ------------------------------------------------------------------------
-    def merged(self, spelled: str) -> list[int]:
-        """Exact BPE of a spelled word: the first merge by rank, then from the left, until none is left."""
-        ids = [self.first[c] for c in spelled[:-1]] + [self.last[spelled[-1]]]
-        if len(ids) > 64:
-            return self._merged_long(ids)
-        find = self.rank_of.get
-        ranks = [find(a << 20 | b, _LATE) for a, b in pairwise(ids)]
-        while ranks and (least := min(ranks)) < _LATE:
-            k = ranks.index(least)
-            ids[k : k + 2] = [self.made[least]]
-            del ranks[k]
-            if k < len(ranks):
-                ranks[k] = find(ids[k] << 20 | ids[k + 1], _LATE)
-            if k:
-                ranks[k - 1] = find(ids[k - 1] << 20 | ids[k], _LATE)
-        return ids
-
-    def _merged_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap, for time in proportion to n log n."""
+    def merged(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact BPE of spelled words, given as their first ids one after the other and their numbers of ids.
+
+        Step by step each word merges its first pair by rank, the leftmost of equals, until none is left.
+        Words that are done leave; a step looks up only the pairs at the places of the last merges.
+        """
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        rank = np.full(len(ids), _NEVER)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        rank[inside] = self._pair_rank(ids[inside], ids[inside + 1])
+        done = []
+        while len(word):
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            lengths = np.diff(np.append(starts, len(word)))
+            least = np.minimum.reduceat(rank, starts)
+            still = least < _NEVER
+            if not still.all():
+                stay = np.repeat(still, lengths)
+                done.append((word[~stay], ids[~stay]))
+                word, ids, rank, lengths, least = word[stay], ids[stay], rank[stay], lengths[still], least[still]
+                if not len(word):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(least, lengths))
+            hit = hit[np.concatenate(([True], word[hit[1:]] != word[hit[:-1]]))]
+            ids[hit] = self.made[rank[hit]]
+            rank[hit] = rank[hit + 1]  # whether a pair follows
+            keep = np.ones(len(word), bool)
+            keep[hit + 1] = False
+            hit -= np.arange(len(hit))
+            word, ids, rank = word[keep], ids[keep], rank[keep]
+            right = hit[(hit + 1 < len(word)) & (word[np.minimum(hit + 1, len(word) - 1)] == word[hit])]
+            rank[right] = self._pair_rank(ids[right], ids[right + 1])
+            left = hit[(hit > 0) & (word[hit - 1] == word[hit])] - 1
+            rank[left] = self._pair_rank(ids[left], ids[left + 1])
+        word, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        return ids[order], np.bincount(word, minlength=len(sizes))
+
+    def merged_long(self, ids: list[int]) -> list[int]:
+        """The same for one word with a heap, in time in proportion to n log n."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         find, heap = self.rank_of.get, []
@@ -161,7 +187,7 @@ class WordBpe:
             rank, k, a, b = heapq.heappop(heap)
             if ids[k] != a or (r := after[k]) >= n or ids[r] != b:
                 continue
-            ids[k], ids[r], after[k] = self.made[rank], -1, after[r]
+            ids[k], ids[r], after[k] = int(self.made[rank]), -1, after[r]
             if after[k] < n:
                 before[after[k]] = k
                 offer(k, after[k])
@@ -193,12 +219,26 @@ class WordBpe:
         wrong = ~self.compatible(pairs >> 20, pairs & 0xFFFFF)[where]
         good = sizes > 0
         good[np.repeat(np.arange(len(words)), sizes)[at[wrong]]] = False
-        raw = self.raw
-        for word, s, ids, fine in zip(words, spelled, proposals, good.tolist(), strict=True):
-            if not fine:
-                ids = self.merged(s)
-                self.failed += 1
-            self.known[word] = b"".join([raw[i] for i in ids])
+        self.failed += int(len(words) - good.sum())
+
+        first, last = self.first, self.last
+        long = [k for k in np.flatnonzero(~good).tolist() if len(spelled[k]) > LONG_WORD]
+        short = [k for k in np.flatnonzero(~good).tolist() if len(spelled[k]) <= LONG_WORD]
+        for at in range(0, len(short), MERGED_TOGETHER):
+            part = short[at : at + MERGED_TOGETHER]
+            lengths = np.array([len(spelled[k]) for k in part])
+            ids = np.array([first[c] for k in part for c in spelled[k]])
+            ids[np.cumsum(lengths) - 1] = [last[spelled[k][-1]] for k in part]
+            self._keep([words[k] for k in part], *self.merged(ids, lengths))
+        for k in long:
+            ids = [first[c] for c in spelled[k]]
+            ids[-1] = last[spelled[k][-1]]
+            self.known[words[k]] = np.array(self.merged_long(ids), "<u4").tobytes()
+        self._keep([w for w, fine in zip(words, good.tolist(), strict=True) if fine], flat[np.repeat(good, sizes)], sizes[good])
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        self.known.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=False))
 
     # -- texts --------------------------------------------------------------------------------
     def _remember(self, words: set[str]) -> None:
@@ -207,17 +247,22 @@ class WordBpe:
         if new := [w for w in words if w not in self.known]:
             self.learn(new)
 
-    def _plain(self, text: str) -> bytes:
-        """White space always separates words, so what stands between is encoded once and remembered."""
-        chunks = text.lower().split()
-        if missing := set(chunks).difference(self.chunks):
-            if len(self.chunks) + len(missing) > KEPT_CHUNKS:
-                self.chunks.clear()
-                missing = set(chunks)
-            parts = {c: [c] if c.isalpha() else self.words.findall(c) for c in missing}
-            self._remember(set(chain.from_iterable(parts.values())))
-            self.chunks.update((c, b"".join([self.known[w] for w in found])) for c, found in parts.items())
-        return b"".join(map(self.chunks.__getitem__, chunks))
+    def _learn_chunks(self, chunks: set[str]) -> None:
+        """Encode what stands between white space: a word, a word and a mark, or what the pattern makes of it."""
+        missing = []
+        for c in chunks:
+            if (ids := self.older.get(c)) is None:
+                missing.append(c)
+            else:
+                self.chunks[c] = ids
+        find = self.words.findall
+        single = [c for c in missing if c.isalpha()]
+        rest = [c for c in missing if not c.isalpha()]
+        parts = [(c[:-1], c[-1]) if c[-1] in ".,;:!?" and c[:-1].isalpha() else find(c) for c in rest]
+        self._remember(set(chain(single, *parts)))
+        known = self.known
+        self.chunks.update(zip(single, map(known.__getitem__, single), strict=True))
+        self.chunks.update(zip(rest, [b"".join([known[w] for w in found]) for found in parts], strict=True))
 
     def _other(self, text: str) -> bytes:
         """Normalised and split as the tokenizer file says."""
@@ -227,17 +272,41 @@ class WordBpe:
         self._remember(set(words))
         return b"".join(map(self.known.__getitem__, words))
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text, as little-endian unsigned 32-bit integers."""
-        text = text or ""
-        out, at = [], 0
-        for cut in self.special.finditer(text) if "<" in text else ():
-            out += [self._segment(text[at : cut.start()]), self.raw[self.specials[cut[0]]]]
-            at = cut.end()
-        return b"".join([*out, self._segment(text[at:])])
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= TOGETHER_CHARS:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
 
-    def _segment(self, text: str) -> bytes:
-        return self._plain(text) if _PLAIN.fullmatch(text) else self._other(text)
+    def encode(self, text: str | None) -> bytes:
+        return next(self.encode_all([text]))
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        """Encode some texts, learning the new words of all of them at once."""
+        split = []  # of each text its parts: bytes that are done, or a list of chunks
+        for text in texts:
+            parts, at = [], 0
+            for cut in self.special.finditer(text) if "<" in text else ():
+                parts += [self._segment(text[at : cut.start()]), self.raw[self.specials[cut[0]]]]
+                at = cut.end()
+            split.append([*parts, self._segment(text[at:])])
+        if len(self.chunks) > KEPT_CHUNKS:  # a new generation; what is met again moves to it
+            self.older, self.chunks = self.chunks, {}
+        needed = set().union(*[p for parts in split for p in parts if isinstance(p, list)])
+        if new := needed.difference(self.chunks):
+            self._learn_chunks(new)
+        of = self.chunks.__getitem__
+        for parts in split:
+            yield b"".join([p if isinstance(p, bytes) else b"".join(map(of, p)) for p in parts])
+
+    def _segment(self, text: str) -> list[str] | bytes:
+        """The chunks of a plain text; white space always separates words. The ids of any other."""
+        return text.lower().split() if _PLAIN.fullmatch(text) else self._other(text)
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes without a decoder: tokens, special ones too, joined by spaces."""
@@ -256,11 +325,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            ids = pa.array([bpe.encode(t) for t in batch.column("text").to_pylist()], pa.binary())
+            ids = pa.array(list(bpe.encode_all(batch.column("text").to_pylist())), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary"
-    return docs.select("doc_id", "text").mapInArrow(encode, schema)
+    return map_batches(docs.select("doc_id", "text"), encode, schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -271,8 +340,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         numerals = np.array([str(i) for i in range(len(bpe.tokens))], object)
         for batch in batches:
             counts, of_ids, of_text = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = np.frombuffer(bpe.encode(text), "<u4")
+            for raw in bpe.encode_all(batch.column("text").to_pylist()):
+                ids = np.frombuffer(raw, "<u4")
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(" ".join(numerals[ids].tolist()).encode()).hexdigest())
                 of_text.append(hashlib.sha256(bpe.decode(ids.tolist()).encode()).hexdigest())
@@ -280,4 +349,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(digest, schema)
+    return map_batches(docs.select("doc_id", "text"), digest, schema)

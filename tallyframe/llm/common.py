@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,22 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_SHIPPED: set[str] = set()
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow``, for functions of this package.
+
+    On a cluster the package must be installed on executors or given by ``--py-files``. The workers of a
+    local session get it here, so that they need not share the driver's search path.
+    """
+    context = df.sparkSession.sparkContext
+    if re.match(r"local(\[|$)", context.master) and context.applicationId not in _SHIPPED:
+        context.addFile(str(Path(__file__).parents[1]), recursive=True)
+        _SHIPPED.add(context.applicationId)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +49,14 @@ def bucket_of_id(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix for columns of one's own that no column of ``columns`` has."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 CHUNK = 1024  # rows of one key in a chunk; two chunks are compared in one cell
 MAX_HOT = 50_000  # keys of which the row counts are broadcast, the most frequent ones
 

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.llm.common import map_batches
+
 SAMPLE_DOCS = 400  # labelled texts that a dictionary is made of, at most
 SAMPLE_CHARS = 4000  # of these texts, so much is read; prediction reads whole texts
 DICTIONARY_BYTES = 1 << 16
@@ -130,7 +132,7 @@ def predicted(docs: DataFrame, model: Model, passed: list[str]) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *made], schema.names)
 
-    return docs.select(*dict.fromkeys([*passed, "text"])).mapInArrow(predict, schema)
+    return map_batches(docs.select(*dict.fromkeys([*passed, "text"])), predict, schema)
 
 
 def drop_unclear(docs: DataFrame, model: Model) -> DataFrame:
@@ -141,4 +143,4 @@ def drop_unclear(docs: DataFrame, model: Model) -> DataFrame:
             clear = [model.predict(t)[2] >= NARROW for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(clear, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.bpe import tokenizer
+from tallyframe.llm.common import map_batches
 from tallyframe.session import cut_lineage, scratch_path
 
 SEQUENCE = 2048
@@ -43,8 +44,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         served: dict[str | None, int] = {}
         for batch in batches:
             before, ids, sources = [], [], batch.column("source").to_pylist()
-            for source, text in zip(sources, batch.column("text").to_pylist(), strict=True):
-                ids.append(bpe.encode(text) + end)
+            for source, own in zip(sources, bpe.encode_all(batch.column("text").to_pylist()), strict=True):
+                ids.append(own + end)
                 before.append(served.get(source, 0))
                 served[source] = before[-1] + len(ids[-1]) // 4
             yield pa.RecordBatch.from_arrays(
@@ -61,7 +62,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, part int, before bigint, n bigint, ids binary"
     path_of_ids = scratch_path(spark, "tokens")
-    rows.mapInArrow(encode, schema).write.option("compression", "zstd").parquet(path_of_ids)
+    map_batches(rows, encode, schema).write.option("compression", "zstd").parquet(path_of_ids)
     return spark.read.schema(schema).parquet(path_of_ids)
 
 
@@ -178,4 +179,4 @@ def pack(
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, start bigint, length bigint,"
         " doc_tokens bigint, window_id bigint, sequence_id bigint, offset bigint, ids binary"
     )
-    return placed.mapInArrow(cut, schema)
+    return map_batches(placed, cut, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import CHUNK, dealt_in_cells, group_ends, whole_groups
+from tallyframe.llm.common import CHUNK, dealt_in_cells, group_ends, map_batches, whole_groups
 from tallyframe.llm.components import components
 from tallyframe.session import cut_lineage
 
@@ -82,7 +82,7 @@ def with_fingerprints(docs: DataFrame, words: int = 3, count: int = 1, text: str
             columns = [*batch.columns, *[pa.array(made[:, k]) for k in range(count)]]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
 
-    return docs.mapInArrow(add, schema)
+    return map_batches(docs, add, schema)
 
 
 def _bits(f, shift: int, width: int):
@@ -165,7 +165,7 @@ def links(nodes: DataFrame, fingerprints: list[str], budget: int = 3, limit: int
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return dealt_in_cells(keyed, "key", "node", chunk).mapInArrow(compare, "a bigint, b bigint")
+    return map_batches(dealt_in_cells(keyed, "key", "node", chunk), compare, "a bigint, b bigint")
 
 
 def _grouped(prints: DataFrame, names: list[str], budget: int, limit: int) -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.llm.common import map_batches
+
 TOXIC_SAMPLE = 2000  # at most so many labelled texts of each class are learned from
 CLEAN_SAMPLE = 4000
 SAMPLE_CHARS = 20_000  # of texts no longer than this; scoring has no such bound
@@ -165,7 +167,7 @@ def scored(docs: DataFrame, model: Model, passed: list[str]) -> DataFrame:
             made = [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *made], [*passed, "score", "predicted", "offending"])
 
-    return docs.select(*dict.fromkeys([*passed, "text"])).mapInArrow(score, schema)
+    return map_batches(docs.select(*dict.fromkeys([*passed, "text"])), score, schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -175,4 +177,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([model.score(t)[0] < 0.5 for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)

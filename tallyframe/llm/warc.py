@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import map_batches
 from tallyframe.session import cut_lineage
 
 VERSION = b"WARC/1.1\r\n"
@@ -133,7 +134,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
                     values, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
 
-    rows = joined.select("page_id", "url", "html", response.alias("response")).mapInArrow(write, "value string")
+    rows = map_batches(joined.select("page_id", "url", "html", response.alias("response")), write, "value string")
     rows.write.option("compression", "gzip").text(path)
 
 
@@ -235,10 +236,10 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             yield _batch(rows, kinds, names)
 
     binary = F.col("value").cast("binary").alias("value")
-    alone = raw.filter(~in_segments).select(binary).mapInArrow(whole, schema)
-    pieces = raw.filter(in_segments).select(binary).mapInArrow(split, SEGMENT)
+    alone = map_batches(raw.filter(~in_segments).select(binary), whole, schema)
+    pieces = map_batches(raw.filter(in_segments).select(binary), split, SEGMENT)
     grouped = pieces.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "head", "block", "whole")).alias("pieces"))
-    return alone.union(grouped.select("pieces").mapInArrow(join, schema))
+    return alone.union(map_batches(grouped.select("pieces"), join, schema))
 
 
 def resolved(archive: DataFrame) -> DataFrame:
