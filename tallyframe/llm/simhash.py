@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import CHUNK, dealt_in_cells, group_ends, map_batches, whole_groups
+from tallyframe.llm.common import CHUNK, dealt_in_cells, free_prefix, group_ends, map_batches, whole_groups
 from tallyframe.llm.components import components
 from tallyframe.session import cut_lineage
 
@@ -70,9 +70,9 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def with_fingerprints(docs: DataFrame, words: int = 3, count: int = 1, text: str = "text") -> DataFrame:
-    """``docs`` with the columns ``_f0`` and so on, as signed 64-bit integers."""
-    names = [f"_f{k}" for k in range(count)]
+def with_fingerprints(docs: DataFrame, names: list[str], words: int = 3, text: str = "text") -> DataFrame:
+    """``docs`` with columns of these names: a fingerprint each, as signed 64-bit integers."""
+    count = len(names)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     links reach, and the row that has it is kept.
     """
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")
-    prints = cut_lineage(with_fingerprints(rows, words).drop("text"), "prints")
+    prints = cut_lineage(with_fingerprints(rows, ["_f0"], words).drop("text"), "prints")
     groups = _grouped(prints, ["_f0"], 3, 3)
     return prints.join(groups, "_f0").select(
         "doc_id",
@@ -208,9 +208,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     """
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine) / np.pi)
-    names = [f"_f{k}" for k in range(count)]
-    stored = cut_lineage(with_fingerprints(docs.withColumn("_rid", F.monotonically_increasing_id()), words, count), "prints")
-    prints = stored.select(F.col("_rid").alias("rid"), "doc_id", *names)
+    own = free_prefix(docs.columns)
+    rid, names = f"{own}rid", [f"{own}f{k}" for k in range(count)]
+    stored = cut_lineage(with_fingerprints(docs.withColumn(rid, F.monotonically_increasing_id()), names, words), "prints")
+    prints = stored.select(F.col(rid).alias("rid"), "doc_id", *names)
     budget, limit = int(share * 64) + 4, int(share * 64 * count)
-    keep = _grouped(prints, names, budget, limit).select(F.col("keep_rid").alias("_rid")).distinct()
-    return stored.join(keep, "_rid", "left_semi").select(*docs.columns)
+    keep = _grouped(prints, names, budget, limit).select(F.col("keep_rid").alias(rid)).distinct()
+    return stored.join(keep, rid, "left_semi").select(*docs.columns)
