@@ -17,7 +17,7 @@ from tallyframe.functions.labels import (
 from tallyframe.operators.equality import multiset_counts, side_counts
 from tallyframe.operators.keys import known_keys
 from tallyframe.operators.ranking import sample_per_group
-from tallyframe.operators.tagged import per_group
+from tallyframe.operators.tagged import per_group, quoted
 
 Normalizer = Callable[[Column], Column]
 
@@ -46,7 +46,7 @@ def pair_by_key(
     """
     keys = list(keys)
     cols = [c for c in (primary.columns if cols is None else cols) if c not in keys]
-    row = F.struct(*cols) if cols else F.struct(F.lit(None).cast("string").alias("_none"))
+    row = F.struct(*map(quoted, cols)) if cols else F.struct(F.lit(None).cast("string").alias("_none"))
     if dedup is None:
         return _pair_unique(known_keys(primary, keys), known_keys(replicated, keys), keys, row, ts_col)
     if dedup != "first":
@@ -91,6 +91,10 @@ def _pair_unique(primary, replicated, keys, row, ts_col) -> DataFrame:
     )
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 # SQL texts, so that one call builds a whole expression.
 _BOTH = "(keyed AND p_rows > 0 AND r_rows > 0)"
 _ONLY_P = "(keyed AND p_rows > 0 AND r_rows = 0)"
@@ -112,7 +116,7 @@ def only_replicated() -> Column:
 
 def cell_differs(col: str, normalize: Normalizer | None = None, null_is_empty: bool = False) -> Column:
     """Whether the cells of one column differ in a paired row (null equals null)."""
-    left, right = f"p.`{col}`", f"r.`{col}`"
+    left, right = f"p.{quoted(col)}", f"r.{quoted(col)}"
     if null_is_empty:
         raw = f"coalesce(string({left}), '') <> coalesce(string({right}), '')"
     else:
@@ -126,9 +130,9 @@ def cell_differs(col: str, normalize: Normalizer | None = None, null_is_empty: b
 def cell_class(col: str, normalize: Normalizer | None = None, null_is_empty: bool = False) -> Column:
     """How the cells of one column differ in a paired row; null if they do not."""
     if normalize is None:
-        left, right = (F.expr(f"coalesce(string({s}.`{col}`), '') = ''") for s in "pr")
+        left, right = (F.expr(f"coalesce(string({s}.{quoted(col)}), '') = ''") for s in "pr")
     else:
-        left, right = (normalize(F.col(f"{s}.`{col}`")) == "" for s in "pr")
+        left, right = (normalize(F.col(f"{s}.{quoted(col)}")) == "" for s in "pr")
     return F.when(
         cell_differs(col, normalize, null_is_empty),
         F.when(~left & right, PRIMARY_ONLY_VALUE).when(left & ~right, REPLICATED_ONLY_VALUE).otherwise(BOTH_DIFFER),
@@ -152,9 +156,9 @@ def cell_diffs(
     cells = F.array(
         *[
             F.struct(
-                F.expr(f"'{c}' AS column"),
-                F.expr(f"string(p.`{c}`) AS primary_value"),
-                F.expr(f"string(r.`{c}`) AS replicated_value"),
+                F.lit(c).alias("column"),
+                F.expr(f"string(p.{quoted(c)}) AS primary_value"),
+                F.expr(f"string(r.{quoted(c)}) AS replicated_value"),
                 cell_class(c, normalize, null_is_empty).alias("diff_class"),
             )
             for c in cols
@@ -210,7 +214,7 @@ def keyed_stats(
     }
     counted = per_group(rows, by, *[F.expr(f"{e} AS {n}") for n, e in {**totals, **per_class}.items()])
     stats = ", ".join(
-        f"named_struct('column', '{c}', 'n_records', {n}p + {n}r + {n}b, 'n_primary_only_value', {n}p,"
+        f"named_struct('column', {_literal(c)}, 'n_records', {n}p + {n}r + {n}b, 'n_primary_only_value', {n}p,"
         f" 'n_replicated_only_value', {n}r, 'n_both_differ', {n}b)"
         for c, n in zip(cols, names)
     )

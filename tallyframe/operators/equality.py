@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.labels import presence
-from tallyframe.operators.tagged import IN_PRIMARY, IN_REPLICATED, per_group, tagged_union
+from tallyframe.operators.tagged import IN_PRIMARY, IN_REPLICATED, per_group, quoted, tagged_union
 
 
 def table_digest(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -18,7 +18,7 @@ def table_digest(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     below 2**41 rows. Different digests prove a difference; equal ones still need
     :func:`multiset_diff` as proof of equality.
     """
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    h = F.xxhash64(*[F.col(quoted(c)) for c in df.columns])
     pieces = df.select(
         *by,
         F.shiftrightunsigned(h, 42).alias("_hi"),
@@ -37,7 +37,7 @@ def table_digest(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def digests_differ(primary: DataFrame, replicated: DataFrame) -> bool:
     """Cheap proof of inequality (an action that returns two rows)."""
-    if primary.columns != replicated.columns:
+    if primary.dtypes != replicated.dtypes:
         return True
     a, b = table_digest(primary).first(), table_digest(replicated).first()
     return tuple(a) != tuple(b)
@@ -67,7 +67,7 @@ def multiset_counts(
             F.min(F.when(F.col(IN_PRIMARY) == 1, F.col("_ts"))).alias("p_min_ts"),
             F.min(F.when(F.col(IN_REPLICATED) == 1, F.col("_ts"))).alias("r_min_ts"),
         ]
-    return tagged_union(primary, replicated, moved).groupBy(*cols).agg(*aggregates)
+    return tagged_union(primary, replicated, moved).groupBy(*map(quoted, cols)).agg(*aggregates)
 
 
 def side_counts(
@@ -83,7 +83,7 @@ def side_counts(
         "r_min_ts": F.when(F.col(IN_REPLICATED) == 1, F.col("_ts")),
     }
     return rows.select(
-        *cols,
+        *map(quoted, cols),
         F.col(IN_PRIMARY).alias("primary_count"),
         F.col(IN_REPLICATED).alias("replicated_count"),
         *([c.alias(n) for n, c in times.items()] if ts_col else []),
@@ -142,7 +142,7 @@ def distinct_merge_summary(counts: DataFrame, by: Sequence[str] = ()) -> DataFra
 
 def tables_equal(primary: DataFrame, replicated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per group: row counts and whether both sides hold the same rows equally often."""
-    same_columns = primary.columns == replicated.columns
+    same_columns = primary.dtypes == replicated.dtypes  # names, their order and types
     if set(primary.columns) != set(replicated.columns):
         cols = [c for c in primary.columns if c in replicated.columns]
     else:

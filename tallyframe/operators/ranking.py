@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_SAMPLE = 1000
+LIMITED_IN_TASKS = 1000  # Spark limits groups before the shuffle up to this size
+SALTS = 64
 
 
 def latest_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -50,13 +51,17 @@ def child_of_latest(
 def sample_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group in the given order.
 
-    Spark limits every task to ``n`` rows per group before the shuffle, so a huge group never
-    reaches one task; this holds for limits up to ``MAX_SAMPLE``.
+    Spark limits every task to ``n`` rows per group before the shuffle, up to a size. Beyond it, groups
+    are cut over salts first, so that a task gets a share of a huge group and then ``n`` rows of each share.
     """
-    if not 1 <= n <= MAX_SAMPLE:
-        raise ValueError(f"a sample holds 1 to {MAX_SAMPLE} rows")
+    if n < 1:
+        raise ValueError("a sample holds at least one row")
     if not by:
         return df.orderBy(*order).limit(n)
+    if n > LIMITED_IN_TASKS:
+        salted = Window.partitionBy(*by, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        df = df.withColumn("_rank", F.row_number().over(salted)).where(F.col("_rank") <= n).drop("_rank", "_salt")
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 

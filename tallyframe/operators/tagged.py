@@ -11,8 +11,14 @@ IN_PRIMARY = "_p"
 IN_REPLICATED = "_r"
 
 
+def quoted(name: str) -> str:
+    """A column name for SQL texts, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def tagged_union(primary: DataFrame, replicated: DataFrame, cols: Sequence[str | Column]) -> DataFrame:
     """Rows of both sides, with 1/0 markers for the side they come from."""
+    cols = [F.col(quoted(c)) if isinstance(c, str) else c for c in cols]
     left = primary.select(*cols, F.lit(1).alias(IN_PRIMARY), F.lit(0).alias(IN_REPLICATED))
     right = replicated.select(*cols, F.lit(0).alias(IN_PRIMARY), F.lit(1).alias(IN_REPLICATED))
     return left.unionByName(right)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import labels
-from tallyframe.functions.values import try_number, try_time
+from tallyframe.functions.values import exact_number, try_time
 from tallyframe.operators import cells, equality, groups, keys, positional, schema
 from tallyframe.operators.ranking import sample_per_group
 from tallyframe.operators.tagged import per_group, where_group
@@ -119,14 +119,11 @@ def _result(df: DataFrame, by: Sequence[str], dataset: str, spec: DatasetSpec, c
 
 
 def _key_text(key_cols: Sequence[str], by: Sequence[str], key_cast: str | None = None) -> Column:
-    """Key as text; a whole number stays one after a numeric cast."""
+    """Key as text; a numeric key without trailing zeros."""
 
     def text(k: str) -> Column:
-        c = F.col(k)
-        if key_cast == "double":
-            whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-            return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
-        return c.cast("string")
+        plain = F.col(f"`{k}`").cast("string")
+        return F.regexp_replace(plain, r"\.?0+$", "") if key_cast else plain
 
     return F.concat_ws("|", *[text(k) for k in key_cols if k not in by])
 
@@ -164,10 +161,10 @@ def _compare_keyed(primary, replicated, cols, spec, dataset, by, n_samples, stor
     """First row per key on each side, cells compared through the normaliser."""
     key_cols = [*by, *spec.keys]
     if spec.key_cast:
-        if spec.key_cast != "double":
-            raise ValueError("key_cast is 'double' or None")
+        if spec.key_cast != "number":
+            raise ValueError("key_cast is 'number' or None")
         primary, replicated = (
-            df.withColumns({k: try_number(F.col(k)) for k in spec.keys}) for df in (primary, replicated)
+            df.withColumns({k: exact_number(F.col(k)) for k in spec.keys}) for df in (primary, replicated)
         )
     ts = spec.ts_col if spec.ts_col in primary.columns and spec.ts_col in replicated.columns else None
     if ts:
@@ -471,14 +468,31 @@ def compare_tables(
     """
     rules = rules or CompareRules()
     spec = spec or spec_for(dataset)
-    primary, replicated = (apply_rules(df, dataset, rules, spec) for df in (primary, replicated))
+    by = list(by)
+    primary, replicated = (_wrap(apply_rules(df, dataset, rules, spec), by) for df in (primary, replicated))
+    return _unwrap(_compare(primary, replicated, dataset, spec, rules, by, stored), by)
+
+
+def _wrap(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by`` values as structs of one field: these are never null, so a null employer is a group like any other."""
+    return df.withColumns({c: F.struct(F.col(f"`{c}`").alias("value")) for c in by}) if by else df
+
+
+def _unwrap(diff: Diff, by: Sequence[str]) -> Diff:
+    def plain(name: str) -> Callable[[], DataFrame]:
+        return lambda: getattr(diff, name).withColumns({c: F.col(f"`{c}`.value") for c in by})
+
+    return Diff(**{name: plain(name) for name in diff.names()}) if by else diff
+
+
+def _compare(primary, replicated, dataset, spec, rules, by, stored) -> Diff:
     cols = row_columns(primary, dataset, rules, spec)
     if spec.mode == "keyed" and not set(spec.keys) <= {*primary.columns} & {*replicated.columns}:
         # Without its key such a dataset is only counted and tested for equality.
         totals = equality.tables_equal(primary.select(*cols), replicated.select(
             *row_columns(replicated, dataset, rules, spec)), by)
         return Diff(results=_result(totals, by, dataset, spec, cols, [], "match"))
-    return _MODES[spec.mode](primary, replicated, cols, spec, dataset, list(by), rules.max_samples, stored)
+    return _MODES[spec.mode](primary, replicated, cols, spec, dataset, by, rules.max_samples, stored)
 
 
 def union_diffs(diffs: Sequence[Diff]) -> Diff:

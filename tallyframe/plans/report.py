@@ -115,7 +115,9 @@ def _set_lines(diff: Diff, e: str) -> list[DataFrame]:
     d = F.col("dataset")
     sets = diff.set_diffs
     known = lambda c: F.coalesce(F.try_element_at("info", F.lit(c)), F.lit("?"))
-    number = F.lpad(F.when(F.col("group_key").rlike("^[0-9]{1,18}$"), F.col("group_key")).otherwise("0"), 18, "0")
+    # Numbers by length and digits, whatever their size; other keys come first.
+    digits = F.when(F.col("group_key").rlike("^[0-9]+$"), F.ltrim("group_key", F.lit("0"))).otherwise("")
+    number = F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)
     keyed = sets.withColumn("_n", number)
     out = []
     for part, kind, label, verb in (
@@ -317,9 +319,12 @@ def parse_reports(reports: DataFrame, key: str = "report_file") -> DataFrame:
 
 def report_totals(reports: DataFrame, key: str = "report_file") -> DataFrame:
     """Per report: datasets, identical, differing (by the summary block), sum of differences."""
-    entries = summary_entries(reports, key).groupBy(key).agg(
-        F.count_if(F.col("status") == labels.IDENTICAL).alias("files_identical"),
-        F.count_if(F.col("status") == labels.DIFFERENCES).alias("files_with_differences"),
+    # Here a differing line counts with or without a note, as long as it names a dataset.
+    lines = reports.select(key, F.explode(F.split(F.regexp_extract("content", SUMMARY_BLOCK, 1), "\n")).alias("line"))
+    same, named = _holds(F.col("line"), SAME_MARKS), F.regexp_extract("line", DATASET_NAME, 1) != ""
+    entries = lines.groupBy(key).agg(
+        F.count_if(same & named).alias("files_identical"),
+        F.count_if(~same & _holds(F.col("line"), DIFF_MARKS) & named).alias("files_with_differences"),
     )
     details = parse_reports(reports, key).groupBy(key).agg(
         F.count(F.lit(1)).alias("files_compared"), F.sum("difference_count").alias("total_differences")

@@ -150,7 +150,7 @@ ELIGIBILITY = DatasetSpec(
     "eligibility",
     "keyed",
     keys=("id",),
-    key_cast="double",
+    key_cast="number",
     protected=("id", "row_number"),
     compare_exclude=("created_at", "updated_at", "deposited_file_id", "potentials_id", "row_number"),
     normalize=normalize_text,

@@ -57,12 +57,13 @@ def read_delimited(
     """All columns as text, header row used, nothing inferred; keeps malformed rows marked.
 
     The extra column ``_corrupt_record`` holds the raw text of rows whose number of fields is not
-    the header's; :func:`good_rows` and :func:`malformed_rows` tell them apart.
+    the header's; :func:`good_rows` and :func:`malformed_rows` tell them apart. All files must have the
+    same header: another order of columns is an error when it is read, not swapped values.
     """
     sep = sep or detect_separator(spark, path)
     names = csv_reader(spark, sep, multi_line).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    reader = csv_reader(spark, sep, multi_line).schema(schema)
+    reader = csv_reader(spark, sep, multi_line).schema(schema).option("enforceSchema", False)
     return reader.option("columnNameOfCorruptRecord", CORRUPT).csv(path)
 
 
@@ -115,7 +116,7 @@ def write_delimited(
 ) -> None:
     """Delimited sink with a header and proper quoting (values may hold the separator)."""
     writer = df.write.mode(mode).options(
-        header=True, sep=sep, escape='"', emptyValue="", nullValue="", **_KEEP_BLANKS
+        header=True, sep=sep, escape='"', emptyValue="", nullValue="", partitionOverwriteMode="dynamic", **_KEEP_BLANKS
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -99,9 +99,16 @@ def report_employer(file_name: Column) -> Column:
     return F.regexp_extract(file_name, REPORT_NAME, 1)
 
 
+def employer_of_path(path: Column, file_name: Column) -> Column:
+    """Employer of a report: in front of its name, or in the folder that ``plans.report.write_report`` makes."""
+    folder = F.regexp_extract(path, "/emp_id=([^/]*)/[^/]*$", 1)
+    named = report_employer(file_name)
+    return F.when(named != "", named).otherwise(F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))))
+
+
 def find_reports(files: DataFrame, date: str | None = None) -> DataFrame:
     """The newest report of each employer, at any depth, optionally of one date (MM-DD-YY)."""
-    named = files.withColumn("emp_id", report_employer(F.col("file_name"))).where("emp_id <> ''")
+    named = files.withColumn("emp_id", employer_of_path(F.col("path"), F.col("file_name"))).where("emp_id <> ''")
     if date is not None:
         named = named.where(F.col("file_name").contains(f"_{date}_"))
     return latest_per_group(
@@ -116,4 +123,5 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_name").alias("report_file"),
         F.col("_metadata.file_modification_time").alias("modified_at"),
         F.col("value").alias("content"),
-    ).withColumn("emp_id", report_employer(F.col("report_file")))
+        employer_of_path(F.col("_metadata.file_path"), F.col("_metadata.file_name")).alias("emp_id"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from datetime import timedelta
+from datetime import datetime, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,6 @@ from tallyframe.sources.delimited import write_delimited
 # Names in SQL templates.
 EMPLOYER = "employer_id"
 INTERVAL = "time_interval"
-NO_LOWER_BOUND = timedelta(days=36500)
 
 _SLOT = re.compile(r"(?:\bINTERVAL\s+)?'?\{\{(\w+)\}\}'?", re.IGNORECASE)
 
@@ -56,6 +55,11 @@ class QueryTemplate:
 
     text: str
 
+    def __post_init__(self) -> None:
+        for literal in re.findall(r"'(?:[^']|'')*'", self.text):
+            if "{{" in literal and not re.fullmatch(r"'\{\{\w+\}\}'", literal):
+                raise ValueError(f"a slot inside a longer text, {literal}: join the parts with || instead")
+
     @property
     def sql(self) -> str:
         return _SLOT.sub(lambda m: ":" + m.group(1), self.text)
@@ -75,7 +79,7 @@ class QueryTemplate:
             if lookback_minutes is not None:
                 out[INTERVAL] = timedelta(minutes=lookback_minutes)
             elif on_missing == "unbounded":
-                out[INTERVAL] = NO_LOWER_BOUND
+                out[INTERVAL] = datetime.now() - datetime.min  # back to the first day of year 1
             else:
                 raise ValueError(f"the query needs {INTERVAL}, but no lookback is known")
         return out
@@ -151,7 +155,8 @@ def export_datasets(
                 + [f"target={target}"]
             )
             if fmt == "parquet":
-                df.write.mode("overwrite").partitionBy(emp_col).parquet(path)
+                # Employers that are not part of this export keep what an earlier one wrote.
+                df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(emp_col).parquet(path)
             else:
                 write_delimited(df, path, partition_by=[emp_col], mode="overwrite")
             status[name] = "ok"

@@ -467,11 +467,11 @@ def smallest_one_sided_keys(spark, sf):
 
 @query(
     _cells_sql("orders", ["o_orderkey"], ORDER_COLS)
-    + """SELECT "column", count(*) AS n_records FROM cells GROUP BY "column" ORDER BY n_records DESC, "column" LIMIT 3"""
+    + """SELECT "column", count(*) AS n_records FROM cells GROUP BY "column" ORDER BY n_records DESC, "column\""""
 )
 def columns_by_differences(spark, sf):
     stats = cells.keyed_stats(_orders(spark, sf), ORDER_COLS)
-    return cells.column_diffs(stats).select("column", "n_records").orderBy(F.desc("n_records"), "column").limit(3)
+    return cells.column_diffs(stats).select("column", "n_records").orderBy(F.desc("n_records"), "column")
 
 
 # --- schemas --------------------------------------------------------------------------------
