@@ -204,7 +204,9 @@ def test_samples_are_bounded(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
     assert ranking.sample_per_group(df, ["g"], ["v"], 3).count() == 6
     with pytest.raises(ValueError):
-        ranking.sample_per_group(df, ["g"], ["v"], 5000)
+        ranking.sample_per_group(df, ["g"], ["v"], 0)
+    many = spark.range(8000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    assert sorted(r.v for r in ranking.sample_per_group(many, ["g"], ["v"], 1500).collect()) == list(range(3000))
 
 
 def test_child_of_latest(spark):

@@ -53,7 +53,7 @@ def test_template(spark):
     assert (row.a, row.b, row.c.total_seconds()) == ("150", "150", 9000)
     with pytest.raises(ValueError):
         t.run(spark, "150")
-    assert t.run(spark, "150", on_missing="unbounded").first().c.days == 36500
+    assert t.run(spark, "150", on_missing="unbounded").first().c.days > 2000 * 365
     plain = sql.QueryTemplate("SELECT 1 AS x")
     assert plain.sql == "SELECT 1 AS x" and plain.run(spark, "150").first().x == 1
     # A value is never part of the text.
@@ -134,3 +134,17 @@ def test_ids(spark, tmp_path):
     assert [r.emp_id for r in rows] == ["222", "999", "111", "444"]
     (tmp_path / "empty.txt").write_text("")
     assert ids.read_ids(spark, str(tmp_path / "empty.txt")).collect() == []
+
+
+def test_slot_inside_a_longer_text():
+    with pytest.raises(ValueError):
+        sql.QueryTemplate("SELECT * FROM t WHERE name LIKE '%{{employer_id}}%'")
+
+
+def test_headers_of_one_folder_must_agree(spark, tmp_path):
+    (tmp_path / "a.psv").write_text("x|y\n1|2\n")
+    (tmp_path / "b.psv").write_text("x|y\n5|6\n")
+    assert delimited.read_delimited(spark, str(tmp_path), "|").count() == 2
+    (tmp_path / "b.psv").write_text("y|x\n4|3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        delimited.read_delimited(spark, str(tmp_path), "|").collect()
