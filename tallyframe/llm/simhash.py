@@ -18,6 +18,7 @@ other. Rows that share a doc_id are rows of their own. Only doc_id and text are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,7 +204,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     Texts are near-duplicates if their bags of shingles are ``similarity`` alike or more by the
     estimate of ``count`` fingerprints; similarity counts as overlap over union of equally large sets, so 0.8
-    is a cosine of 0.89 and an angle of 15 % of all bits. Links of at most three bits in one fingerprint
+    is a cosine of 0.89 and an angle of 15 % of all bits, to which one standard deviation is added. Links of at most three bits in one fingerprint
     are all tested, more distant ones if they share a chain key.
     """
     cosine = 2 * similarity / (1 + similarity)
@@ -212,6 +213,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     rid, names = f"{own}rid", [f"{own}f{k}" for k in range(count)]
     stored = cut_lineage(with_fingerprints(docs.withColumn(rid, F.monotonically_increasing_id()), names, words), "prints")
     prints = stored.select(F.col(rid).alias("rid"), "doc_id", *names)
-    budget, limit = int(share * 64) + 4, int(share * 64 * count)
+    bits = 64 * count
+    budget, limit = int(share * 64) + 4, int(bits * share + math.sqrt(bits * share * (1 - share)))
     keep = _grouped(prints, names, budget, limit).select(F.col("keep_rid").alias(rid)).distinct()
     return stored.join(keep, rid, "left_semi").select(*docs.columns)
