@@ -19,11 +19,12 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.llm.common import map_batches
+from tallyframe.operators.ranking import sample_per_group
 
 TOXIC_SAMPLE = 2000  # at most so many labelled texts of each class are learned from
 CLEAN_SAMPLE = 4000
@@ -135,15 +136,11 @@ def trained(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Mo
     """
     truth = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     truth = truth.filter(use) if use is not None else truth
-    truth = truth.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    bound = F.when(F.col("toxic") == 1, TOXIC_SAMPLE).otherwise(CLEAN_SAMPLE)
-    chosen = (
-        truth.withColumn("place", place)
-        .filter(F.col("place") <= max(TOXIC_SAMPLE, CLEAN_SAMPLE))
-        .filter(F.col("place") <= bound)
-        .select("doc_id", "toxic")
-    )
+    truth = truth.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    first = [F.xxhash64("doc_id"), F.col("doc_id")]
+    toxic = sample_per_group(truth.filter("toxic = 1"), ["toxic"], first, TOXIC_SAMPLE)
+    clean = sample_per_group(truth.filter("toxic = 0"), ["toxic"], first, CLEAN_SAMPLE)
+    chosen = toxic.union(clean).select("doc_id", "toxic")
     short = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
     rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
