@@ -58,6 +58,7 @@ def free_prefix(columns: list[str]) -> str:
 
 
 CHUNK = 1024  # rows of one key in a chunk; two chunks are compared in one cell
+ROWS_TOGETHER = 200_000
 MAX_HOT = 50_000  # keys of which the row counts are broadcast, the most frequent ones
 
 
@@ -88,21 +89,27 @@ def dealt_in_cells(rows: DataFrame, key: str, item: str, chunk: int = CHUNK) ->
 
 
 def whole_groups(batches: Iterator, group: list[str], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted Arrow batches as arrays, cut so that no group of equal ``group`` columns is split."""
-    held = None
+    """Columns of sorted Arrow batches as arrays, cut so that no group of equal ``group`` columns is split.
+
+    Batches are put together up to ROWS_TOGETHER rows, since comparing costs by the call as well.
+    """
+    held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*group, *names)]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in (*group, *names)])
+        size += batch.num_rows
+        if size < ROWS_TOGETHER:
+            continue
+        now = [np.concatenate(x) for x in zip(*held, strict=True)]
         last = np.logical_and.reduce([c == c[-1] for c in now[: len(group)]])
         split = int(np.argmax(last))
         if split:
             yield [x[:split] for x in now]
-        held = [x[split:] for x in now]
-    if held is not None:
-        yield held
+        held = [[x[split:] for x in now]]
+        size = len(now[0]) - split
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def group_ends(columns: list[np.ndarray]) -> np.ndarray:
