@@ -118,3 +118,15 @@ def group_ends(columns: list[np.ndarray]) -> np.ndarray:
     new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns]) if n > 1 else np.empty(0, bool)
     starts = np.flatnonzero(np.concatenate(([True], new)))
     return np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+
+
+BITMAP_WORDS = 1 << 18  # of 64 bits
+
+
+def rows_in_bitmap(rows: DataFrame, key: str, needed: DataFrame) -> DataFrame:
+    """``rows`` less most of those whose ``key`` is not in ``needed``, by a broadcast bitmap of bounded size, so without a shuffle."""
+    bit = F.pmod(F.xxhash64(key), F.lit(64 * BITMAP_WORDS))
+    word, mask = F.floor(bit / 64).cast("long"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) AS INT))")
+    bitmap = needed.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    likely = rows.withColumns({"_word": word, "_mask": mask}).join(F.broadcast(bitmap), "_word")
+    return likely.filter(F.col("_bits").bitwiseAND(F.col("_mask")) != 0).select(*rows.columns)

@@ -11,6 +11,9 @@ Equal fingerprints are one node. A key's nodes meet in one task if they are few;
 dealt in chunks over cells, one for each pair of chunks. A task emits a spanning forest of the links
 that it finds, never all pairs. Components come from contracting these edges.
 
+``drop_near_duplicates`` has a similarity that is far beyond three bits. It needs no fingerprints: an exact
+set-similarity join over hashed windows, with prefix, length and positional filters, finds all pairs.
+
 Odd cases: null, empty and white-space-only texts have the fingerprint zero and are linked like any
 other. Rows that share a doc_id are rows of their own. Only doc_id and text are read by
 ``near_duplicates``; ``drop_near_duplicates`` returns the columns of its input, whatever their names.
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import CHUNK, dealt_in_cells, free_prefix, group_ends, map_batches, whole_groups
+from tallyframe.llm.common import CHUNK, dealt_in_cells, free_prefix, group_ends, map_batches, rows_in_bitmap, whole_groups
 from tallyframe.llm.components import components
 from tallyframe.session import cut_lineage
 
@@ -36,13 +39,16 @@ SEGMENT = 0xFFFF
 HALVES = ((0, 8), (8, 8))
 THIRDS = ((0, 5), (5, 5), (10, 6))
 _SUM_ROWS = 1 << 15
+FREQUENT = 50_000  # windows whose rank is known; all others count as rare
+SHARE = 20_000  # a window is counted where it is at least one in so many
+SAMPLED = 8  # one text in so many is read for the ranks
 
 
-def fingerprint(text: str | None, words: int = 3, count: int = 1) -> list[int]:
-    """``count`` fingerprints of a text, unsigned. The first one has the bits of XXH64 with seed 42."""
+def window_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's windows, in order; a text of fewer words is one window, one without words has none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not tokens:
-        return [0] * count
+        return np.empty(0, np.uint64)
     whole = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -51,7 +57,14 @@ def fingerprint(text: str | None, words: int = 3, count: int = 1) -> list[int]:
     else:
         spans = [(0, len(whole))]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(whole[a:b], 42) for a, b in spans], np.uint64)
+    return np.array([digest(whole[a:b], 42) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: str | None, words: int = 3, count: int = 1) -> list[int]:
+    """``count`` fingerprints of a text, unsigned. The first one has the bits of XXH64 with seed 42."""
+    hashes = window_hashes(text, words)
+    if not len(hashes):
+        return [0] * count
     out = []
     for k in range(count):
         mixed = hashes if k == 0 else _mixed(hashes, k)
@@ -199,21 +212,155 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, count: int = 4) -> DataFrame:
+# -- near-duplicates by exact similarity of window sets -------------------------------------------
+def _frequent_windows(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that many texts have, sorted, and their ranks from 1 for the least frequent; at most FREQUENT.
+
+    They come from a sample, and a batch reports windows that make up one in SHARE of it. Any order of
+    windows is correct as long as all texts use the same; this one only makes the join fast.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(window_hashes(t, words)) for t in batch.column(0).to_pylist()]
+            values, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+            kept = n >= max(2, int(n.sum()) // SHARE)
+            yield pa.RecordBatch.from_arrays([pa.array(values[kept].view(np.int64)), pa.array(n[kept])], ["key", "n"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
+    counts = map_batches(sample, count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+    known = np.array([r["key"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], (len(top) - np.arange(len(top)))[order]
+
+
+def _with_prefixes(docs: DataFrame, names: list[str], words: int, similarity: float) -> DataFrame:
+    """``docs`` with columns of these names: a 128-bit hash of the set of windows, its size and its prefix."""
+    known, ranks = _frequent_windows(docs, words)
+    kinds = [T.LongType(), T.LongType(), T.IntegerType(), T.ArrayType(T.LongType())]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
+
+    def prefix(windows: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(windows), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, windows), len(known) - 1)
+            rank = np.where(known[at] == windows, ranks[at], 0)
+        n = len(windows)
+        return windows[np.lexsort((windows, rank))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(window_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), ">i8").reshape(-1, 2).astype(np.int64)
+            prefixes = [prefix(s) for s in sets]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in prefixes], dtype=np.int64))).astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.uint64), *prefixes]).view(np.int64)
+            made = [
+                pa.array(keys[:, 0]),
+                pa.array(keys[:, 1]),
+                pa.array([len(s) for s in sets], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+
+    return map_batches(docs, add, schema)
+
+
+def _candidates(rows: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """Pairs (a, b) of nodes that share a key and may be similar, from rows key, node, at (n and place), label.
+
+    Nodes of one label make no pair. Without ``every``, of each key and cell only pairs that span its candidates.
+    """
+    share = similarity / (1 + similarity)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, cell, node, at, label in whole_groups(batches, ["key", "cell"], ["node", "at", "label"]):
+            count, end = len(key), group_ends([key, cell])
+            n, rest, found = at >> 32, (at >> 32) - (at & 0xFFFFFFFF), []
+            joined, lag, rows = np.arange(count), 1, np.flatnonzero(np.arange(count) + 1 < end)
+            while len(rows):
+                late = rows + lag
+                good = np.minimum(rest[rows], rest[late]) >= np.ceil(share * (n[rows] + n[late]) - 1e-9)
+                good &= label[rows] != label[late]
+                if not every:
+                    good &= joined[rows] != joined[late]
+                hit = rows[good]
+                if len(hit):
+                    found.append((node[hit], node[hit + lag]))
+                    if not every:
+                        joined = _labels(joined, hit, hit + lag)
+                lag += 1
+                rows = rows[rows + lag < end[rows]]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return map_batches(dealt_in_cells(rows, "key", "node"), compare, "a bigint, b bigint").distinct()
+
+
+def _similar(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` whose sets of windows are similar, taken from ``texts`` (node, text) again; stored."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(window_hashes(t, words)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "windows"])
+
+    likely = rows_in_bitmap(texts, "node", needed)
+    sets = cut_lineage(map_batches(likely.select("node", "text"), read, "node bigint, windows binary"), "sets")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    sides = [sets.select(F.col("node").alias(c), F.col("windows").alias(w)) for c, w in (("a", "x"), ("b", "y"))]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")
+    return cut_lineage(map_batches(joined, check, "a bigint, b bigint"), "similar")
+
+
+def _similarity_edges(rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of nodes that are similar, from ``rows`` (key, node, at).
+
+    First each key's candidates are spanned, which keeps large families linear. Then come, of the keys whose
+    nodes are not yet connected, all pairs that are neither tested nor connected.
+    """
+    shared = rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    rows = cut_lineage(rows.join(shared, "key", "left_semi"), "shared")
+    pairs = cut_lineage(_candidates(rows.withColumn("label", F.col("node")), similarity, False), "pairs")
+    edges = _similar(texts, pairs, words, similarity)
+    labelled = rows.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = cut_lineage(labelled.select("key", "node", "at", "label"), "labelled")
+    apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    rest = _candidates(labelled.join(apart.select("key"), "key", "left_semi"), similarity, True)
+    rest = cut_lineage(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    return edges.union(_similar(texts, rest, words, similarity))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id.
 
-    Texts are near-duplicates if their bags of shingles are ``similarity`` alike or more by the
-    estimate of ``count`` fingerprints; similarity counts as overlap over union of equally large sets, so 0.8
-    is a cosine of 0.89 and an angle of 15 % of all bits, to which one standard deviation is added. Links of at most three bits in one fingerprint
-    are all tested, more distant ones if they share a chain key.
+    Texts are near-duplicates if their sets of windows of ``words`` words have a Jaccard similarity of
+    ``similarity`` or more, or are both empty; links chain. All such pairs are found: they share a window among the
+    first n - ceil(similarity n) + 1 of both, by rarity, and candidates are verified on the whole sets.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(cosine) / np.pi)
     own = free_prefix(docs.columns)
-    rid, names = f"{own}rid", [f"{own}f{k}" for k in range(count)]
-    stored = cut_lineage(with_fingerprints(docs.withColumn(rid, F.monotonically_increasing_id()), names, words), "prints")
-    prints = stored.select(F.col(rid).alias("rid"), "doc_id", *names)
-    bits = 64 * count
-    budget, limit = int(share * 64) + 4, int(bits * share + math.sqrt(bits * share * (1 - share)))
-    keep = _grouped(prints, names, budget, limit).select(F.col("keep_rid").alias(rid)).distinct()
-    return stored.join(keep, rid, "left_semi").select(*docs.columns)
+    rid, names = f"{own}rid", [f"{own}{c}" for c in ("k1", "k2", "n", "prefix")]
+    stored = cut_lineage(_with_prefixes(docs.withColumn(rid, F.monotonically_increasing_id()), names, words, similarity), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(rid).alias("rid"))
+    keys = [F.col(n).alias(c) for n, c in zip(names[:2], ("k1", "k2"), strict=True)]
+    nodes = stored.groupBy(*keys).agg(F.min(rid).alias("node"), F.min(order).alias("first"))
+    nodes = cut_lineage(nodes.select("node", "first"), "nodes")
+    firsts = stored.join(nodes.select(F.col("node").alias(rid)), rid, "left_semi")
+    rows = firsts.select(F.col(rid).alias("node"), F.col(names[2]).cast("long").alias("n"), F.posexplode(names[3]).alias("place", "key"))
+    rows = rows.select("key", "node", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
+    labels = components(_similarity_edges(rows, stored.select(F.col(rid).alias("node"), "text"), words, similarity))
+    labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    keep = cut_lineage(labelled.groupBy("label").agg(F.min("first").alias("first")), "kept")
+    return stored.join(keep.select(F.col("first.rid").alias(rid)), rid, "left_semi").select(*docs.columns)

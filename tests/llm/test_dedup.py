@@ -133,6 +133,31 @@ def test_drop_near_duplicates(spark, odd_docs, no_docs):
     assert exact_dedup.exact_duplicates(no_docs).collect() == []
 
 
+def test_all_pairs_of_the_stated_similarity_are_linked(spark):
+    rng = random.Random(8)
+    words = [f"word{k}" for k in range(4000)]
+    rows, passage = [], [rng.choice(words) for _ in range(60)]
+    for k in range(150):
+        text = [rng.choice(words) for _ in range(rng.randint(3, 400))]
+        rows.append((3 * k, text))
+        for copy in (1, 2):  # from 60 to 100 % of windows in common
+            near = list(text)
+            for _ in range(rng.randint(0, max(1, len(text) // 20))):
+                near[rng.randrange(len(near))] = rng.choice(words)
+            rows.append((3 * k + copy, near + (passage if rng.random() < 0.2 else [])))
+    sets = {i: {tuple(t[a : a + 5]) for a in range(max(1, len(t) - 4))} for i, t in rows}
+    first = {i: i for i in sets}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if alike(a, b)]
+    assert sum(5 * len(sets[a] & sets[b]) < 4.5 * len(sets[a] | sets[b]) for a, b in links) > 20
+    for _ in range(5):  # links chain
+        for a, b in links:
+            first[a] = first[b] = min(first[a], first[b])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert kept == {i for i in first if first[i] == i}
+
+
 def slow_lines(rows, similarity=0.8):
     seen, out = [], {}
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
