@@ -9,8 +9,9 @@ group) and computes both from them, which never raises the determinant. A docume
 squared Mahalanobis distance exceeds the 99.9 % quantile of chi-square with four degrees.
 
 The nearest documents are found by counting distances in bins of a 32nd of an octave, so a step is two
-aggregations that combine before their shuffle, however large a group is. A floor under each
-deviation keeps statistics that are zero nearly everywhere from rejecting every other value. Groups of few
+aggregations that combine before their shuffle, however large a group is. The square of a floor is added to each
+variance; it keeps statistics that are zero nearly everywhere from rejecting every other value, and is of the order
+of what the statistic resolves in a short text. Groups of few
 documents share one estimate.
 
 Odd cases: a null or empty text has no words and fails the base rules, and so do white space and
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import SPACE, WORD, let
 from tallyframe.session import cut_lineage
 
-FLOORS = (0.1, 0.15, 0.15, 0.15)  # of the four deviations
+#: Of the four deviations, about what each statistic cannot resolve in a short text: the error of a mean of 100 word
+#: lengths, a symbol in 150 words, a line of 12, a window of 50 words.
+FLOORS = (0.05, 0.08, 0.08, 0.06)
 STEPS = 4  # of concentration
 BULK = 0.75  # of a group's documents that estimates rest on
 LEAST_GROUP = 50  # documents; smaller groups share one estimate

@@ -131,6 +131,28 @@ def test_junk_goes_and_the_rest_stays(spark):
     assert counts[True, 0] <= 0.1 * counts[False, 0]
 
 
+def test_repeated_lines_and_windows_are_outliers(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(5000)]
+    lines = lambda n: [" ".join(rng.choice(words) for _ in range(10)) for _ in range(n)]
+    texts = {k: lines(rng.randint(15, 25)) for k in range(300)}
+    for k in range(300, 310):  # nearly half of the lines are copies of a short one
+        texts[k] = [y for x in lines(12) for y in (x, "next part")]
+    for k in range(310, 320):  # a third of the words lies in windows that are found again, no line does
+        made = lines(20)
+        again = " ".join(made[0].split()[:5])
+        texts[k] = [f"{again} {' '.join(x.split()[:5])}" if n < 14 else x for n, x in enumerate(made)]
+    for k in range(320, 330):  # a single copy of a short line
+        made = lines(24)
+        texts[k] = [*made, "end of part", "end of part"]
+    rows = [(k, "\n".join(x), "en", "a") for k, x in texts.items()]
+    judged = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(judged[k].base_failed for k in texts)
+    assert not any(judged[k].kept for k in range(300, 320))
+    assert all(judged[k].kept for k in range(320, 330))
+    assert sum(judged[k].kept for k in range(300)) >= 290
+
+
 def test_estimates_against_numpy(spark):
     """Concentration steps by brute force from the same start, with the same bins."""
     rng = np.random.default_rng(4)
