@@ -71,7 +71,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), least=1)
 
 
 @query()

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyframe.llm import components, exact_dedup, line_dedup, simhash
+from tallyframe.llm import components, exact_dedup, line_dedup, queries, simhash
 from tests.llm.conftest import SF, odd_texts
 
 
@@ -202,6 +202,17 @@ def test_repeated_lines(spark):
         assert texts.get(doc_id) == left or (doc_id not in texts and expected[doc_id] and not left.strip())
 
 
+def test_short_lines_of_the_query(spark, tmp_path):
+    rows = [
+        (1, "All rights reserved.\n这是一行没有空格的文字\n\none two three four"),
+        (2, "一行\nAll rights reserved.\n这是一行没有空格的文字\n"),
+        (3, "one two three four five\nfour three two one\none two three\n \none two four"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.removed for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {1: [], 2: [1, 2], 3: [0, 1]}  # four words in five are 0.8 alike, three in four are not
+
+
 def test_lines_of_real_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     expected = slow_lines([(r.doc_id, r.text) for r in docs.collect()])
