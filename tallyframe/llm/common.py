@@ -7,9 +7,11 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyframe.session import cut_lineage
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -130,3 +132,25 @@ def rows_in_bitmap(rows: DataFrame, key: str, needed: DataFrame) -> DataFrame:
     bitmap = needed.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
     likely = rows.withColumns({"_word": word, "_mask": mask}).join(F.broadcast(bitmap), "_word")
     return likely.filter(F.col("_bits").bitwiseAND(F.col("_mask")) != 0).select(*rows.columns)
+
+
+def numbered(rows: DataFrame, by: list[str], per: list[str], place: str, size: str) -> DataFrame:
+    """``rows`` with their place (from 0) in the order of ``by`` within each group of ``per``, and the group's size; stored.
+
+    ``by`` starts with the columns of ``per``; nulls come first and equal each other. Rows are sorted by range, so a group
+    of any size is spread over partitions; only counts per partition and group are summed up.
+    """
+    own = free_prefix(rows.columns)
+    part, at, first, n, before = (f"{own}{c}" for c in ("part", "at", "first", "n", "before"))
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    stored = cut_lineage(ordered.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "ordered")
+    counts = stored.groupBy(*per, part).agg(F.min(at).alias(first), F.count("*").alias(n))
+    group = Window.partitionBy(*per)
+    earlier = group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({before: F.coalesce(F.sum(n).over(earlier), F.lit(0)), size: F.sum(n).over(group)})
+    counts = cut_lineage(counts.select(*[F.col(c).alias(f"{own}{c}") for c in per], F.col(part).alias(f"{own}in"), first, before, size), "counts")
+    same = F.col(part) == F.col(f"{own}in")
+    for c in per:
+        same &= F.col(c).eqNullSafe(F.col(f"{own}{c}"))
+    placed = stored.join(counts, same).withColumn(place, F.col(before) + F.col(at) - F.col(first))
+    return placed.select(*rows.columns, place, size)
