@@ -7,12 +7,15 @@ is missing and that their length is the stated one, and then decodes the framing
 segments are shuffled. Of equal payloads one is a response and the others are revisits of it.
 
 Archives are written by Spark's own writer and read by its own reader, which splits them at the version line, so
-that no file is ever in memory and lost tasks are run again. The writer cuts chunks so that no
-payload holds that line. Archives are gzip files of a partition each.
+that no file is ever in memory and lost tasks are run again. The writer cuts chunks and segments so that neither a
+payload nor what follows a piece of it makes up that line. Archives are gzip files of a partition each. Records of the other
+version inside what the reader has split off are told by the lengths that records state; name the version that an
+archive mostly has, so that a row of the reader is a record.
 
 Odd cases: a null html is an empty payload, a null url leaves out the target. Of rows that repeat page_id
 and payload, all are responses if one is. A null page_id sorts before all others. A record whose
-length, numbers or framing are wrong is returned with ``complete`` false and the bytes that are there.
+length, numbers or framing are wrong, or that is followed by bytes of no record, is returned with ``complete`` false
+and the bytes that are there.
 Only page_id, url and html are read; an empty table gives no records.
 """
 
@@ -30,6 +33,8 @@ from tallyframe.llm.common import map_batches
 from tallyframe.session import cut_lineage
 
 VERSION = b"WARC/1.1\r\n"
+VERSIONS = (b"WARC/1.0\r\n", VERSION)
+LINES = tuple(v[:-2].decode() for v in VERSIONS)
 SEGMENT_BYTES = 32_768
 CHUNK_CHARS = 8192
 BATCH_BYTES = 4 << 20  # of records handed to the writer at once
@@ -49,13 +54,14 @@ def sha1_base32(payload: bytes) -> str:
 
 # -- writing --------------------------------------------------------------------------------------
 def chunked(payload: str) -> bytes:
-    """``payload`` in UTF-8 and chunked framing, without the version line in any chunk."""
-    line, out = VERSION.decode(), []
+    """``payload`` in UTF-8 and chunked framing, without a version line in any chunk or where one ends."""
+    out = []
     for at in range(0, len(payload), CHUNK_CHARS):
         part = payload[at : at + CHUNK_CHARS]
-        while (cut := part.find(line)) >= 0:
-            out.append(part[: cut + 4])
-            part = part[cut + 4 :]
+        # What follows a chunk is CR LF, so a chunk must not end in the text of a version line either.
+        while cuts := [cut for line in LINES if (cut := part.find(line)) >= 0]:
+            out.append(part[: min(cuts) + 4])
+            part = part[min(cuts) + 4 :]
         out.append(part)
     framed = [b"%x\r\n%b\r\n" % (len(b := p.encode()), b) for p in out if p]
     return b"".join([*framed, b"0\r\n\r\n"])
@@ -67,17 +73,25 @@ def record(fields: dict[str, str], block: bytes) -> bytes:
 
 
 def segments(block: bytes, size: int) -> list[bytes]:
-    """Pieces of at most ``size`` bytes that each end where a character ends."""
-    out, at = [], 0
+    """Pieces of at most ``size`` bytes (12 at least) that each end where a character ends, and not in a version line."""
+    out, at, size = [], 0, max(size, 12)
     while at < len(block):
         end = min(at + size, len(block))
         while end < len(block) and block[end] & 0xC0 == 0x80:
             end -= 1
+        if end < len(block) and block[:end].endswith(tuple(v[:-2] for v in VERSIONS)):
+            end -= 1  # CR LF follows a segment
         out.append(block[at:end])
         at = end
     return out
 
 
+def safe_uri(url: str) -> str:
+    """``url`` as a header field: without white space, and its last character escaped where it ends in a version line."""
+    made = "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
+    return f"{made[:-1]}%{ord(made[-1]):02X}" if made.endswith(LINES) else made
+
+
 def records(page_id: object, url: str | None, html: str | None, response_id: object, size: int) -> Iterator[bytes]:
     """The records of a page: a response and its continuations, or a revisit of the page ``response_id``."""
     html = html or ""
@@ -85,7 +99,7 @@ def records(page_id: object, url: str | None, html: str | None, response_id: obj
     own, other = f"<urn:page:{page_id}:{digest}>", f"<urn:page:{response_id}:{digest}>"
     fields = {"WARC-Type": "response" if own == other else "revisit", "WARC-Record-ID": own, "WARC-Date": DATE}
     if url is not None:
-        fields["WARC-Target-URI"] = "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
+        fields["WARC-Target-URI"] = safe_uri(url)
     fields |= {"WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response"}
     if own != other:
         yield record(fields | {"WARC-Profile": REVISIT, "WARC-Refers-To": other}, b"")
@@ -139,8 +153,11 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
 
 
 # -- reading --------------------------------------------------------------------------------------
-def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes, bool]:
-    """Header fields (lower-case names), header, block, and whether the block has the stated length."""
+def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes, bool, bytes]:
+    """Header fields (lower-case names), header, block, whether it is right, and the record that follows, if any.
+
+    A record is right if its block has the stated length and nothing but line ends stands behind it.
+    """
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = {}
     for line in head.decode("utf-8", "replace").split("\r\n"):
@@ -149,7 +166,19 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes, bool]:
             fields[name.strip().lower()] = value.strip()
     stated = fields.get("content-length", "")
     length = int(stated) if stated.isdigit() else -1
-    return fields, head, rest[:length] if length >= 0 else rest, length >= 0 and len(rest) >= length
+    if length < 0:
+        return fields, head, rest, False, b""
+    behind = rest[length:].lstrip(b"\r\n")
+    follows = behind if behind.startswith(VERSIONS) else b""
+    return fields, head, rest[:length], len(rest) >= length and (not behind or bool(follows)), follows
+
+
+def all_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes, bool]]:
+    """The record that ``raw`` starts with, and those of the other version that follow it."""
+    while raw:
+        raw = raw.removeprefix(VERSIONS[0]).removeprefix(VERSIONS[1])
+        *found, raw = parse(raw)
+        yield tuple(found)
 
 
 def payload_of(block: bytes) -> tuple[bytes, bool]:
@@ -197,11 +226,12 @@ def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.
 _STR, _INT, _BIN, _BOOL = pa.string(), pa.int64(), pa.binary(), pa.bool_()
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True, version: str = LINES[1]) -> DataFrame:
     """One row per record, continuations joined to their origin; with payload unless that is not wanted."""
-    raw = spark.read.option("lineSep", VERSION.decode()).text(path).filter("value <> ''")
+    other = next(line for line in LINES if line != version)
+    raw = spark.read.option("lineSep", f"{version}\r\n").text(path).filter("value <> ''")
     part = F.substring_index("value", "\r\n\r\n", 1)
-    in_segments = F.lower(part).contains("warc-segment-number:")
+    in_segments = F.lower(part).contains("warc-segment-number:") | F.col("value").contains(f"{other}\r\n")
     schema = RECORD + (", payload binary" if with_payload else "")
     names = [c.split(" ")[0] for c in schema.split(", ")]
     kinds = [_STR] * 5 + [_INT, _STR, _BOOL] + [_BIN] * with_payload
@@ -209,16 +239,16 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = (parse(v) for v in batch.column(0).to_pylist())
-            yield _batch([_row(fields, block, whole, with_payload) for fields, _, block, whole in found], kinds, names)
+            yield _batch([_row(fields, block, whole, with_payload) for fields, _, block, whole, _ in found], kinds, names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for value in batch.column(0).to_pylist():
-                fields, head, block, whole = parse(value)
-                origin = fields.get("warc-segment-origin-id") or fields.get("warc-record-id")
-                number, total = fields.get("warc-segment-number", ""), fields.get("warc-segment-total-length", "")
-                rows.append((origin, int(number) if number.isdigit() else 0, int(total) if total.isdigit() else None, head, block, whole))
+                for fields, head, block, whole in all_records(value):
+                    origin = fields.get("warc-segment-origin-id") or fields.get("warc-record-id")
+                    number, total = fields.get("warc-segment-number", ""), fields.get("warc-segment-total-length", "")
+                    rows.append((origin, int(number) if number.isdigit() else 0, int(total) if total.isdigit() else None, head, block, whole))
             yield _batch(rows, [_STR, pa.int32(), _INT, _BIN, _BIN, _BOOL], ["origin", "number", "total", "head", "block", "whole"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,19 +256,26 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             rows = []
             for pieces in batch.column(0).to_pylist():
                 by_number = {p["number"]: p for p in pieces}  # copies of a record are the same bytes
+                if (alone := by_number.pop(0, None)) is not None:  # records without segments
+                    fields = parse((alone["head"] or b"") + b"\r\n\r\n")[0]
+                    rows += [_row(fields, alone["block"], alone["whole"], with_payload)] * alone["copies"]
+                if not by_number:
+                    continue
                 ordered = [by_number[n] for n in sorted(by_number)]
                 block = b"".join([p["block"] for p in ordered])
-                right = all(p["whole"] for p in ordered) and list(by_number) and sorted(by_number) == list(range(1, len(ordered) + 1))
-                right = bool(right) and ordered[-1]["total"] == len(block)
+                right = all(p["whole"] for p in ordered) and sorted(by_number) == list(range(1, len(ordered) + 1))
+                right = right and ordered[-1]["total"] == len(block)
                 fields = parse((ordered[0]["head"] or b"") + b"\r\n\r\n")[0]
-                copies = max(1, sum(p["number"] == 1 for p in pieces))
+                copies = by_number[1]["copies"] if 1 in by_number else 1
                 rows += [_row(fields, block, right, with_payload)] * copies
             yield _batch(rows, kinds, names)
 
     binary = F.col("value").cast("binary").alias("value")
     alone = map_batches(raw.filter(~in_segments).select(binary), whole, schema)
     pieces = map_batches(raw.filter(in_segments).select(binary), split, SEGMENT)
-    grouped = pieces.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "head", "block", "whole")).alias("pieces"))
+    # First one piece of each number, however many copies of a record there are; then a record's own pieces.
+    single = pieces.groupBy("origin", "number").agg(F.first(F.struct("total", "head", "block", "whole")).alias("p"), F.count("*").alias("copies"))
+    grouped = single.groupBy("origin").agg(F.collect_list(F.struct("number", "copies", "p.total", "p.head", "p.block", "p.whole")).alias("pieces"))
     return alone.union(map_batches(grouped.select("pieces"), join, schema))
 
 

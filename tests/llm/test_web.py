@@ -112,3 +112,35 @@ def test_rules(spark):
     nothing = url_rules.judge(pages, frame.limit(0), default="block").select("rule", "verdict").distinct().collect()
     assert [tuple(r) for r in nothing] == [(None, "block")]
     assert url_rules.judge(pages.limit(0), frame).collect() == []
+
+
+def test_version_lines_at_every_border(spark, tmp_path):
+    """The text of a version line at the end of a page, of a chunk, of a segment and of a URL."""
+    pad = "p" * (warc.CHUNK_CHARS - len("WARC/1.1"))
+    texts = [f"see WARC/1.{v}{end}" for v in "01" for end in ("", "\r", "\r\n", "\n")]
+    texts += [f"{pad}WARC/1.1{rest}" for rest in ("", "\r\n", "WARC/1.0\r\n" * 300)]
+    texts += ["x" * k + "WARC/1.1\r\n" * 40 for k in range(0, 60, 7)]
+    rows = [(k, "http://h/WARC/1.1", t) for k, t in enumerate(texts)]
+    for size in (12, 100, 5000):
+        path = str(tmp_path / f"s{size}")
+        warc.write_archives(spark.createDataFrame(rows, PAGES), path, segment_bytes=size)
+        read = warc.read_archives(spark, path).collect()
+        assert all(r.complete for r in read)
+        assert sorted((int(r.record_id.split(":")[2]), bytes(r.payload).decode()) for r in read) == [(k, t) for k, _, t in rows]
+        assert {r.target_uri for r in read} == {"http://h/WARC/1.%31"}
+
+
+def test_both_versions(spark, tmp_path):
+    old = lambda *a: record(*a).replace("WARC/1.1", "WARC/1.0", 1)
+    parts = [old("response", "a", "first"), old("response", "b", "see WARC/1.0\r\nand more"), old("response", "b", "see WARC/1.0\r\nand more")]
+    parts += [record("response", "c", "third"), old("response", "d", "x"), old("response", "e", "12", "WARC-Segment-Number: 1")]
+    parts += [record("continuation", "f", "34", "WARC-Segment-Origin-ID: e", "WARC-Segment-Number: 2", "WARC-Segment-Total-Length: 4")]
+    parts += [record("response", "g", "short").replace("Content-Length: 5", "Content-Length: 2")]
+    (tmp_path / "a.warc").write_bytes("".join(parts).encode())
+    want = [("a", True, "first")] + [("b", True, "see WARC/1.0\r\nand more")] * 2 + [("c", True, "third"), ("d", True, "x"), ("e", True, "1234"), ("g", False, "sh")]
+    read = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r.record_id, r.complete, bytes(r.payload).decode()) for r in read) == want
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "a.warc").write_bytes("".join([*parts[:1], parts[4]]).encode())
+    read = warc.read_archives(spark, str(tmp_path / "old"), version="WARC/1.0").collect()
+    assert sorted((r.record_id, r.complete) for r in read) == [("a", True), ("d", True)]
