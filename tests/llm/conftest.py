@@ -42,7 +42,7 @@ def odd_docs(spark):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(odd_texts(), SCHEMA)
-    return docs.withColumns({c: F.lit("x") for c in ("rid", "name", "pos", "_f0", "row", "removed", "score", "key", "n", "ids", "label")})
+    return docs.withColumns({c: F.lit("x") for c in ("rid", "name", "pos", "_f0", "row", "removed", "score", "key", "n", "ids", "label", "_removed_lines")})
 
 
 @pytest.fixture(scope="session")

@@ -164,11 +164,12 @@ def slow_lines(rows, similarity=0.8):
         out[doc_id] = []
         for pos, line in enumerate((text or "").split("\n")):
             words = set(line.split())
-            if len(words) < 5:
+            if not words:
                 continue
             if any(len(words & s) >= similarity * len(words | s) - 1e-9 for s in seen):
                 out[doc_id].append(pos)
-            seen.append(words)
+            if words not in seen:
+                seen.append(words)
     return out
 
 
