@@ -33,7 +33,7 @@ from tallyframe.session import cut_lineage
 WEIGHTS = (5, 2, 1)  # of the sources in their order, repeating
 MOST = 3  # copies of a document, and times a source's words
 BINS = 4096
-FINE = 20_000  # documents of a source that are taken one by one at a time
+FINE = 1000  # documents of a source that are taken one by one at a time
 _PLACES, _TIES = 40, 22  # bits of a rank: of the ratio of odds, and of what orders equal ones
 _END = 1 << (_PLACES + _TIES)
 
