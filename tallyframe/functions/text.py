@@ -59,7 +59,7 @@ def is_digits(col: Column) -> Column:
 
 
 def digits_or_zero(col: Column) -> Column:
-    """Digit text as a number, anything else as 0 (the row order of grouped reports)."""
+    """Digit text as a double, anything else as 0; ``numbers.digit_number`` orders digits of any length exactly."""
     return F.when(is_digits(col), try_number(col)).otherwise(F.lit(0.0))
 
 

@@ -11,15 +11,6 @@ def try_number(col: Column) -> Column:
     return col.try_cast("double")
 
 
-def exact_number(col: Column) -> Column:
-    """Decimal digits, with or without point and exponent, as an exact number; other text becomes null.
-
-    Up to 28 digits before the point and 10 behind it, so whole ids of any usual length stay apart.
-    """
-    text = F.trim(col.cast("string"))
-    return F.when(text.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("decimal(38,10)"))
-
-
 def try_time(col: Column) -> Column:
     """Text or time as a zone-less timestamp; text that is no time becomes null."""
     return col.try_cast("timestamp_ntz")

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyframe.functions.labels import (
     BOTH_DIFFER,
@@ -16,7 +17,7 @@ from tallyframe.functions.labels import (
 )
 from tallyframe.operators.equality import multiset_counts, side_counts
 from tallyframe.operators.keys import known_keys
-from tallyframe.operators.ranking import sample_per_group
+from tallyframe.operators.ranking import positions, sample_per_group
 from tallyframe.operators.tagged import per_group, quoted
 
 Normalizer = Callable[[Column], Column]
@@ -265,3 +266,19 @@ def one_sided_samples(
         F.to_json(F.coalesce("p", "r")).alias("record"),
     )
     return sample_per_group(rows, [*by, "presence"], own, n)
+
+
+def one_sided_keys(
+    paired: DataFrame, keys: Sequence[str], order: Column, n: int | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Keys that only one side holds, with their ``position`` (from 1) per side and group by ``order``.
+
+    The first ``n``, or all of them: those are numbered over all tasks. A key whose ``order`` is null is left out.
+    """
+    found = pair_presence(paired, keys).withColumn("_order", order).where("_order IS NOT NULL")
+    groups, own = [*by, "presence"], [k for k in keys if k not in by]
+    if n is None:
+        return positions(found, groups, ["_order", *own]).drop("_order")
+    first = sample_per_group(found, groups, ["_order", *own], n)
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy("_order", *own))
+    return first.withColumn("position", place.cast("bigint")).drop("_order")

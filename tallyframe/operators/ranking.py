@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyframe.session import cut_lineage
+
 LIMITED_IN_TASKS = 1000  # Spark limits groups before the shuffle up to this size
 SALTS = 64
 
@@ -69,3 +71,22 @@ def sample_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str | Col
 def first_occurrences(df: DataFrame, value: str, position: str) -> DataFrame:
     """Distinct values with the position of their first occurrence."""
     return df.groupBy(value).agg(F.min(position).alias(position))
+
+
+def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+    """``df`` with each row's place (from 1) in its group by ``order``; stored.
+
+    Rows are sorted by range and counted per partition, so a group of any size is spread over all tasks.
+    """
+    by = list(by)
+    ordered = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = cut_lineage(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ordered")
+    sizes = placed.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    sizes = cut_lineage(sizes.select(*[F.col(f"`{c}`").alias(f"_by{k}") for k, c in enumerate(by)], F.col("_part").alias("_in"), "_first", "_before"), "sizes")
+    same = F.col("_part") == F.col("_in")
+    for k, c in enumerate(by):
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"_by{k}"))
+    numbered = placed.join(sizes, same).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1)
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], name)

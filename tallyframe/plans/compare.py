@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import labels
-from tallyframe.functions.values import exact_number, try_time
+from tallyframe.functions.numbers import exact_number, number_text
+from tallyframe.functions.text import is_digits
+from tallyframe.functions.values import try_time
 from tallyframe.operators import cells, equality, groups, keys, positional, schema
 from tallyframe.operators.ranking import sample_per_group
 from tallyframe.operators.tagged import per_group, where_group
@@ -35,6 +37,7 @@ FRAMES = (
     "column_diffs",
     "column_samples",
     "key_presence",
+    "one_sided_keys",
     "cell_diffs",
     "record_samples",
     "set_diffs",
@@ -119,11 +122,10 @@ def _result(df: DataFrame, by: Sequence[str], dataset: str, spec: DatasetSpec, c
 
 
 def _key_text(key_cols: Sequence[str], by: Sequence[str], key_cast: str | None = None) -> Column:
-    """Key as text; a numeric key without trailing zeros."""
+    """Key as text; numbers in their shortest form."""
 
     def text(k: str) -> Column:
-        plain = F.col(f"`{k}`").cast("string")
-        return F.regexp_replace(plain, r"\.?0+$", "") if key_cast else plain
+        return number_text(F.col(f"`{k}`")) if key_cast else F.col(f"`{k}`").cast("string")
 
     return F.concat_ws("|", *[text(k) for k in key_cols if k not in by])
 
@@ -147,6 +149,13 @@ def _keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples, stor
             *by, name, "presence", key, "record"
         ),
     }
+    if spec.listed_keys is not None:
+        (own,) = spec.keys
+        number = F.col(f"`{own}`") if spec.key_cast else F.when(is_digits(F.col(f"`{own}`")), exact_number(F.col(f"`{own}`")))
+        n = None if spec.listed_keys == "all" else spec.listed_keys
+        out["one_sided_keys"] = lambda: cells.one_sided_keys(changed(), key_cols, number, n, by).select(
+            *by, name, "presence", "position", key
+        )
     if compared:
         out["cell_diffs"] = lambda: diffs().select(
             *by, name, key, "column", "primary_value", "replicated_value", "diff_class"

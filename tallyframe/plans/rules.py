@@ -112,7 +112,8 @@ class DatasetSpec:
     ``mode``: ``generic`` (keyed if the key is unique on both sides, else whole rows), ``keyed``
     (first row per key, normalised cells) or ``groups`` (sets of items per group).
     ``full_row`` for whole rows: ``auto`` (positional for equal row counts, else distinct rows),
-    ``positional``, ``distinct`` or ``multiset``.
+    ``positional``, ``distinct`` or ``multiset``. ``listed_keys``: how many one-sided keys are listed in the order of their
+    numbers; ``all`` for every key of digits alone, None for no list.
     """
 
     kind: str
@@ -129,6 +130,7 @@ class DatasetSpec:
     full_row: str = "auto"
     null_is_empty: bool = False
     dedup: str = "first"
+    listed_keys: int | str | None = None
 
     def with_(self, **changes) -> DatasetSpec:
         return replace(self, **changes)
@@ -145,6 +147,7 @@ ISSUES = DatasetSpec(
     normalize=normalize_text,
     record_noun="Row_numbers",
     matching_noun="row_numbers",
+    listed_keys="all",
 )
 ELIGIBILITY = DatasetSpec(
     "eligibility",
@@ -155,6 +158,7 @@ ELIGIBILITY = DatasetSpec(
     compare_exclude=("created_at", "updated_at", "deposited_file_id", "potentials_id", "row_number"),
     normalize=normalize_text,
     ts_col="created_at",
+    listed_keys=20,
 )
 ACTIVITIES = DatasetSpec(
     "activities",

@@ -8,7 +8,7 @@ from tallyframe.operators import equality, ranking
 from tallyframe.plans.compare import compare_tables
 from tallyframe.session import scratch_path
 from tallyframe.sources.sql import QueryTemplate, export_datasets
-from workload.data import register, run_sql
+from workload.data import ctes, pair, register, run_sql
 from workload.registry import query
 
 _NULL_P = "SELECT nullif(o_custkey % 5, 0) AS emp_id, o_orderkey AS row_number, o_orderstatus AS state FROM orders"
@@ -57,6 +57,64 @@ def numeric_key_edge(spark, sf):
     return diff.results.select("n_primary_only", "n_replicated_only", "n_records_with_diffs", "match")
 
 
+# Numbers that no machine type holds, and other spellings of the same ones; the class of an order follows from its key.
+_K = "lpad(CAST(o_orderkey AS VARCHAR(12)), 12, '0')"
+_N = f"""SELECT o_orderkey % 10 AS c, o_orderkey % 20 = 17 AS odd, {_K} AS k FROM orders"""
+_NUMBERS_P = f"""SELECT CASE c WHEN 0 THEN '1' || k || repeat('7', 28) || '1' WHEN 1 THEN '8' || k || repeat('3', 47)
+ WHEN 2 THEN '2' || k || '.000000000001' WHEN 3 THEN '3' || k || 'e3' WHEN 4 THEN '4' || k || 'd' WHEN 5 THEN '  '
+ WHEN 6 THEN '-6' || k || '.50' WHEN 8 THEN '-8' || k || '.00000000000000000000000000000000000000000000000000000000001'
+ ELSE '9' || k END AS id, 'x' AS note FROM n"""
+_NUMBERS_R = f"""SELECT CASE c WHEN 0 THEN '1' || k || repeat('7', 28) || '2' WHEN 1 THEN '+0008' || k || repeat('3', 47) || '.000'
+ WHEN 2 THEN '2' || k || '.000000000002' WHEN 3 THEN '3' || k || '000.0' WHEN 4 THEN '4' || k || 'd' WHEN 5 THEN ''
+ WHEN 6 THEN '-06' || k || '.5' WHEN 8 THEN '-8' || k || '.00000000000000000000000000000000000000000000000000000000002'
+ ELSE '9' || k || '.0E+0' END AS id, CASE WHEN odd THEN 'y' ELSE 'x' END AS note FROM n"""
+
+
+def _numbers(spark, sf):
+    return compare_tables(
+        *[run_sql(spark, sf, f"WITH n AS ({_N}) {side}") for side in (_NUMBERS_P, _NUMBERS_R)], "8b-eligibilities.psv"
+    )
+
+
+@query(
+    f"""WITH n AS ({_N}) SELECT count(*) AS primary_rows, count(*) AS replicated_rows, count(*) FILTER (c IN (0, 2, 8)) AS n_primary_only,
+ count(*) FILTER (c IN (0, 2, 8)) AS n_replicated_only, count(*) FILTER (odd) AS n_records_with_diffs, false AS match FROM n"""
+)
+def numeric_key_lengths(spark, sf):
+    """Ids of 42 and 60 digits, 12 and 59 decimals, exponents, signs and outer zeros match exactly or not at all."""
+    columns = ["primary_rows", "replicated_rows", "n_primary_only", "n_replicated_only", "n_records_with_diffs", "match"]
+    return _numbers(spark, sf).results.select(*columns)
+
+
+@query(
+    f"""WITH n AS ({_N}), ids AS (
+ SELECT presence, key, row_number() OVER (PARTITION BY presence ORDER BY rank, CASE rank WHEN 1 THEN -CAST(k AS BIGINT) ELSE CAST(k AS BIGINT) END) AS position FROM (
+  SELECT k, CASE c WHEN 8 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS rank, s.presence,
+   CASE c WHEN 0 THEN '1' || k || repeat('7', 28) || s.last WHEN 2 THEN '2' || k || '.00000000000' || s.last
+    ELSE '-8' || k || '.' || repeat('0', 58) || s.last END AS key
+  FROM n, (VALUES ('primary_only', '1'), ('replicated_only', '2')) s(presence, last) WHERE c IN (0, 2, 8)))
+SELECT presence, position, key FROM ids WHERE position <= 20"""
+)
+def smallest_one_sided_numbers(spark, sf):
+    """The 20 smallest ids that only one side has, by their numbers: negative ones first."""
+    return _numbers(spark, sf).one_sided_keys.select("presence", "position", "key")
+
+
+@query(
+    f"""WITH {ctes("9-issues-potentials.psv")},
+x AS (SELECT DISTINCT emp_id, row_number AS key, 'primary_only' AS presence FROM p
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.emp_id = p.emp_id AND r.row_number = p.row_number)
+ UNION ALL SELECT DISTINCT emp_id, row_number, 'replicated_only' FROM r
+  WHERE NOT EXISTS (SELECT 1 FROM p WHERE r.emp_id = p.emp_id AND r.row_number = p.row_number))
+SELECT emp_id, presence, key, row_number() OVER (PARTITION BY emp_id, presence ORDER BY CAST(key AS BIGINT)) AS position
+FROM x WHERE regexp_full_match(key, '[0-9]+')"""
+)
+def one_sided_row_numbers(spark, sf):
+    """All row numbers of issues that only one side has, numbered in their order; those that are no digits are left out."""
+    diff = compare_tables(*pair(spark, sf, "9-issues-potentials.psv"), "9-issues-potentials.psv", by=["emp_id"])
+    return diff.one_sided_keys.select("emp_id", "presence", "key", "position")
+
+
 @query("SELECT CAST(year(o_orderdate) - 95 AS INT) AS y, count(*) AS n FROM orders GROUP BY 1")
 def unbounded_lookback(spark, sf):
     """Without a lookback no row is too old."""
