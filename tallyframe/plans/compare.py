@@ -535,9 +535,15 @@ def compare_run(
     """Compare all datasets of a run, every employer in the same jobs.
 
     Excluded datasets are left out. A dataset that cannot be compared becomes a result row with
-    status ``ERROR``; the others go on.
+    status ``ERROR``; the others go on. The frames are lazy, so that holds for what fails before it runs. With ``stored``,
+    each dataset is computed apart into the shared folder (:func:`tallyframe.plans.batch.run_isolated`), and it holds for
+    whatever fails while running, too.
     """
     rules = rules or CompareRules()
+    if stored:
+        from tallyframe.plans.batch import run_isolated  # it builds on this module
+
+        return run_isolated(spark, tables, None, rules, specs, by).diff()
     diffs: list[Diff] = []
     failed: list[tuple[str, str, str]] = []
     by_schema = ""
@@ -545,7 +551,7 @@ def compare_run(
         spec = (specs or {}).get(name) or spec_for(name)
         try:
             primary, replicated = tables[name]
-            diffs.append(compare_tables(primary, replicated, name, spec, rules, by, stored))
+            diffs.append(compare_tables(primary, replicated, name, spec, rules, by))
             by_schema = by_schema or _by_schema(primary, by)
         except Exception as problem:  # one dataset must not stop the others
             failed.append((name, spec.kind, str(problem).splitlines()[0]))

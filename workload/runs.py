@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import labels
 from tallyframe.plans import report, rollup
-from tallyframe.plans.compare import Diff, compare_run, compare_tables, write_run
+from tallyframe.plans.batch import Run, run_isolated
+from tallyframe.plans.compare import Diff, compare_run, compare_tables
 from tallyframe.plans.rules import GENERIC, CompareRules
-from tallyframe.session import scratch_path
 from workload.data import RULES_INI, RUN, ctes, pair, run_sql
 from workload.registry import query
 from workload.results_sql import ACTIVITIES, ELIGIBILITY, ISSUES, PARTS, RUN_RESULTS, USERS
@@ -69,19 +69,16 @@ def compare_with_rules_table(spark, sf):
     return _compared(spark, sf, "11-users.psv", rules).results.select(*RESULT)
 
 
-def _run(spark, sf, stored=False) -> Diff:
-    tables = {name: pair(spark, sf, name) for name in RUN}
-    return compare_run(spark, tables, RULES, stored=stored)
+def _run(spark, sf) -> Diff:
+    return compare_run(spark, {name: pair(spark, sf, name) for name in RUN}, RULES)
 
 
 def _written(spark, sf):
-    """The run's tables, written once per session as a user would, and read back."""
+    """The run's frames, committed once per session as a user would, and read back by the run's manifest."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _WRITTEN:
-        path = scratch_path(spark, "run")
-        write_run(_run(spark, sf, stored=True), path)
-        _WRITTEN[key] = path
-    return lambda name: spark.read.parquet(f"{_WRITTEN[key]}/{name}")
+        _WRITTEN[key] = run_isolated(spark, {name: pair(spark, sf, name) for name in RUN}, rules=RULES).path
+    return Run(spark, _WRITTEN[key]).frame
 
 
 @query(RUN_RESULTS)
@@ -89,6 +86,33 @@ def run_results(spark, sf):
     return _run(spark, sf).results.select(*RESULT)
 
 
+def _failing(spark, sf):
+    """Two sides whose last employer has a cell that cannot be read, which shows only while the job runs."""
+    p, r = pair(spark, sf, "15-potentials.psv")
+    return p.withColumn("p_size", F.expr("CAST(CASE WHEN emp_id = 5 THEN p_name ELSE p_size END AS INT)")), r
+
+
+@query(
+    f"""SELECT emp_id, dataset, match, status, primary_rows, replicated_rows, summary FROM ({USERS})
+UNION ALL SELECT emp_id, dataset, match, status, primary_rows, replicated_rows, summary FROM ({PARTS})
+UNION ALL SELECT NULL, x.dataset, false, 'ERROR', NULL, NULL, x.summary FROM (VALUES
+ ('16-cells.psv', 'Error: [CAST_INVALID_INPUT]'), ('17-missing.psv', 'Error: [PATH_NOT_FOUND]'),
+ ('5a-activities-issues.psv', 'Error: 5a-activities-issues.psv: no column row_number, action')) x(dataset, summary)"""
+)
+def run_with_failures(spark, sf):
+    """A dataset that fails while running, one without its files and one without its key, beside two good ones."""
+    tables = {n: pair(spark, sf, n) for n in ("11-users.psv", "15-potentials.psv")}
+    tables["16-cells.psv"] = _failing(spark, sf)
+    tables["17-missing.psv"] = lambda: (spark.read.parquet(f"{sf}/none.parquet"), tables["11-users.psv"][1])
+    tables["5a-activities-issues.psv"] = tables["15-potentials.psv"]
+    results = run_isolated(spark, tables, rules=RULES).frame("results")
+    kind = F.regexp_extract("summary", r"^Error: \[[A-Z_]+", 0)
+    return results.select(
+        "emp_id", "dataset", "match", "status", "primary_rows", "replicated_rows",
+        F.when(kind != "", F.concat(kind, F.lit("]"))).otherwise(F.col("summary")).alias("summary"),
+    )
+
+
 @query(
     f"""WITH res AS ({RUN_RESULTS}) SELECT emp_id, emp_id IS NULL AS is_total, files_compared, identical, differences,
  success_rate, CASE WHEN emp_id IS NULL THEN NULL WHEN identical = files_compared THEN 'PERFECT'
