@@ -50,10 +50,20 @@ def digit_number(col: Column) -> Column:
 
 def number_text(number: Column) -> Column:
     """The shortest plain text of a number; with an exponent where plain text would need very many zeros."""
+    return F.transform(F.array(number), _text_of)[0]  # computes ``number`` once
+
+
+def _text_of(number: Column) -> Column:
     sign = number["sign"]
     digits = F.when(sign < 0, F.translate(F.rtrim(number["digits"], F.lit(_LAST)), _DIGITS, _REVERSED)).otherwise(number["digits"])
-    point, n = number["exponent"] * F.when(sign < 0, -1).otherwise(1), F.length(digits)
-    short = point.cast("int")
+    point = number["exponent"] * F.when(sign < 0, -1).otherwise(1)
+    minus = F.when(sign < 0, "-").otherwise("")
+    text = F.transform(F.array(F.struct(digits.alias("digits"), point.alias("point"))), lambda n: _unsigned(n["digits"], n["point"]))[0]
+    return F.when(sign == 0, "0").when(number.isNotNull(), F.concat(minus, text))
+
+
+def _unsigned(digits: Column, point: Column) -> Column:
+    n, short = F.length(digits), point.cast("int")
     plain = (
         F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -short), digits))
         .when(point < n, F.concat(F.substring(digits, F.lit(1), short), F.lit("."), F.substring(digits, short + 1, n)))
@@ -61,6 +71,4 @@ def number_text(number: Column) -> Column:
     )
     rest = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(F.lit(""))
     scientific = F.concat(F.substring(digits, 1, 1), rest, F.lit("E"), (point - 1).cast("string"))
-    near = (point > -PLAIN_ZEROS) & (point - n < PLAIN_ZEROS)
-    text = F.concat(F.when(sign < 0, "-").otherwise(""), F.when(near, plain).otherwise(scientific))
-    return F.when(sign == 0, "0").when(number.isNotNull(), text)
+    return F.when((point > -PLAIN_ZEROS) & (point - n < PLAIN_ZEROS), plain).otherwise(scientific)

@@ -282,3 +282,27 @@ def one_sided_keys(
     first = sample_per_group(found, groups, ["_order", *own], n)
     place = F.row_number().over(Window.partitionBy(*groups).orderBy("_order", *own))
     return first.withColumn("position", place.cast("bigint")).drop("_order")
+
+
+def with_equal_rows(stats: DataFrame, equal: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`keyed_stats` of a part of both sides, with the totals of the equal rest added.
+
+    ``equal`` has n_rows, n_keys, n_repeated and min_ts per group; a group that is equal in whole has no row in ``stats``.
+    """
+    rest = equal.select(*by, *[F.col(c).alias(f"_{c}") for c in ("n_rows", "n_keys", "n_repeated", "min_ts")])
+    joined = stats.join(rest, list(by), "full") if by else stats.crossJoin(rest)  # one row each
+    more = {
+        "primary_rows": "_n_rows", "replicated_rows": "_n_rows", "n_common": "_n_keys",
+        "n_duplicate_primary": "_n_repeated", "n_duplicate_replicated": "_n_repeated",
+    }
+    out = []
+    for c in stats.columns:
+        kept = F.coalesce(F.col(c), F.lit(0)) if dict(stats.dtypes)[c] == "bigint" and c not in by else F.col(quoted(c))
+        if c in more:
+            kept = kept + F.coalesce(more[c], F.lit(0))
+        if c == "primary_min_ts":
+            kept = F.least(c, "_min_ts")
+        if c == "column_stats":
+            kept = F.coalesce(c, F.array().cast(stats.schema[c].dataType))
+        out.append(kept.alias(c))
+    return joined.select(*out)

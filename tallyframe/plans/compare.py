@@ -166,7 +166,7 @@ def _keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples, stor
     return out
 
 
-def _compare_keyed(primary, replicated, cols, spec, dataset, by, n_samples, stored) -> Diff:
+def _compare_keyed(primary, replicated, cols, spec, dataset, by, n_samples, stored, equal=None) -> Diff:
     """First row per key on each side, cells compared through the normaliser."""
     key_cols = [*by, *spec.keys]
     if spec.key_cast:
@@ -186,6 +186,8 @@ def _compare_keyed(primary, replicated, cols, spec, dataset, by, n_samples, stor
         primary, replicated, key_cols, row_cols, dedup="first", ts_col="_time" if ts else None
     )
     stats = cells.keyed_stats(paired, compared, by, spec.normalize, spec.null_is_empty)
+    if equal is not None:
+        stats = cells.with_equal_rows(stats, equal, by)
     if stored:
         stats = cut_lineage(stats, "stats")
     duplicates = "n_duplicate_primary + n_duplicate_replicated"
@@ -314,12 +316,14 @@ def _compare_generic(primary, replicated, cols, spec, dataset, by, n_samples, st
     )
 
 
-def _compare_unique(primary, replicated, cols, spec, dataset, by, same_columns, n_samples, stored) -> Diff:
+def _compare_unique(primary, replicated, cols, spec, dataset, by, same_columns, n_samples, stored, equal=None) -> Diff:
     key_cols = [*by, *spec.keys]
     row_cols = [c for c in cols if c not in key_cols]
     compared = [c for c in row_cols if c not in spec.compare_exclude]
     paired = cells.pair_by_key(primary, replicated, key_cols, row_cols)
     stats = cells.keyed_stats(paired, compared, by, spec.normalize, spec.null_is_empty)
+    if equal is not None:
+        stats = cells.with_equal_rows(stats, equal, by)
     if stored:
         stats = cut_lineage(stats, "stats")
     messages = [
@@ -339,8 +343,9 @@ def _compare_rows(primary, replicated, cols, spec, dataset, by, same_columns, n_
     row_cols = [c for c in cols if c not in by]
     counts = equality.multiset_counts(primary, replicated, [*by, *row_cols])
     totals = equality.distinct_merge_summary(counts, by)
-    if spec.full_row == "multiset":
-        return _multiset_rows(counts, totals, row_cols, cols, spec, dataset, by, same_columns, n_samples)
+    if spec.full_row in ("multiset", "aligned"):
+        mode = _multiset_rows if spec.full_row == "multiset" else _aligned_rows
+        return mode(counts, totals, row_cols, cols, spec, dataset, by, same_columns, n_samples)
 
     totals = cut_lineage(totals, "totals")
     use_position = {"auto": "primary_rows = replicated_rows", "positional": "true", "distinct": "false"}[spec.full_row]
@@ -434,6 +439,40 @@ def _multiset_rows(counts, totals, row_cols, cols, spec, dataset, by, same_colum
     )
 
 
+def _aligned_rows(counts, totals, row_cols, cols, spec, dataset, by, same_columns, n_samples) -> Diff:
+    """Sorted rows of both sides set against each other between the rows that both hold."""
+    left = positional.aligned_rows(counts, by)
+    found = positional.aligned_summary(left, by)
+    names = ("n_changed", "n_primary_extra", "n_replicated_extra")
+    if by:
+        totals = totals.join(found, list(by), "left")
+    else:
+        totals = totals.withColumns({c: found.select(c).scalar() for c in names})
+    changed, only_p, only_r = (f"coalesce({c}, 0)" for c in names)
+    messages = [
+        _counted("Rows with data differences", changed),
+        _counted("Records in primary but NOT in replicated", only_p),
+        _counted("Records in replicated but NOT in primary", only_r),
+    ]
+
+    def samples() -> DataFrame:
+        pairs = positional.aligned_samples(left, n_samples, by)
+        sides = [("primary", labels.PRIMARY_ONLY), ("replicated", labels.REPLICATED_ONLY)]
+        rows = [
+            pairs.where(F.col(side).isNotNull()).select(*by, F.lit(label).alias("presence"), F.to_json(side).alias("record"))
+            for side, label in sides
+        ]
+        return _record_samples(rows[0].unionByName(rows[1]), dataset, by, n_samples)
+
+    return Diff(
+        results=_result(
+            totals, by, dataset, spec, cols, messages, "n_unbalanced = 0", same_columns,
+            n_primary_only=only_p, n_replicated_only=only_r, n_records_with_diffs=changed,
+        ),
+        record_samples=samples,
+    )
+
+
 def _record_samples(rows: DataFrame, dataset: str, by: Sequence[str], n: int) -> DataFrame:
     """The first rows of each side, without a key."""
     return sample_per_group(rows, [*by, "presence"], ["record"], n).select(
@@ -504,6 +543,17 @@ def _compare(primary, replicated, dataset, spec, rules, by, stored) -> Diff:
     return _MODES[spec.mode](primary, replicated, cols, spec, dataset, by, rules.max_samples, stored)
 
 
+def compare_prepared(primary, replicated, cols, spec, dataset, by, n_samples, stored, equal) -> Diff:
+    """By key, two sides to which rules are applied already and whose other rows, totalled in ``equal``, are equal.
+
+    For datasets whose keys are unique where their mode asks for that.
+    """
+    sides = [_wrap(df, by) for df in (primary, replicated)]
+    if spec.mode == "keyed":
+        return _unwrap(_compare_keyed(*sides, cols, spec, dataset, by, n_samples, stored, _wrap(equal, by)), by)
+    return _unwrap(_compare_unique(*sides, cols, spec, dataset, by, True, n_samples, stored, _wrap(equal, by)), by)
+
+
 def union_diffs(diffs: Sequence[Diff]) -> Diff:
     """The frames of several comparisons under each other."""
 

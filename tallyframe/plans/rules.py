@@ -112,7 +112,7 @@ class DatasetSpec:
     ``mode``: ``generic`` (keyed if the key is unique on both sides, else whole rows), ``keyed``
     (first row per key, normalised cells) or ``groups`` (sets of items per group).
     ``full_row`` for whole rows: ``auto`` (positional for equal row counts, else distinct rows),
-    ``positional``, ``distinct`` or ``multiset``. ``listed_keys``: how many one-sided keys are listed in the order of their
+    ``positional``, ``distinct``, ``multiset`` or ``aligned`` (positions between the rows that both sides hold). ``listed_keys``: how many one-sided keys are listed in the order of their
     numbers; ``all`` for every key of digits alone, None for no list.
     """
 

@@ -247,6 +247,65 @@ def positional_sample_rows(spark, sf):
     )
 
 
+# A few rows are gone, a few are new and a few changed, far from each other: every position behind the first differs.
+_ALIGNED_P = "SELECT l_returnflag, l_linestatus, l_linenumber, l_orderkey, l_partkey FROM lineitem"
+_ALIGNED_R = """SELECT l_returnflag, l_linestatus, l_linenumber, CASE WHEN l_orderkey % 997 = 5 THEN -l_orderkey ELSE l_orderkey END
+ AS l_orderkey, CASE WHEN l_partkey % 89 = 1 THEN l_partkey + 100000 ELSE l_partkey END AS l_partkey FROM lineitem WHERE l_orderkey % 701 <> 3
+UNION ALL SELECT l_returnflag, l_linestatus, l_linenumber, l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 1009 = 7
+UNION ALL SELECT NULL, 'A', 1, -1, 1"""
+_ALIGNED_COLS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_orderkey", "l_partkey"]
+
+
+def _aligned(by):
+    """Surplus rows with their gap and place, by windows over all distinct rows."""
+    cols = ", ".join(_ALIGNED_COLS)
+    part = f"PARTITION BY {', '.join(by)}" if by else ""
+    order = ", ".join(f"{c} NULLS FIRST" for c in _ALIGNED_COLS)
+    return f"""WITH c AS (SELECT {cols}, sum(p) AS p, sum(1 - p) AS r FROM (SELECT *, 1 AS p FROM ({_ALIGNED_P})
+ UNION ALL SELECT *, 0 FROM ({_ALIGNED_R})) GROUP BY ALL),
+g AS (SELECT *, sum(CASE WHEN least(p, r) > 0 THEN 1 ELSE 0 END) OVER ({part} ORDER BY {order}) AS gap FROM c),
+s AS (SELECT {cols}, gap, greatest(p - r, 0) AS a, greatest(r - p, 0) AS b FROM g WHERE p <> r),
+gaps AS (SELECT {', '.join([*by, 'gap'])}, sum(a) AS a, sum(b) AS b FROM s GROUP BY ALL) """
+
+
+def _aligned_rows(spark, sf, by=()):
+    p, r = (run_sql(spark, sf, side) for side in (_ALIGNED_P, _ALIGNED_R))
+    return positional.aligned_rows(equality.multiset_counts(p, r), by)
+
+
+@query(
+    _aligned([]) + """SELECT sum(least(a, b))::BIGINT AS n_changed, sum(greatest(a - b, 0))::BIGINT AS n_primary_extra,
+ sum(greatest(b - a, 0))::BIGINT AS n_replicated_extra FROM gaps"""
+)
+def aligned_diff(spark, sf):
+    """Differences of two sorted sides that an inserted row does not multiply."""
+    return positional.aligned_summary(_aligned_rows(spark, sf))
+
+
+@query(
+    _aligned(["l_returnflag"]) + """SELECT l_returnflag, sum(least(a, b))::BIGINT AS n_changed, sum(greatest(a - b, 0))::BIGINT AS n_primary_extra,
+ sum(greatest(b - a, 0))::BIGINT AS n_replicated_extra FROM gaps GROUP BY l_returnflag"""
+)
+def aligned_diff_by_group(spark, sf):
+    by = ["l_returnflag"]
+    return positional.aligned_summary(_aligned_rows(spark, sf, by), by)
+
+
+@query(
+    _aligned([]) + """, u AS (SELECT *, row_number() OVER (PARTITION BY gap, side ORDER BY l_returnflag NULLS FIRST, l_linestatus, l_linenumber,
+  l_orderkey, l_partkey) - 1 AS place FROM (SELECT *, 'p' AS side, unnest(range(a::BIGINT)) AS copy FROM s
+  UNION ALL SELECT *, 'r', unnest(range(b::BIGINT)) FROM s)),
+ j AS (SELECT gap, place, max(CASE WHEN side = 'p' THEN l_orderkey END) AS p_orderkey, max(CASE WHEN side = 'r' THEN l_orderkey END) AS r_orderkey,
+  max(CASE WHEN side = 'p' THEN l_partkey END) AS p_partkey, max(CASE WHEN side = 'r' THEN l_partkey END) AS r_partkey FROM u GROUP BY gap, place)
+SELECT gap::BIGINT AS gap, place, p_orderkey, r_orderkey, p_partkey, r_partkey FROM j ORDER BY gap, place LIMIT 50"""
+)
+def aligned_sample_rows(spark, sf):
+    """The first 50 differences, place by place."""
+    pairs = positional.aligned_samples(_aligned_rows(spark, sf), 50)
+    cells_of = [F.col(f"{side}.l_{c}").alias(f"{side[0]}_{c}") for c in ("orderkey", "partkey") for side in ("primary", "replicated")]
+    return pairs.select("gap", "place", *cells_of)
+
+
 _EQUAL = """SELECT l_returnflag, l_linestatus, l_linenumber, l_orderkey FROM lineitem
 WHERE l_returnflag <> 'R' UNION ALL SELECT l_returnflag, 'Z', l_linenumber, l_orderkey
 FROM lineitem WHERE l_returnflag = 'R'"""

@@ -6,10 +6,15 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import equality, ranking
 from tallyframe.plans.compare import compare_tables
+from tallyframe.plans.rules import CompareRules
+from tallyframe.plans.saved import compare_saved, save_side
 from tallyframe.session import scratch_path
 from tallyframe.sources.sql import QueryTemplate, export_datasets
-from workload.data import ctes, pair, register, run_sql
+from workload.data import RULES_INI, ctes, pair, register, run_sql
 from workload.registry import query
+from workload.results_sql import ELIGIBILITY
+
+RULES = CompareRules.from_ini(RULES_INI)
 
 _NULL_P = "SELECT nullif(o_custkey % 5, 0) AS emp_id, o_orderkey AS row_number, o_orderstatus AS state FROM orders"
 _NULL_R = """SELECT nullif(o_custkey % 5, 0) AS emp_id, o_orderkey AS row_number,
@@ -155,3 +160,41 @@ def tables_equal_types(spark, sf):
     """The same values under another type are not the same table."""
     p = run_sql(spark, sf, "SELECT o_orderkey FROM orders")
     return equality.tables_equal(p, p.withColumn("o_orderkey", F.col("o_orderkey").cast("string")))
+
+
+def _saved(spark, sf, dataset, changed=None):
+    """Both sides of a dataset, stored with digests of their ranges."""
+    out, (p, r) = scratch_path(spark, "sides"), pair(spark, sf, dataset)
+    sides = (p, r if changed is None else changed(p))
+    return [save_side(df, f"{out}/{n}", dataset, rules=RULES, by=["emp_id"], bits=4) for n, df in zip("pr", sides)]
+
+
+_SAVED_COLUMNS = [
+    "emp_id", "match", "primary_rows", "replicated_rows", "n_primary_only", "n_replicated_only", "n_records_with_diffs",
+    "has_old_data", "summary",
+]
+
+
+@query(f"SELECT {', '.join(_SAVED_COLUMNS)} FROM ({ELIGIBILITY})")
+def compare_saved_sides(spark, sf):
+    """Stored sides give the results of a comparison in whole, from the ranges that differ."""
+    sides = _saved(spark, sf, "8b-eligibilities.psv")
+    return compare_saved(spark, *sides, "8b-eligibilities.psv", rules=RULES, by=["emp_id"]).results.select(*_SAVED_COLUMNS)
+
+
+@query(
+    f"""WITH {ctes("9-issues-potentials.psv")}, one AS (SELECT max(CAST(row_number AS BIGINT)) AS k FROM p)
+SELECT p.emp_id, count(*) AS primary_rows, count(*) AS replicated_rows, count(DISTINCT CASE WHEN CAST(row_number AS BIGINT) = k THEN k END)
+ AS n_records_with_diffs, count(*) FILTER (CAST(row_number AS BIGINT) = k) = 0 AS match FROM p, one GROUP BY p.emp_id"""
+)
+def compare_saved_one_change(spark, sf):
+    """A side of which one row was changed, against the other: all employers but one are told equal by their digests."""
+    dataset = "9-issues-potentials.psv"
+
+    def changed(p):
+        last = p.agg(F.max(F.col("row_number").cast("bigint")).cast("string").alias("last"))
+        marked = p.crossJoin(last).withColumn("severity", F.when(F.col("row_number") == F.col("last"), "9").otherwise(F.col("severity")))
+        return marked.drop("last")
+
+    diff = compare_saved(spark, *_saved(spark, sf, dataset, changed), dataset, rules=RULES, by=["emp_id"])
+    return diff.results.select("emp_id", "primary_rows", "replicated_rows", "n_records_with_diffs", "match")
