@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from tallyframe.session import scratch_path
-from tallyframe.streaming import gates
+from tallyframe.streaming import gates, latches
 from workload.data import run_sql
 from workload.registry import query
 
@@ -204,3 +206,85 @@ def release_stream(spark, sf):
     )
     _finish(running)
     return spark.read.schema("run_id bigint, n_events bigint").parquet(f"{out}/compared").drop("batch_id")
+
+
+# --- gates with timers ------------------------------------------------------------------------
+# Events arrive in three batches by ten days each; one in eleven comes a batch late and one in thirteen two. A batch
+# lets in what the watermark of the batch before allows: in the third, nothing up to three days before the end of the first.
+# A last batch moves the time on.
+_ARRIVE = """SELECT *, least(2, (day(ts) - 1) DIV 10 + CASE WHEN event_id % 13 = 0 THEN 2 WHEN event_id % 11 = 0 THEN 1 ELSE 0 END)
+ AS batch FROM events"""
+_ACCEPTED = """a AS (SELECT *, least(2, (day(ts) - 1) // 10 + CASE WHEN event_id % 13 = 0 THEN 2 WHEN event_id % 11 = 0 THEN 1 ELSE 0 END)
+ AS batch FROM events),
+w AS (SELECT 2 AS batch, max(ts) - INTERVAL 3 DAY AS low FROM a WHERE batch = 0),
+e AS (SELECT a.* FROM a LEFT JOIN w USING (batch) WHERE low IS NULL OR ts > low),
+f AS (SELECT user_id, min(ts) AS first_ts FROM e WHERE event_type IN ('view', 'click', 'error') GROUP BY user_id),
+d AS (SELECT user_id, event_type, min(ts) AS done_at FROM e WHERE event_type IN ('view', 'click', 'error') AND event_id % 3 = 0 GROUP BY ALL),
+o AS (SELECT f.user_id AS run_id, first_ts, first_ts + INTERVAL 5 DAY AS deadline,
+ max(done_at) FILTER (event_type = 'view') AS v, max(done_at) FILTER (event_type = 'click') AS c, max(done_at) FILTER (event_type = 'error') AS x
+ FROM f LEFT JOIN d ON d.user_id = f.user_id AND done_at <= first_ts + INTERVAL 5 DAY GROUP BY ALL),
+t AS (SELECT *, v IS NOT NULL AND c IS NOT NULL AND x IS NOT NULL AS is_complete, CASE WHEN v IS NOT NULL AND c IS NOT NULL AND x IS NOT NULL
+ THEN greatest(v, c, x) ELSE deadline END AS decided_at FROM o)"""
+_PENDING = "concat_ws(',', CASE WHEN v IS NULL THEN 'view' END, CASE WHEN c IS NULL THEN 'click' END, CASE WHEN x IS NULL THEN 'error' END) AS pending"
+
+
+def _in_batches(spark, sf, out):
+    """The events as a stream that reads one batch at a time."""
+    events = run_sql(spark, sf, _ARRIVE)
+    for batch in range(3):
+        events.where(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(out)
+    last = events.drop("batch").limit(1).withColumns(
+        {"user_id": F.lit(-1).cast("bigint"), "event_type": F.lit("view"), "ts": F.lit("2024-06-01").cast(events.schema["ts"].dataType)}
+    )
+    last.coalesce(1).write.mode("append").parquet(out)
+    return spark.readStream.schema(spark.read.parquet(out).schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+def _status_of(events):
+    kinds = events.where(F.col("event_type").isin(*SOURCES))
+    return kinds.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("source"), "ts", (F.col("event_id") % 3 == 0).alias("done"))
+
+
+def _outcome_rows(spark, outcomes, out):
+    latches.append_to(outcomes, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.schema(outcomes.schema).parquet(f"{out}/rows")
+    return rows.select("run_id", "outcome", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("decided_at").alias("decided_us"), "pending")
+
+
+_LONG = {"max_wait": timedelta(days=5), "lateness": timedelta(days=3), "keep": timedelta(days=365)}
+
+
+@query(
+    f"""WITH {_ACCEPTED} SELECT run_id, CASE WHEN is_complete THEN 'complete' ELSE 'timed out' END AS outcome, epoch_us(first_ts) AS first_us,
+ epoch_us(decided_at) AS decided_us, {_PENDING} FROM t"""
+)
+def latch_timers(spark, sf):
+    """Runs as they complete or time out, from a stream in four batches with rows that come late or too late."""
+    out = scratch_path(spark, "timers")
+    return _outcome_rows(spark, latches.latch_outcomes(_status_of(_in_batches(spark, sf, f"{out}/in")), SOURCES, **_LONG), out)
+
+
+@query(
+    f"""WITH {_ACCEPTED},
+arr AS (SELECT user_id AS run_id, min(ts) AS arrived FROM e WHERE event_type = 'purchase' AND event_id % 2 = 0 GROUP BY 1),
+dlq AS (SELECT run_id, queue, arg_max(messages, ts) AS messages FROM (SELECT user_id AS run_id, event_type || event_id % 2 AS queue, ts,
+ CASE WHEN event_id % 7 = 0 THEN event_id % 4 WHEN event_id % 7 = 1 THEN NULL ELSE -1 END AS messages FROM e WHERE event_type IN ('purchase', 'click'))
+ JOIN t USING (run_id) WHERE ts <= decided_at GROUP BY ALL),
+bad AS (SELECT run_id, max(messages) > 0 AS has_letters FROM (SELECT run_id, greatest(coalesce(messages, 0), 0) AS messages FROM dlq) GROUP BY 1)
+SELECT run_id, CASE WHEN NOT is_complete THEN 'timed out' WHEN arrived IS NULL OR arrived > decided_at THEN 'no file'
+ WHEN has_letters THEN 'dead letters' ELSE 'released' END AS outcome, epoch_us(first_ts) AS first_us, epoch_us(decided_at) AS decided_us, {_PENDING}
+FROM t LEFT JOIN arr USING (run_id) LEFT JOIN bad USING (run_id)"""
+)
+def release_timers(spark, sf):
+    """Arrivals, status rows and dead letters as three streams: which runs are released, and why others are not."""
+    out = scratch_path(spark, "releases")
+    events = _in_batches(spark, sf, f"{out}/in")
+    arrivals = events.where("event_type = 'purchase' AND event_id % 2 = 0").select(F.col("user_id").alias("run_id"), "ts")
+    letters = events.where("event_type IN ('purchase', 'click')").select(
+        F.col("user_id").alias("run_id"),
+        F.expr("concat(event_type, event_id % 2)").alias("queue"),
+        "ts",
+        F.expr("CASE WHEN event_id % 7 = 0 THEN event_id % 4 WHEN event_id % 7 = 1 THEN NULL ELSE -1 END").alias("messages"),
+    )
+    outcomes = latches.release_outcomes(arrivals, _status_of(events), letters, SOURCES, **_LONG)
+    return _outcome_rows(spark, outcomes, out)
