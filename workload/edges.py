@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tallyframe.operators import equality, ranking
@@ -9,6 +11,7 @@ from tallyframe.plans.compare import compare_tables
 from tallyframe.plans.rules import CompareRules
 from tallyframe.plans.saved import compare_saved, save_side
 from tallyframe.session import scratch_path
+from tallyframe.sources.published import export_published, no_null_employer, published
 from tallyframe.sources.sql import QueryTemplate, export_datasets
 from workload.data import RULES_INI, ctes, pair, register, run_sql
 from workload.registry import query
@@ -198,3 +201,26 @@ def compare_saved_one_change(spark, sf):
 
     diff = compare_saved(spark, *_saved(spark, sf, dataset, changed), dataset, rules=RULES, by=["emp_id"])
     return diff.results.select("emp_id", "primary_rows", "replicated_rows", "n_records_with_diffs", "match")
+
+
+@query(
+    """SELECT CAST(o_custkey % 4 AS INT) AS emp_id, CASE WHEN o_custkey % 4 = 2 THEN 'third' ELSE 'first' END AS version, count(*) AS n,
+ CASE WHEN o_custkey % 4 = 2 THEN '01-03-24 0800' ELSE '01-01-24 0800' END AS run_stamp FROM orders GROUP BY ALL"""
+)
+def published_exports(spark, sf):
+    """An export is seen whole or not at all: the second fails while it writes, the third holds one employer, the fourth fails its audit."""
+    register(spark, sf, "orders")
+    out, text = scratch_path(spark, "published"), "SELECT CAST(o_custkey % 4 AS INT) AS emp_id, o_orderkey, '{}' AS version FROM orders"
+    late = text.format("second") + " WHERE o_orderkey > 0 AND (o_custkey % 4 < 3 OR raise_error('lost'))"
+    no_employer = text.format("fourth") + " UNION ALL SELECT NULL, 0, 'fourth'"
+    one = spark.sql("SELECT CAST(2 AS INT) AS emp_id")
+    found = []
+    for day, (query_text, employers, audits) in enumerate(
+        [(text.format("first"), None, ()), (late, None, ()), (text.format("third"), one, ()), (no_employer, None, (no_null_employer(),))], 1
+    ):
+        status = export_published(spark, {"orders": query_text}, out, "primary", datetime(2024, 1, day, 8), "emp_id", employers, audits=audits)
+        found.append(status["orders"] == "ok")
+    if found != [True, False, True, False]:
+        raise RuntimeError(f"unexpected outcome of exports: {found}")
+    rows = published(spark, f"{out}/dataset=orders/target=primary", with_run=True)
+    return rows.groupBy("emp_id", "version", "run_stamp").agg(F.count("*").alias("n"))

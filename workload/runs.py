@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tallyframe.functions import labels
-from tallyframe.plans import report, rollup
+from tallyframe.plans import report, reporting, rollup
 from tallyframe.plans.batch import Run, run_isolated
 from tallyframe.plans.compare import Diff, compare_run, compare_tables
 from tallyframe.plans.rules import GENERIC, CompareRules
+from tallyframe.session import scratch_path
 from workload.data import RULES_INI, RUN, ctes, pair, run_sql
 from workload.registry import query
 from workload.results_sql import ACTIVITIES, ELIGIBILITY, ISSUES, PARTS, RUN_RESULTS, USERS
@@ -270,6 +273,29 @@ def report_of_run(spark, sf):
     return report.report_lines(Diff(**{n: table(n) for n in names}), generated_at="now")
 
 
+_READ_BACK = """SELECT CAST(emp_id AS STRING) AS emp_id, dataset, CASE WHEN match THEN 'IDENTICAL' ELSE 'DIFFERENCES' END AS status,
+ CASE WHEN NOT match THEN primary_rows END AS primary_rows, CASE WHEN NOT match THEN replicated_rows END AS replicated_rows"""
+
+
+@query(
+    f"""WITH u AS ({USERS}), x AS ({PARTS}) {_READ_BACK}, 'any' AS of_date, emp_id || '_01-03-24_1000_comparison_report.txt' AS report_file FROM x
+UNION ALL {_READ_BACK}, 'any', emp_id || '_01-02-24_0930_comparison_report.txt' FROM u WHERE emp_id NOT IN (SELECT emp_id FROM x)
+UNION ALL {_READ_BACK}, '01-02-24', emp_id || '_01-02-24_0930_comparison_report.txt' FROM u"""
+)
+def report_round_trip(spark, sf):
+    """Reports of two runs, published under their names, found again by date and read back."""
+    path = scratch_path(spark, "published")
+    for dataset, at in (("11-users.psv", datetime(2024, 1, 2, 9, 30)), ("15-potentials.psv", datetime(2024, 1, 3, 10, 0))):
+        lines = report.report_lines(_compared(spark, sf, dataset), generated_at=str(at))
+        reporting.publish_reports(lines.withColumn("emp_id", F.col("emp_id").cast("string")), path, at)
+    found = []
+    for date in (None, "01-02-24"):
+        results = reporting.report_results(reporting.published_reports(spark, path, date))
+        found.append(results.withColumn("of_date", F.lit(date or "any")))
+    columns = ["emp_id", "dataset", "status", "primary_rows", "replicated_rows", "of_date", "report_file"]
+    return found[0].unionByName(found[1]).select(*columns)
+
+
 # One report per customer, with figures that follow from the row.
 _A, _B = "(c_custkey % 50)", "(c_custkey % 47)"
 _REPORTS = f"""SELECT c_custkey, CAST(c_custkey AS STRING) || '_01-02-24_0930_comparison_report.txt' AS report_file,
@@ -371,3 +397,31 @@ def review_classes(spark, sf):
         labels.review_priority(*args).alias("review_priority"),
         labels.issue_type(*args).alias("issue_type"),
     )
+
+
+# Report files of three deliveries: some customers come again, with other figures.
+_DELIVERED = f"""SELECT c_custkey, d.n AS delivery, CAST(c_custkey AS STRING) || '_01-0' || CAST(d.n AS STRING) || '-24_0930_comparison_report.txt' AS name,
+ 'SUMMARY:' || chr(10) || '-----' || chr(10) || 'MATCH      1-files.psv - Perfect match' || chr(10)
+ || CASE WHEN (c_custkey + d.n) % 3 = 0 THEN 'MATCH' ELSE 'DIFF' END || '       2-rows.csv - Row count: Primary=' || CAST(c_custkey AS STRING)
+ || ', Replicated=' || CAST(d.n AS STRING) || chr(10) || chr(10) || 'DETAILED RESULTS:' || chr(10) || '-----' || chr(10) || '=====' AS content
+FROM customer, (VALUES (1), (2), (3)) d(n) WHERE c_custkey < 40 AND (d.n = 1 OR c_custkey % (d.n + 1) = 0)"""
+
+
+@query(
+    f"""WITH d AS ({_DELIVERED}), n AS (SELECT * FROM (SELECT *, c_custkey AS emp, row_number() OVER (PARTITION BY c_custkey ORDER BY delivery DESC) AS k FROM d) WHERE k = 1),
+r AS (SELECT CAST(emp AS STRING) AS emp_id, unnest([true, (c_custkey + delivery) % 3 = 0]) AS match FROM n)
+SELECT emp_id, emp_id IS NULL AS is_total, count(*) AS files_compared, count(*) FILTER (WHERE match) AS identical, count(*) FILTER (WHERE NOT match) AS differences,
+ round(100.0::DOUBLE * count(*) FILTER (WHERE match) / count(*), 1) AS success_rate, CASE WHEN emp_id IS NULL THEN NULL
+ WHEN count(*) FILTER (WHERE match) = count(*) THEN 'PERFECT' WHEN count(*) FILTER (WHERE match) * 100 >= count(*) * 90 THEN 'MINOR ISSUES' ELSE 'NEEDS REVIEW' END
+ AS parity_status FROM r GROUP BY ROLLUP (emp_id)"""
+)
+def report_roll_up(spark, sf):
+    """From report files to the executive table: a stream that reads the files of each delivery once."""
+    path = scratch_path(spark, "followed")
+    rows = run_sql(spark, sf, _DELIVERED)
+    for delivery in range(1, 4):
+        # Spark names part files itself, so here the report's name is the folder's; a stream names reports by either.
+        mine = rows.where(F.col("delivery") == delivery).select(F.col("name").alias("report"), F.col("content").alias("value"))
+        mine.write.mode("append").partitionBy("report").text(f"{path}/files")
+        reporting.follow_reports(spark, f"{path}/files", path, f"{path}/checkpoint").awaitTermination()
+    return rollup.executive_summary(reporting.current_results(spark, path))
