@@ -13,6 +13,7 @@ Odd cases: a null or empty text has no ids. Only doc_id and text are read, one o
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -36,12 +37,13 @@ MERGED_TOGETHER = 20_000
 TOGETHER_CHARS = 2_000_000  # of texts whose new words are encoded at once
 _END = "\ue000"  # stands for the end of a word; no byte maps to it
 _NEVER = np.int64(1) << 40
+_LENGTH = 0xFF  # characters of a token that is proposed; a match is kept as place, id (20 bits) and length (8 bits)
 # Texts of these characters alone are split by the pattern; the tests hold each of them against the library.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u017f\u2013\u2014\u2018-\u201d\u2026\u20ac]*+")
 
 
 def _byte_characters() -> list[str]:
-    """The printable character that stands for each byte in vocabularies of byte-level BPE."""
+    """The printable character that stands for each byte in vocabularies of byte-level BPE (fixed values)."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = (b for b in range(256) if b not in printable)
     made = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
@@ -91,7 +93,8 @@ class WordBpe:
         for token, i in self.vocabulary.items():
             if good[i]:
                 text = token.removesuffix(suffix) + _END if token.endswith(suffix) and token != suffix else token
-                automaton.add_word(text, (i, len(text)))
+                if len(text) <= _LENGTH:
+                    automaton.add_word(text, i << 8 | len(text))
         automaton.make_automaton()
         self.automaton = automaton
         self.first = {c: self.vocabulary[c] for c in self.characters}
@@ -199,19 +202,9 @@ class WordBpe:
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet."""
         characters = self.characters
-        spelled = ["".join([characters[b] for b in w.encode()]) for w in words]
-        proposals, sizes = [], []
-        for s in spelled:
-            found, covered = [], 0
-            for _, (i, length) in self.automaton.iter_long(s + _END):
-                found.append(i)
-                covered += length
-            if covered != len(s) + 1:
-                found = []
-            proposals.append(found)
-            sizes.append(len(found))
-        sizes = np.array(sizes)
-        flat = np.fromiter(chain.from_iterable(proposals), np.int64, int(sizes.sum()))
+        # Printable ASCII stands for itself.
+        spelled = [w if w.isascii() and w.isprintable() else "".join([characters[b] for b in w.encode()]) for w in words]
+        flat, sizes = self._proposals(spelled)
         inside = np.ones(len(flat), bool)
         inside[np.cumsum(sizes[sizes > 0]) - 1] = False  # a word's last token has no pair
         at = np.flatnonzero(inside)
@@ -236,6 +229,18 @@ class WordBpe:
             self.known[words[k]] = np.array(self.merged_long(ids), "<u4").tobytes()
         self._keep([w for w, fine in zip(words, good.tolist(), strict=True) if fine], flat[np.repeat(good, sizes)], sizes[good])
 
+    def _proposals(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest-match tokens of all words, one after the other, and how many each word has; 0 if it is not covered.
+
+        Words go through the automaton as one text: no token goes on behind the end of a word, so each starts afresh.
+        """
+        lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
+        text = _END.join([*spelled, ""])
+        found = np.fromiter((at << 28 | v for at, v in self.automaton.iter_long(text)), np.int64)
+        word = np.searchsorted(np.cumsum(lengths), found >> 28, side="right")
+        covered = np.bincount(word, found & _LENGTH, len(spelled)) == lengths
+        return (found >> 8 & 0xFFFFF)[covered[word]], np.bincount(word, minlength=len(spelled)) * covered
+
     def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
         self.known.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=False))
@@ -249,15 +254,12 @@ class WordBpe:
 
     def _learn_chunks(self, chunks: set[str]) -> None:
         """Encode what stands between white space: a word, a word and a mark, or what the pattern makes of it."""
-        missing = []
-        for c in chunks:
-            if (ids := self.older.get(c)) is None:
-                missing.append(c)
-            else:
-                self.chunks[c] = ids
+        again = chunks & self.older.keys()
+        self.chunks.update({c: self.older[c] for c in again})
         find = self.words.findall
-        single = [c for c in missing if c.isalpha()]
-        rest = [c for c in missing if not c.isalpha()]
+        single, rest = [], []
+        for c in chunks - again:
+            (single if c.isalpha() else rest).append(c)
         parts = [(c[:-1], c[-1]) if c[-1] in ".,;:!?" and c[:-1].isalpha() else find(c) for c in rest]
         self._remember(set(chain(single, *parts)))
         known = self.known
@@ -286,8 +288,20 @@ class WordBpe:
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))
 
-    def _together(self, texts: list[str]) -> Iterator[bytes]:
-        """Encode some texts, learning the new words of all of them at once."""
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Encode some texts, learning the new words of all of them at once.
+
+        Meanwhile Python's search for cycles is off: there are none, and it would walk over all kept words again and again.
+        """
+        searching = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded(texts)
+        finally:
+            if searching:
+                gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         split = []  # of each text its parts: bytes that are done, or a list of chunks
         for text in texts:
             parts, at = [], 0
@@ -301,8 +315,7 @@ class WordBpe:
         if new := needed.difference(self.chunks):
             self._learn_chunks(new)
         of = self.chunks.__getitem__
-        for parts in split:
-            yield b"".join([p if isinstance(p, bytes) else b"".join(map(of, p)) for p in parts])
+        return [b"".join([p if isinstance(p, bytes) else b"".join(map(of, p)) for p in parts]) for parts in split]
 
     def _segment(self, text: str) -> list[str] | bytes:
         """The chunks of a plain text; white space always separates words. The ids of any other."""
