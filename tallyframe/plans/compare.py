@@ -22,6 +22,8 @@ from tallyframe.session import cut_lineage
 PERFECT_MATCH = "Perfect match"
 MATCH = "Match"
 OLD_DATA = "Extra records contain OLD DATA (created before primary's time range)"
+# Fixed value: how many differing keys of a column are listed.
+LISTED_KEYS = 10
 
 RESULT_SCHEMA = (
     "dataset string, kind string, match boolean, equivalent boolean, status string,"
@@ -160,7 +162,7 @@ def _keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples, stor
         out["cell_diffs"] = lambda: diffs().select(
             *by, name, key, "column", "primary_value", "replicated_value", "diff_class"
         )
-        out["column_samples"] = lambda: cells.key_samples(diffs(), key_cols, n_samples, by).select(
+        out["column_samples"] = lambda: cells.key_samples(diffs(), key_cols, LISTED_KEYS, by).select(
             *by, name, "column", key
         )
     return out

@@ -33,6 +33,12 @@ def compare_generic(spark, sf):
     return _compared(spark, sf, "11-users.psv").results.select(*RESULT)
 
 
+@query(f"SELECT emp_id, 'emp_id,row_number,full_name,gender,nation' AS columns_compared FROM ({USERS})")
+def columns_compared(spark, sf):
+    """Which columns of a dataset its rules leave to compare."""
+    return _compared(spark, sf, "11-users.psv").results.select("emp_id", "columns_compared")
+
+
 @query(ISSUES)
 def compare_issues(spark, sf):
     return _compared(spark, sf, "9-issues-potentials.psv").results.select(*RESULT)
@@ -208,7 +214,7 @@ _USER_LINES = f"""WITH {ctes('11-users.psv')}, res AS ({USERS}), cells AS ({_USE
 cols AS (SELECT emp_id, col, count(*) AS n, count(*) FILTER (WHERE cls = 1) AS a, count(*) FILTER (WHERE cls = 2) AS b,
  count(*) FILTER (WHERE cls = 3) AS c FROM cells GROUP BY ALL),
 keys AS (SELECT emp_id, col, string_agg(key, ', ' ORDER BY key) AS shown, count(*) AS k FROM (SELECT *, row_number() OVER (
- PARTITION BY emp_id, col ORDER BY key) AS i FROM cells) WHERE i <= 5 GROUP BY ALL),
+ PARTITION BY emp_id, col ORDER BY key) AS i FROM cells) WHERE i <= 10 GROUP BY ALL),
 recs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY emp_id, side ORDER BY row_number) AS i FROM (
  SELECT p.*, 60 AS side FROM p WHERE (emp_id, row_number) NOT IN (SELECT (emp_id, row_number) FROM r)
  UNION ALL SELECT r.*, 70 FROM r WHERE (emp_id, row_number) NOT IN (SELECT (emp_id, row_number) FROM p))) WHERE i <= 5),
