@@ -1,18 +1,21 @@
 """Quality rules with robust multivariate outliers, in DataFrame operations only.
 
 Each text gets counts, which plain rules judge first. The rest are judged by a vector of four transformed
-statistics: logarithm of the mean word length, root of the symbols per word, share of repeated lines
-and share of words in repeated windows. Per language and source the centre and covariance that the
-bulk of documents has are estimated by minimum covariance determinant: from medians and absolute
-deviations on, each concentration step takes the documents nearest to the centre (three quarters of the
-group) and computes both from them, which never raises the determinant. A document is an outlier if its
-squared Mahalanobis distance exceeds the 99.9 % quantile of chi-square with four degrees.
+statistics: logarithm of the mean word length, and the roots of symbols per word, of the share of words in
+repeated windows and of the share of repeated lines. The roots even out variances, and a small constant
+beside each count lets a rate of nought depend on how much text stands behind it, so that texts without
+any hit spread as well. Per language and source the centre and covariance that the bulk of documents has
+are estimated by minimum covariance determinant: from medians and absolute deviations on, each
+concentration step takes the documents nearest to the centre (three quarters of the group) and computes
+both from them. Two steps of reweighting follow, which take all documents within the 97.5 % quantile. In
+both a factor on the covariance makes up for the cut. A document is an outlier if its squared Mahalanobis
+distance exceeds the 99.9 % quantile of chi-square with four degrees.
 
 The nearest documents are found by counting distances in bins of a 32nd of an octave, so a step is two
-aggregations that combine before their shuffle, however large a group is. The square of a floor is added to each
-variance; it keeps statistics that are zero nearly everywhere from rejecting every other value, and is of the order
-of what the statistic resolves in a short text. Groups of few
-documents share one estimate.
+aggregations that combine before their shuffle, however large a group is. Where the variance that a statistic has
+beside those before it falls below the square of a floor, the floor stands in: such a direction is degenerate, as with
+symbols in a group of which no document has any. All other variances and all covariances stay as estimated. Groups of
+few documents share one estimate.
 
 Odd cases: a null or empty text has no words and fails the base rules, and so do white space and
 texts below 50 words. Null languages and sources are values like any other. Only doc_id, text, lang and source are
@@ -27,11 +30,14 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import SPACE, WORD, let
 from tallyframe.session import cut_lineage
 
-#: Of the four deviations, about what each statistic cannot resolve in a short text: the error of a mean of 100 word
-#: lengths, a symbol in 150 words, a line of 12, a window of 50 words.
-FLOORS = (0.05, 0.08, 0.08, 0.06)
-STEPS = 4  # of concentration
-BULK = 0.75  # of a group's documents that estimates rest on
+#: Least deviations of a statistic beside those before it: the error of a mean of 200 word lengths, three symbols in
+#: 300 words, a repeated line of nine words in 100, a repeated line of eight.
+FLOORS = (0.03, 0.06, 0.06, 0.1)
+STEPS, REWEIGHTED = 3, 2  # of concentration, and of reweighting after them
+BULK = 0.75  # of a group's documents that concentration rests on
+WITHIN = 11.1433  # chi-square with four degrees, at 0.975
+#: By how much the covariance of a normal distribution exceeds that of its nearest BULK, and of its part WITHIN.
+CONSISTENT, CONSISTENT_WITHIN = 1.485, 1.0645
 LEAST_GROUP = 50  # documents; smaller groups share one estimate
 CUTOFF, MEDIAN = 18.4668, 3.3567  # chi-square with four degrees, at 0.999 and 0.5
 _D = range(4)
@@ -95,9 +101,9 @@ def vectors(stats: DataFrame) -> DataFrame:
     failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
     x = (
         F.log(F.col("word_chars") / n),
-        F.sqrt(F.col("n_symbols") / n),
-        F.col("n_dup_lines") / F.col("n_lines"),
-        F.col("n_repeat_words") / n,
+        F.sqrt((F.col("n_symbols") + 0.375) / (n + 0.75)),
+        F.sqrt((F.col("n_repeat_words") + 24) / (n + 48)),  # hits come in lines, not one by one
+        F.sqrt((F.col("n_dup_lines") + 1) / (F.col("n_lines") + 2)),
     )
     stats = stats.withColumn("base_failed", failed)
     return stats.withColumns({f"x{i}": F.when(~F.col("base_failed"), v) for i, v in enumerate(x)})
@@ -111,12 +117,13 @@ def _distance() -> Column:
 
 
 def _precision(groups: DataFrame) -> DataFrame:
-    """``groups`` (grp, m0.., c00..) with the covariance c turned into its inverse p, by Cholesky."""
+    """``groups`` (grp, m0.., c00..) with the covariance c turned into its inverse p, by Cholesky, pivots at least floors."""
     keep = ["grp", *[f"m{i}" for i in _D]]
     c = lambda i, j: F.col(f"c{min(i, j)}{max(i, j)}")
     for j in _D:  # lower triangle l, column by column; each step is a projection, so nothing is computed twice
         known = [F.col(f"l{j}{k}") for k in range(j)]
-        groups = groups.withColumn(f"l{j}{j}", F.sqrt(c(j, j) - sum((k * k for k in known), F.lit(0.0))))
+        own = c(j, j) - sum((k * k for k in known), F.lit(0.0))
+        groups = groups.withColumn(f"l{j}{j}", F.sqrt(F.greatest(own, F.lit(FLOORS[j] ** 2))))
         below = {}
         for i in range(j + 1, 4):
             inner = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
@@ -152,21 +159,18 @@ def estimates(points: DataFrame) -> DataFrame:
     middle = cut_lineage(middle, "middle")
     spread = points.join(middle, "grp").groupBy("grp", *[f"m{i}" for i in _D])
     spread = spread.agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i in _D])
-    start = {f"c{i}{j}": (F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)) for i in _D for j in _D if j >= i}
+    start = {f"c{i}{j}": (F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)) for i in _D for j in _D if j >= i}
     groups = cut_lineage(_precision(spread.withColumns(start)), "estimates")
-    for _ in range(STEPS):
+    for step in range(STEPS + REWEIGHTED):
         placed = _placed(points, groups)
         edges = cut_lineage(_nearest(placed, BULK), "edges")
-        near = placed.join(edges, "grp").filter("bin <= edge")
+        reweighted = step >= STEPS
+        near = placed.join(edges, "grp").filter((F.col("bin") <= F.col("edge")) | (F.lit(reweighted) & (F.col("d2") <= WITHIN)))
         d = [F.col(f"x{i}") - F.col(f"m{i}") for i in _D]
         sums = [F.avg(d[i]).alias(f"d{i}") for i in _D] + [F.avg(d[i] * d[j]).alias(f"q{i}{j}") for i in _D for j in _D if j >= i]
         moments = near.groupBy("grp", *[f"m{i}" for i in _D]).agg(*sums)
-        cov = {
-            f"c{i}{j}": F.col(f"q{i}{j}") - F.col(f"d{i}") * F.col(f"d{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
-            for i in _D
-            for j in _D
-            if j >= i
-        }
+        factor = F.lit(CONSISTENT_WITHIN if reweighted else CONSISTENT)
+        cov = {f"c{i}{j}": factor * (F.col(f"q{i}{j}") - F.col(f"d{i}") * F.col(f"d{j}")) for i in _D for j in _D if j >= i}
         moved = moments.withColumns(cov).withColumns({f"m{i}": F.col(f"m{i}") + F.col(f"d{i}") for i in _D})
         groups = cut_lineage(_precision(moved), "estimates")
     half = _nearest(_placed(points, groups), 0.5)

@@ -153,26 +153,98 @@ def test_repeated_lines_and_windows_are_outliers(spark):
     assert sum(judged[k].kept for k in range(300)) >= 290
 
 
+def slow_precision(cov):
+    """The inverse of a covariance whose Cholesky pivots are at least the floors."""
+    low = np.zeros((4, 4))
+    for j in range(4):
+        low[j, j] = max(cov[j, j] - (low[j, :j] ** 2).sum(), quality.FLOORS[j] ** 2) ** 0.5
+        for i in range(j + 1, 4):
+            low[i, j] = (cov[i, j] - (low[i, :j] * low[j, :j]).sum()) / low[j, j]
+    return np.linalg.inv(low @ low.T)
+
+
+def slow_estimate(x):
+    """Centre and precision by concentration and reweighting, with the operator's bins."""
+    middle = lambda v: np.sort(v)[(len(v) + 1) // 2 - 1]
+    m = np.array([middle(x[:, k]) for k in range(4)])
+    p = slow_precision(np.diag([(1.4826 * middle(abs(x[:, k] - m[k]))) ** 2 for k in range(4)]))
+    for step in range(quality.STEPS + quality.REWEIGHTED):
+        d2 = np.einsum("ni,ij,nj->n", x - m, p, x - m)
+        at = np.floor(32 * np.log2(d2 + 1e-6))
+        near = at <= np.sort(at)[int(np.ceil(quality.BULK * len(x))) - 1]
+        late = step >= quality.STEPS
+        of = x[near | (d2 <= quality.WITHIN)] if late else x[near]
+        m, p = of.mean(0), slow_precision(np.cov(of.T, bias=True) * (quality.CONSISTENT_WITHIN if late else quality.CONSISTENT))
+    return m, p
+
+
+def slow_verdicts(docs, precision=None):
+    """Per row (text, lang, source): whether it is kept, by numpy from the counts on."""
+    counts = [slow_counts(t) for t, _, _ in docs]
+    names = [(lang, source) for _, lang, source in docs]
+    sizes = collections.Counter(n for n, c in zip(names, counts, strict=True) if not c[-1])
+    groups = collections.defaultdict(list)
+    for k, c in enumerate(counts):
+        if not c[-1]:
+            groups[names[k] if sizes[names[k]] >= quality.LEAST_GROUP else None].append(k)
+    kept = [False] * len(docs)
+    for members in groups.values():
+        x = []
+        for k in members:
+            n, chars, symbols, dup, repeat, _ = counts[k]
+            lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", y)) for y in docs[k][0].split("\n"))
+            x.append([np.log(chars / n), ((symbols + 0.375) / (n + 0.75)) ** 0.5, ((repeat + 24) / (n + 48)) ** 0.5, ((dup + 1) / (lines + 2)) ** 0.5])
+        x = np.array(x)
+        m, p = slow_estimate(x)
+        p = p if precision is None else precision
+        d2 = np.einsum("ni,ij,nj->n", x - m, p, x - m)
+        at = np.sort(np.floor(32 * np.log2(d2 + 1e-6)))
+        scale = max(1.0, 2 ** ((at[int(np.ceil(0.5 * len(x))) - 1] + 1) / 32) / quality.MEDIAN)
+        for k, v in zip(members, d2 / scale, strict=True):
+            kept[k] = bool(v <= quality.CUTOFF)
+    return kept
+
+
 def test_estimates_against_numpy(spark):
-    """Concentration steps by brute force from the same start, with the same bins."""
+    """Concentration and reweighting by brute force from the same start, with the same bins."""
     rng = np.random.default_rng(4)
-    good = rng.multivariate_normal([0, 1, 2, 3], [[1, 0.5, 0, 0], [0.5, 1, 0, 0], [0, 0, 2, 0.3], [0, 0, 0.3, 1]], 900)
+    cov = np.array([[1, 0.5, 0, 0], [0.5, 1, 0, 0], [0, 0, 2, 0.3], [0, 0, 0.3, 1]])
+    good = rng.multivariate_normal([0, 1, 2, 3], cov, 900)
     x = np.concatenate([good, rng.normal(12, 0.5, (100, 4))])
     rows = [("g", *map(float, v)) for v in x]
     found = quality.estimates(spark.createDataFrame(rows, "grp string, x0 double, x1 double, x2 double, x3 double")).first()
-    floors = np.diag(np.square(quality.FLOORS))
-    low = lambda v: np.sort(v)[(len(v) + 1) // 2 - 1]
-    m = np.array([low(x[:, k]) for k in range(4)])
-    cov = np.diag([(1.4826 * low(abs(x[:, k] - m[k]))) ** 2 for k in range(4)]) + floors
-    bins = lambda: np.floor(32 * np.log2(np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(cov), x - m) + 1e-6))
-    for _ in range(quality.STEPS):
-        at = bins()
-        near = x[at <= np.sort(at)[int(np.ceil(quality.BULK * len(x))) - 1]]
-        m, cov = near.mean(0), np.cov(near.T, bias=True) + floors
+    m, p = slow_estimate(x)
     assert [found[f"m{k}"] for k in range(4)] == pytest.approx(m.tolist(), abs=1e-6)
-    p = np.linalg.inv(cov)
     assert [found[f"p{i}{j}"] for i in range(4) for j in range(i, 4)] == pytest.approx([p[i, j] for i in range(4) for j in range(i, 4)], abs=1e-6)
     assert np.abs(m - [0, 1, 2, 3]).max() < 0.2  # the far tenth has not moved the centre
+    assert np.abs(np.linalg.inv(p) - cov).max() < 0.3  # nor the covariance
+
+
+def test_verdicts_against_numpy(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text, r.lang, r.source) for r in table(spark, sf, "documents").collect())
+    kept = {r.doc_id: r.kept for r in queries.op10_quality(spark, sf).collect()}
+    assert [kept[d] for d, *_ in docs] == slow_verdicts([x[1:] for x in docs])
+
+
+def test_correlated_outliers_need_the_covariance(spark):
+    """Symbols grow with the length of words; documents that break this rule are ordinary in every single statistic."""
+    rng = random.Random(3)
+
+    def text(long, symbols):
+        words = [f"{rng.randrange(10**5):05d}" + "x" * (rng.random() < long) * 6 for _ in range(190)]
+        return " ".join(words + ["$" * symbols]) if symbols else " ".join(words)
+
+    texts = [text(a, int(60 * a)) for a in (rng.random() for _ in range(300))]
+    texts += [text(0.05, 55) for _ in range(6)] + [text(0.95, 3) for _ in range(6)]
+    docs = [(t, "en", "a") for t in texts]
+    rows = [(k, *d) for k, d in enumerate(docs)]
+    judged = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [judged[k] for k in range(len(docs))] == slow_verdicts(docs)
+    assert not any(judged[k] for k in range(300, 312))
+    assert sum(judged[k] for k in range(300)) >= 285
+    floors = slow_verdicts(docs, np.diag(1 / np.square(quality.FLOORS)))
+    assert sum(floors[k] != judged[k] for k in range(312)) >= 12
 
 
 def test_training_rows(spark):
