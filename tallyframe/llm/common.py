@@ -59,6 +59,33 @@ def free_prefix(columns: list[str]) -> str:
     return prefix
 
 
+def hashed_sample(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """Per value of ``by`` at most ``n`` rows, those of the smallest hashes of ``key``, which tells a group's rows apart.
+
+    Of a larger group about 3n + 200 rows pass a bound on the hash that follows from the group's size, so what a task
+    sorts grows neither with the group nor with the number of tasks. That fewer than ``n`` pass is less likely than
+    e^-100. The groups must be few: their sizes are broadcast.
+    """
+    own = free_prefix(rows.columns)
+    of, size, rank = f"{own}of", f"{own}size", f"{own}rank"
+    sizes = rows.groupBy(F.col(by).alias(of)).agg(F.count("*").alias(size))
+    place = F.xxhash64(key) / F.lit(2.0**64) + 0.5
+    likely = rows.join(F.broadcast(sizes), F.col(by) == F.col(of)).filter(place * F.col(size) <= 3 * n + 200)
+    first = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(key), key))
+    return likely.withColumn(rank, first).filter(F.col(rank) <= n).select(*rows.columns)
+
+
+def hashed_pieces(text: Column, inside: str, length: int, n: int) -> Column:
+    """Stretches of characters ``inside`` (a character class) of the whole text, cut at ``length``; beyond ``n`` the distinct ones of the smallest hashes."""
+    pieces = F.regexp_extract_all(text, F.lit(f"{inside}{{1,{length}}}"), F.lit(0))
+
+    def some(all_pieces: Column) -> Column:
+        ordered = F.array_sort(F.transform(F.array_distinct(all_pieces), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))
+        return F.when(F.size(all_pieces) <= n, all_pieces).otherwise(F.transform(F.slice(ordered, 1, n), lambda x: x["x"]))
+
+    return let(pieces, some)
+
+
 CHUNK = 1024  # rows of one key in a chunk; two chunks are compared in one cell
 ROWS_TOGETHER = 200_000
 MAX_HOT = 50_000  # keys of which the row counts are broadcast, the most frequent ones

@@ -6,8 +6,9 @@ that helps and not what came before. The smallest sum of sizes wins; where the s
 larger, the text is rejected.
 
 Odd cases: a text that is null or has no letter is ``und``, scores 0 and is rejected. Of languages
-that compress a text equally well, the one with more labelled rows is predicted. Without any
-labelled text, everything is ``und``. Columns of any other name pass through ``drop_unclear`` untouched.
+that compress a text equally well, the one with more labelled rows is predicted. Copies of a labelled
+text count as one. Languages whose labelled texts have all lines in common cannot be told apart, and
+their texts are rejected. Without any labelled text, everything is ``und``. Columns of any other name pass through ``drop_unclear`` untouched.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import map_batches
+from tallyframe.llm.common import hashed_pieces, hashed_sample, map_batches
+from tallyframe.session import cut_lineage
 
-SAMPLE_DOCS = 400  # labelled texts that a dictionary is made of, at most
-SAMPLE_CHARS = 4000  # of these texts, so much is read; prediction reads whole texts
+SAMPLE_DOCS = 400  # different labelled texts that a dictionary is made of, at most
+SAMPLE_LINES, LINE_CHARS = 16, 300  # of such a text, so many pieces of lines from anywhere in it; prediction reads whole texts
 DICTIONARY_BYTES = 1 << 16
 SHARE_BYTES = 600  # of a dictionary that one text may fill
 PIECE_BYTES = 2048
@@ -76,11 +78,14 @@ class Model:
 
 
 def dictionary(texts: list[str], common: set[bytes]) -> bytes:
-    """The lines of some texts, without those in ``common``, each text filling a bounded share."""
-    out, size = [], 0
+    """The lines of some texts, each once and without those in ``common``, each text filling a bounded share."""
+    out, size, had = [], 0, set(common)
     for text in texts:
-        lines = (letters(line) for line in text.split("\n"))
-        part = b" ".join(line for line in lines if line and line not in common)[:SHARE_BYTES]
+        lines = [line for line in dict.fromkeys(letters(line) for line in text.split("\n")) if line and line not in had]
+        had.update(lines)
+        part = b" ".join(lines)[:SHARE_BYTES]
+        if not part:
+            continue
         out.append(part)
         size += len(part) + 1
         if size >= DICTIONARY_BYTES:
@@ -91,21 +96,29 @@ def dictionary(texts: list[str], common: set[bytes]) -> bytes:
 def trained(docs: DataFrame, use: Column | None = None) -> Model:
     """Dictionaries from the rows with text and lang for which ``use`` holds, up to the sizes of the sample.
 
-    Rows are taken in the order of a hash of their id, chosen before any text is read. Lines that
-    several texts of the sample have, such as licences, tell no language and are left out.
+    Equal texts are merged before any is chosen, in the order of a hash. Lines that the samples of several languages
+    have, such as licences, tell no language and are left out, unless a language has no others.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.filter(use) if use is not None else known
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang", place.alias("place")).filter(F.col("place") <= SAMPLE_DOCS)
-    head = known.select("doc_id", F.col("lang").alias("of"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = head.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), "doc_id").filter("lang = of")
-    rows = sorted({(r["lang"], r["doc_id"], r["text"]) for r in rows.select("lang", "doc_id", "text").collect()})
-    seen = Counter(line for _, _, text in rows for line in {letters(x) for x in text.split("\n")})
+    known = (known.filter(use) if use is not None else known).select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), "text")
+    content = F.xxhash64("text").alias("content")
+    texts = known.groupBy("of", content).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    texts = cut_lineage(texts, "texts")
+    counts = {r["of"]: r["n"] for r in texts.groupBy("of").agg(F.sum("n").alias("n")).collect()}
+    chosen = hashed_sample(texts.select("of", "content", "id"), "of", "content", SAMPLE_DOCS)
+    rows = known.withColumn("content", content).join(F.broadcast(chosen), ["id", "of", "content"])
+    rows = rows.groupBy("of", "content").agg(F.min("text").alias("text"))
+    lines = F.concat_ws("\n", hashed_pieces(F.col("text"), r"[^\n]", LINE_CHARS, SAMPLE_LINES))
+    rows = sorted((r["of"], r["content"], r["text"]) for r in rows.select("of", "content", lines.alias("text")).collect())
+    seen = Counter(line for _, line in {(of, letters(x)) for of, _, text in rows for x in text.split("\n")})
     common = {line for line, n in seen.items() if n > 1}
+    made = []
     languages = sorted(counts, key=lambda x: (-counts[x], x))
-    return Model(languages, [dictionary([t for of, _, t in rows if of == x], common) for x in languages])
+    for language in languages:
+        own = [text for of, _, text in rows if of == language]
+        only = dictionary(own, common)
+        made.append(only if only.strip() else dictionary(own, set()))
+    return Model(languages, made)
 
 
 def predicted(docs: DataFrame, model: Model, passed: list[str]) -> DataFrame:

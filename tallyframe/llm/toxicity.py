@@ -23,12 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import map_batches
-from tallyframe.operators.ranking import sample_per_group
+from tallyframe.llm.common import hashed_pieces, hashed_sample, map_batches
 
 TOXIC_SAMPLE = 2000  # at most so many labelled texts of each class are learned from
 CLEAN_SAMPLE = 4000
-SAMPLE_CHARS = 20_000  # of texts no longer than this; scoring has no such bound
+SAMPLE_SENTENCES, SENTENCE_CHARS = 400, 1000  # of a text learned from, by hash where it has more; scoring reads all
 STEM = 5  # characters that inflected forms of a word share
 MIN_EVIDENCE = 15.0  # a word is learned if its G statistic against the labels is at least this
 _BREAK = re.compile(r"[.!?\n\r]+")
@@ -137,13 +136,13 @@ def trained(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Mo
     truth = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     truth = truth.filter(use) if use is not None else truth
     truth = truth.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    first = [F.xxhash64("doc_id"), F.col("doc_id")]
-    toxic = sample_per_group(truth.filter("toxic = 1"), ["toxic"], first, TOXIC_SAMPLE)
-    clean = sample_per_group(truth.filter("toxic = 0"), ["toxic"], first, CLEAN_SAMPLE)
+    toxic = hashed_sample(truth.filter("toxic = 1"), "toxic", "doc_id", TOXIC_SAMPLE)
+    clean = hashed_sample(truth.filter("toxic = 0"), "toxic", "doc_id", CLEAN_SAMPLE)
     chosen = toxic.union(clean).select("doc_id", "toxic")
-    short = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    some = F.concat_ws("\n", hashed_pieces(F.col("text"), r"[^.!?\n\r]", SENTENCE_CHARS, SAMPLE_SENTENCES))
+    rows = sorted(rows.select("doc_id", "toxic", some.alias("text")).collect(), key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.llm import language, quality, queries, toxicity
-from tallyframe.llm.common import bucket_of_id, table
+from tallyframe.llm.common import bucket_of_id, hashed_sample, table
 from tests.llm.conftest import odd_texts
 
 SF01 = "/root/testdata/sf0.01"
@@ -45,6 +45,48 @@ def test_shared_lines_tell_no_language():
     assert language.letters(licence) not in language.dictionary([f"{licence}\nmore words of its own"], common)
 
 
+def test_languages_of_copies_and_of_shared_lines(spark):
+    lines = {
+        "en": ["the house by the river is old", "we went there with our friends", "nothing was left of the bread", "she told them what had happened"],
+        "de": ["das haus am fluss ist sehr alt", "wir gingen mit unseren freunden hin", "vom brot war nichts mehr da", "sie sagte ihnen was geschehen war"],
+    }
+    french = "la maison au bord de la rivière est vieille\nnous y sommes allés avec nos amis\nil ne restait rien du pain"
+    rows = [(k, "\n".join(x), of) for of, all_lines in lines.items() for k, x in enumerate(zip(all_lines, all_lines[1:], strict=False))]
+    rows = [(10 * n, text, of) for n, (_, text, of) in enumerate(rows)] + [(1000 + k, french, "fr") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.predicted(docs, language.trained(docs), ["doc_id", "lang"]).collect()
+    assert all(r.lang_pred == r.lang and not r.rejected for r in found)
+    same = spark.createDataFrame([(k, french, of) for k, of in enumerate(["fr", "de", "en", "fr"])], "doc_id long, text string, lang string")
+    model = language.trained(same)
+    assert model.languages == ["fr", "de", "en"] and all(b"maison" in x for x in model.dictionaries)
+
+
+def test_training_reads_the_ends_of_long_texts(spark):
+    """What tells a language or a label apart stands after a hundred thousand characters that all texts have in common."""
+    head = "\n".join(f"{k} " + "gemeinsam " * 20 for k in range(9))  # pieces of letters alone are the same line
+    tails = {"en": "the quick brown fox jumps over the lazy dog", "de": "zwölf boxkämpfer jagen viktor quer über den deich"}
+    rows = [(k, f"{head}\n{tails[of]} {k}", of) for k in range(20) for of in [["en", "de"][k % 2]]]
+    model = language.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    by_language = dict(zip(model.languages, model.dictionaries, strict=True))
+    assert b"jumps over" in by_language["en"] and "über den deich".encode() in by_language["de"]
+    calm = ". ".join(f"sentence {k} of a long and calm text with nothing in it" for k in range(390))
+    texts = [(k, calm + (". you rotter" if k % 3 == 0 else ". you friend")) for k in range(90)]
+    assert min(len(t) for _, t in texts) > 20_000
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)], "doc_id long, toxic int")
+    model = toxicity.trained(docs, labels)
+    assert model.score("what a day. you rotter!")[0] >= 0.5 > model.score("what a day. you friend!")[0]
+
+
+def test_samples_by_hash(spark):
+    rows = spark.range(50_000).select((F.col("id") % 3 == 0).cast("string").alias("g"), F.col("id").alias("k"))
+    found = hashed_sample(rows, "g", "k", 300)
+    ordered = sorted((r.g, r.h, r.k) for r in rows.withColumn("h", F.xxhash64("k")).collect())
+    groups = {g: [k for of, _, k in ordered if of == g][:300] for g in ("false", "true")}
+    assert sorted((r.g, r.k) for r in found.collect()) == sorted((g, k) for g, ks in groups.items() for k in ks)
+    assert hashed_sample(rows.limit(0), "g", "k", 300).collect() == []
+
+
 # -- toxicity -------------------------------------------------------------------------------------
 def planted(n, seed):
     rng = random.Random(seed)
