@@ -82,9 +82,11 @@ class Model:
 NOTHING = Model(-60.0, {})
 
 
-def telling_words(docs: list[set[str]], y: np.ndarray) -> list[str]:
+def telling_words(docs: Iterator[set[str]], y: np.ndarray) -> list[str]:
     """Words whose share of toxic texts differs from that of the others beyond chance."""
-    spread = [Counter(w for d, of in zip(docs, y, strict=True) if of == c for w in d) for c in (0, 1)]
+    spread = [Counter(), Counter()]
+    for d, of in zip(docs, y.tolist(), strict=True):
+        spread[of].update(d)
     words = sorted(w for w in set().union(*spread) if spread[0][w] + spread[1][w] >= 3)
     n = np.array([len(y) - y.sum(), y.sum()], float)
     have = np.array([[spread[c][w] for w in words] for c in (0, 1)], float).reshape(2, len(words))
@@ -96,16 +98,16 @@ def telling_words(docs: list[set[str]], y: np.ndarray) -> list[str]:
 
 
 def train(texts: list[str], toxic: list[int], rounds: int = 400, rate: float = 0.2, decay: float = 0.005) -> Model:
-    """Fit by Adam on the noisy-or likelihood."""
+    """Fit by Adam on the noisy-or likelihood. Words are read twice, so that only numbers of the telling ones are held."""
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         return NOTHING
-    bags = [[features(t[a:b]) for a, b in sentences(t)] for t in texts]
-    index = {w: k for k, w in enumerate(telling_words([set().union(*doc) for doc in bags], y))}
+    bags = lambda t: (features(t[a:b]) for a, b in sentences(t))
+    index = {w: k for k, w in enumerate(telling_words((set().union(*bags(t)) for t in texts), y))}
     of_sentence, of_word, of_doc, n = [], [], [], 0
-    for d, doc in enumerate(bags):
-        for bag in doc:
-            known = [index[w] for w in bag if w in index]
+    for d, t in enumerate(texts):
+        for bag in bags(t):
+            known = sorted(index[w] for w in bag if w in index)
             of_word += known
             of_sentence += [n] * len(known)
             of_doc.append(d)
