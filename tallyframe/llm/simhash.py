@@ -235,10 +235,27 @@ def _frequent_windows(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
     return known[order], (len(top) - np.arange(len(top)))[order]
 
 
+def window_parity(windows: np.ndarray) -> bytes:
+    """Bits of the parity of a set of windows, as many as it has windows, rounded up to a power of two.
+
+    Windows go by their low bits, so a longer parity folds into a shorter one.
+    """
+    size = max(64, 1 << (len(windows) - 1).bit_length()) if len(windows) else 64
+    odd = np.bincount((windows & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of windows that one of two sets has alone, from their parities."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, size), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _with_prefixes(docs: DataFrame, names: list[str], words: int, similarity: float) -> DataFrame:
-    """``docs`` with columns of these names: a 128-bit hash of the set of windows, its size and its prefix."""
+    """``docs`` with columns of these names: a 128-bit hash of the set of windows, its size, its prefix and its parity."""
     known, ranks = _frequent_windows(docs, words)
-    kinds = [T.LongType(), T.LongType(), T.IntegerType(), T.ArrayType(T.LongType())]
+    kinds = [T.LongType(), T.LongType(), T.IntegerType(), T.ArrayType(T.LongType()), T.BinaryType()]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
 
     def prefix(windows: np.ndarray) -> np.ndarray:
@@ -261,6 +278,7 @@ def _with_prefixes(docs: DataFrame, names: list[str], words: int, similarity: fl
                 pa.array(keys[:, 1]),
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                pa.array([window_parity(s) for s in sets], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
 
@@ -299,8 +317,29 @@ def _candidates(rows: DataFrame, similarity: float, every: bool) -> DataFrame:
     return map_batches(dealt_in_cells(rows, "key", "node"), compare, "a bigint, b bigint").distinct()
 
 
+def _close(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` that may be similar by the parities in ``texts`` (node, n, parity), a bit a window each; stored.
+
+    A bound that holds for all, so no similar pair is lost; what it leaves has its whole sets fetched.
+    """
+    share = similarity / (1 + similarity)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            most = n - 2 * np.ceil(share * n - 1e-9)
+            sides = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            good = np.array([least_difference(x, y) for x, y in sides], np.int64) <= most
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    sides = [texts.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(w)) for c, w in (("a", "x"), ("b", "y"))]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y")
+    return cut_lineage(map_batches(joined, check, "a bigint, b bigint"), "close")
+
+
 def _similar(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs`` whose sets of windows are similar, taken from ``texts`` (node, text) again; stored."""
+    """The ``pairs`` whose sets of windows are similar, taken from ``texts`` (node, n, parity, text) again; stored."""
+    pairs = _close(texts, pairs, similarity)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,10 +387,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     Texts are near-duplicates if their sets of windows of ``words`` words have a Jaccard similarity of
     ``similarity`` or more, or are both empty; links chain. All such pairs are found: they share a window among the
-    first n - ceil(similarity n) + 1 of both, by rarity, and candidates are verified on the whole sets.
+    first n - ceil(similarity n) + 1 of both, by rarity. The parities of the sets, a bit a window, rule out most
+    candidates; the others are verified on the whole sets.
     """
     own = free_prefix(docs.columns)
-    rid, names = f"{own}rid", [f"{own}{c}" for c in ("k1", "k2", "n", "prefix")]
+    rid, names = f"{own}rid", [f"{own}{c}" for c in ("k1", "k2", "n", "prefix", "parity")]
     stored = cut_lineage(_with_prefixes(docs.withColumn(rid, F.monotonically_increasing_id()), names, words, similarity), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(rid).alias("rid"))
     keys = [F.col(n).alias(c) for n, c in zip(names[:2], ("k1", "k2"), strict=True)]
@@ -360,7 +400,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     firsts = stored.join(nodes.select(F.col("node").alias(rid)), rid, "left_semi")
     rows = firsts.select(F.col(rid).alias("node"), F.col(names[2]).cast("long").alias("n"), F.posexplode(names[3]).alias("place", "key"))
     rows = rows.select("key", "node", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
-    labels = components(_similarity_edges(rows, stored.select(F.col(rid).alias("node"), "text"), words, similarity))
+    texts = stored.select(F.col(rid).alias("node"), F.col(names[2]).alias("n"), F.col(names[4]).alias("parity"), "text")
+    labels = components(_similarity_edges(rows, texts, words, similarity))
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     keep = cut_lineage(labelled.groupBy("label").agg(F.min("first").alias("first")), "kept")
     return stored.join(keep.select(F.col("first.rid").alias(rid)), rid, "left_semi").select(*docs.columns)

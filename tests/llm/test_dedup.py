@@ -6,6 +6,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -158,6 +159,20 @@ def test_all_pairs_of_the_stated_similarity_are_linked(spark):
     assert kept == {i for i in first if first[i] == i}
 
 
+def test_parities_never_claim_more_differences_than_there_are():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        both = rng.integers(0, 2**63, int(rng.integers(0, 900)), np.uint64)
+        own = [rng.integers(0, 2**63, int(rng.integers(0, 300)), np.uint64) for _ in range(2)]
+        x, y = (np.unique(np.concatenate([both, o])) for o in own)
+        bound = simhash.least_difference(simhash.window_parity(x), simhash.window_parity(y))
+        assert bound <= len(np.setxor1d(x, y)) and (len(own[0]) + len(own[1]) or not bound)
+    # Long sets are told apart as well as short ones: a quarter of 5000 windows differs.
+    x, y = (rng.integers(0, 2**63, 5000, np.uint64) for _ in range(2))
+    y[:3500] = x[:3500]
+    assert simhash.least_difference(simhash.window_parity(x), simhash.window_parity(y)) > 10000 - 2 * np.ceil(4 / 9 * 10000)
+
+
 def slow_lines(rows, similarity=0.8):
     seen, out = [], {}
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
