@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql.window import Window
 from tallyframe.session import cut_lineage
 
 LIMITED_IN_TASKS = 1000  # Spark limits groups before the shuffle up to this size
-SALTS = 64
+EXPECTED = 400  # sampled rows among a group's first n
+BOUND = 490  # the sampled row that bounds them, 4.5 standard deviations later
 
 
 def latest_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -53,21 +55,46 @@ def child_of_latest(
 def sample_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group in the given order.
 
-    Spark limits every task to ``n`` rows per group before the shuffle, up to a size. Beyond it, groups
-    are cut over salts first, so that a task gets a share of a huge group and then ``n`` rows of each share.
+    Spark limits every task to ``n`` rows per group before the shuffle, up to a size. Beyond it, rows are stored
+    and numbered by range, so a group is spread over all tasks; if ``order`` names columns, the rows behind an estimated
+    bound of each group are left out before anything is moved.
     """
     if n < 1:
         raise ValueError("a sample holds at least one row")
     if not by:
         return df.orderBy(*order).limit(n)
     if n > LIMITED_IN_TASKS:
-        salted = Window.partitionBy(*by, "_salt").orderBy(*order)
-        df = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-        df = df.withColumn("_rank", F.row_number().over(salted)).where(F.col("_rank") <= n).drop("_rank", "_salt")
+        rows = _within_bounds(df, by, order, n) if all(isinstance(c, str) for c in order) else df
+        return positions(rows, by, order, "_rank").filter(F.col("_rank") <= n).drop("_rank")
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
+def _within_bounds(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """Rows of ``df`` that hold the first ``n`` of each group, of a large group few more; stored.
+
+    The bound of a group is a row of a sample. Groups without one are kept whole; they have few more than ``n`` rows, as
+    a larger one has enough sampled rows. Where fewer than ``n`` rows are within the bound, the rest of the group follows.
+    """
+    sampled = df.select(*dict.fromkeys([*by, *order])).filter(F.rand(n) < EXPECTED / n)
+    place = F.struct(*order)
+    names = [f"_by{k}" for k in range(len(by))]
+    first = sample_per_group(sampled, by, order, BOUND).select(*[F.col(c).alias(x) for c, x in zip(by, names, strict=True)], place.alias("_place"))
+    bounds = first.groupBy(*names).agg(F.max("_place").alias("_bound"), F.count("*").alias("_n")).filter(F.col("_n") == BOUND).drop("_n")
+    bounds = cut_lineage(bounds, "bounds")
+
+    def same(right: Sequence[str]) -> Column:
+        return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(by, right, strict=True)])
+
+    near = df.join(bounds, same(names), "left").filter(F.col("_bound").isNull() | (place <= F.col("_bound")))
+    near = cut_lineage(near.select(*df.columns), "near")
+    enough = near.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= n).select(*by)
+    short = cut_lineage(bounds.join(enough, same(names), "left_anti"), "short")
+    if short.isEmpty():
+        return near
+    return near.union(df.join(short, same(names)).filter(place > F.col("_bound")).select(*df.columns))
+
+
 def first_occurrences(df: DataFrame, value: str, position: str) -> DataFrame:
     """Distinct values with the position of their first occurrence."""
     return df.groupBy(value).agg(F.min(position).alias(position))

@@ -209,6 +209,27 @@ def test_samples_are_bounded(spark):
     assert sorted(r.v for r in ranking.sample_per_group(many, ["g"], ["v"], 1500).collect()) == list(range(3000))
 
 
+@pytest.mark.parametrize("bound", [ranking.BOUND, 20])  # the second one is far too near, so all groups are widened
+def test_large_samples_by_bounds(spark, monkeypatch, bound):
+    monkeypatch.setattr(ranking, "BOUND", bound)
+    rows = [(None if k % 3 == 0 else k % 3, None if k % 50 == 0 else f"{k * 7919 % 4001:05d}", k) for k in range(20000)]
+    rows += [(9, "x", 1)] * 3 + [(8, "tie", 5)] * 4000
+    df = spark.createDataFrame(rows, "g long, t string, v long")
+    want = Counter()
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or "", r[2]))
+        want.update(mine[:1200])
+    assert Counter(map(tuple, ranking.sample_per_group(df, ["g"], ["t", "v"], 1200).collect())) == want
+    empty = ranking.sample_per_group(df.filter("v < 0"), ["g"], ["t", "v"], 1200)
+    assert empty.columns == df.columns and empty.collect() == []
+
+
+def test_bounds_leave_few_rows(spark):
+    df = spark.range(200000).select((F.col("id") % 2).alias("g"), F.xxhash64("id").alias("v"))
+    near = ranking._within_bounds(df, ["g"], ["v"], 2000)
+    assert 2 * 2000 <= near.count() < 2 * 3500
+
+
 def test_child_of_latest(spark):
     parents = frame(spark, [(1, 10, 5), (1, 11, 4), (2, 20, 1)], "e int, id int, t int")
     children = frame(spark, [(11, "late", 9), (11, "early", 1), (10, "no", 0)], "parent int, s string, t int")

@@ -144,6 +144,16 @@ def large_samples(spark, sf):
     return ranking.sample_per_group(orders, ["o_orderstatus"], [F.desc("o_orderkey")], 1500)
 
 
+@query(
+    """SELECT l_returnflag, l_shipdate, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag
+ ORDER BY l_shipdate, l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k <= 2000"""
+)
+def first_rows_of_large_groups(spark, sf):
+    """The first rows of groups that are far larger: rows behind an estimated bound are not moved."""
+    lines = run_sql(spark, sf, "SELECT l_returnflag, l_shipdate, l_orderkey, l_linenumber FROM lineitem")
+    return ranking.sample_per_group(lines, ["l_returnflag"], ["l_shipdate", "l_orderkey", "l_linenumber"], 2000)
+
+
 @query("SELECT CAST(o_custkey % 4 AS INT) AS emp_id, count(*) AS n FROM orders WHERE o_custkey % 4 < 3 GROUP BY 1")
 def export_by_employer(spark, sf):
     """An export of some employers leaves what earlier ones wrote."""
