@@ -23,6 +23,8 @@ from tallyframe.operators.ranking import sample_per_group
 from tallyframe.operators.tagged import per_group
 from tallyframe.session import cut_lineage
 
+STRETCH = 16  # sums run over stretches of at most 2 ** 16 rows of a range partition, so no task holds whole partitions
+
 
 def positional_runs(
     primary: DataFrame, replicated: DataFrame, by: Sequence[str] = (), cols: Sequence[str] | None = None
@@ -43,9 +45,9 @@ def runs_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .withColumn("_id", F.monotonically_increasing_id())
     )
     # The ranges come from sampling: cut here so that every reader sees the same layout.
-    placed = cut_lineage(ordered).withColumn("_part", F.shiftright("_id", 33))
+    placed = cut_lineage(ordered).withColumn("_part", F.shiftright("_id", STRETCH))
 
-    # One row per (range partition, group): at most partitions + groups rows.
+    # One row per (stretch, group): at most stretches + groups rows.
     sizes = placed.groupBy("_part", *by).agg(
         F.sum("primary_count").alias("_p"), F.sum("replicated_count").alias("_r")
     )
@@ -139,7 +141,7 @@ def aligned_rows(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         ordered.select(
             *by,
             "_id",
-            F.shiftright("_id", 33).alias("_part"),
+            F.shiftright("_id", STRETCH).alias("_part"),
             anchor.cast("int").alias("_anchor"),
             F.greatest(F.col("primary_count") - F.col("replicated_count"), F.lit(0)).alias("_p"),
             F.greatest(F.col("replicated_count") - F.col("primary_count"), F.lit(0)).alias("_r"),
@@ -147,7 +149,7 @@ def aligned_rows(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         ),
         "placed",
     )
-    # At most partitions + groups rows.
+    # At most stretches + groups rows.
     sizes = placed.groupBy("_part", *by).agg(
         F.min("_id").alias("_first"), *[F.sum(c).alias(f"_n{c}") for c in ("_anchor", "_p", "_r")]
     )

@@ -248,3 +248,21 @@ def test_schema_operators(spark):
     assert schema.drop_ignored(a, ["NAME", "ID"], protected=["id"]).columns == ["id"]
     found = {r["column"]: r.presence for r in schema.schema_diff(a, b).collect()}
     assert found == {"id": "both", "Name": "primary_only", "other": "replicated_only"}
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_positions_over_short_stretches(spark, monkeypatch, by):
+    """Sums that go over many stretches of a partition, as no window may hold a whole partition."""
+    monkeypatch.setattr(positional, "STRETCH", 2)
+    p = [("ab"[i % 2], i // 3) for i in range(90)]
+    r = [(g, v) for g, v in p if v % 7] + [("b", 1000)] * 3
+    sides = [spark.createDataFrame(x, "g string, v int") for x in (p, r)]
+    runs = positional.positional_runs(*sides, by)
+    sums = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftright(_id#" in sums.lower() and ", 2)" in sums
+    for key in "ab" if by else [None]:
+        a, b = (sorted((g, v) for g, v in x if key in (None, g)) for x in (p, r))
+        found = runs.where(F.col("g") == key) if key else runs
+        for x, s in ((a, "p"), (b, "r")):
+            filled = {(row.g, row.v): range(row[f"{s}_start"], row[f"{s}_end"]) for row in found.collect()}
+            assert x == [t for _, t in sorted((i, t) for t, span in filled.items() for i in span)]
