@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators.equality import tables_equal
 from tallyframe.operators.keys import known_keys
 from tallyframe.operators.tagged import IN_PRIMARY, IN_REPLICATED, per_group, tagged_union, where_group
+from tallyframe.session import cut_lineage
 
 MISSING = "missing"
 UNEXPECTED = "unexpected"
@@ -46,7 +47,7 @@ def group_set_diff(
     Sets are never built as arrays. Only group, item and flag move: they collapse to distinct
     (group, item) pairs and these to one row of facts per group, both before their shuffles.
     The join of the two has one row per group on one side, so a hot group can be split. Whole
-    rows are read again only for the groups that are reported.
+    rows are read again only for the groups that are reported; with ``info_cols`` the reported items are stored for that.
     """
     group = [*by, *[g for g in group if g not in by]]
     wanted = list(dict.fromkeys([*expected, *expected_if_flagged]))
@@ -104,7 +105,8 @@ def group_set_diff(
             .selectExpr(*group, "item", f"'{MISSING}' AS kind", "is_flagged")
         )
         out = out.unionByName(absent)
-    return _with_info(out, primary, replicated, group, info_cols) if info_cols else out
+    # Stored, as two branches need it: else one task sorts for both, and the joins above run twice.
+    return _with_info(cut_lineage(out, "items"), primary, replicated, group, info_cols) if info_cols else out
 
 
 def _text(value: str) -> str:
