@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _DECIMAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?0*[0-9]{1,18})?$"
+_PLAIN = r"^[0-9]+\z"
 _DIGITS, _REVERSED = "0123456789", "9876543210"
 _LAST = "~"  # sorts after every digit
 PLAIN_ZEROS = 40  # beyond so many added zeros the text of a number has an exponent
@@ -39,7 +40,14 @@ def exact_number(col: Column) -> Column:
         .otherwise(digits)
         .alias("digits"),
     )
-    return F.when(text.rlike(_DECIMAL), number)
+    # Mostly the text is digits alone. Such a number needs none of the above, which Spark would compute anew wherever it is named.
+    significant = F.ltrim(text, F.lit("0"))
+    plain = F.struct(
+        F.when(significant == "", 0).otherwise(1).alias("sign"),
+        F.length(significant).cast("bigint").alias("exponent"),
+        F.rtrim(significant, F.lit("0")).alias("digits"),
+    )
+    return F.when(text.rlike(_PLAIN), plain).when(text.rlike(_DECIMAL), number)
 
 
 def digit_number(col: Column) -> Column:

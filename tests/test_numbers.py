@@ -58,3 +58,11 @@ def test_order_of_digit_texts(spark):
     rows = spark.createDataFrame(list(enumerate(values)), "k int, x string")
     ordered = [r["x"] for r in rows.orderBy(digit_number(F.col("x")), "k").collect()]
     assert ordered == ["x", None, "-5", "007", "9", "10", "9" * 40, "8" * 41]
+
+
+def test_digits_alone_give_the_struct_of_any_other_text(spark):
+    """They take a way of their own; a sign sends the same number the general way."""
+    rows = [(t, f"+{t}") for t in ["0", "000", "7", "0070", "1200", "9" * 50, "0" * 30 + "10" + "0" * 30]]
+    found = spark.createDataFrame(rows, "a string, b string").select(exact_number(F.col("a")).alias("a"), exact_number(F.col("b")).alias("b"))
+    assert all(r.a is not None and r.a == r.b for r in found.collect())
+    assert found.select("a")._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") >= 2
