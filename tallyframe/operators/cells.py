@@ -92,6 +92,20 @@ def _pair_unique(primary, replicated, keys, row, ts_col) -> DataFrame:
     )
 
 
+def without_equal_rows(
+    paired: DataFrame, keys: Sequence[str], cols: Sequence[str], by: Sequence[str] = (), null_is_empty: bool = False
+) -> DataFrame:
+    """The pairs with keys and rows only where the sides differ; counts stay.
+
+    What all counts and details of a keyed comparison need, small enough to be stored.
+    """
+    same = ~F.coalesce(F.col("unequal"), F.lit(True))
+    for c in cols:
+        same &= ~F.coalesce(cell_differs(c, None, null_is_empty), F.lit(False))
+    gone = {*keys, "p", "r"} - {*by}
+    return paired.withColumns({c: F.when(~same, F.col(quoted(c))) for c in paired.columns if c in gone})
+
+
 def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,15 +132,13 @@ def _key_text(key_cols: Sequence[str], by: Sequence[str], key_cast: str | None =
     return F.concat_ws("|", *[text(k) for k in key_cols if k not in by])
 
 
-def _keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples, stored) -> dict[str, Callable[[], DataFrame]]:
+def _keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples) -> dict[str, Callable[[], DataFrame]]:
     """The detail frames of a keyed comparison, all from the pairs whose rows differ."""
     name = F.lit(dataset).alias("dataset")
     key = _key_text(key_cols, by, spec.key_cast).alias("key")
 
-    @cache
     def changed() -> DataFrame:
-        rows = paired.where("unequal")
-        return cut_lineage(rows, "changed") if stored else rows
+        return paired.where("unequal")
 
     def diffs() -> DataFrame:
         return cells.cell_diffs(changed(), key_cols, compared, spec.normalize, spec.null_is_empty)
@@ -187,6 +185,8 @@ def _compare_keyed(primary, replicated, cols, spec, dataset, by, n_samples, stor
     paired = cells.pair_by_key(
         primary, replicated, key_cols, row_cols, dedup="first", ts_col="_time" if ts else None
     )
+    if stored:
+        paired = cut_lineage(cells.without_equal_rows(paired, key_cols, compared, by, spec.null_is_empty), "paired")
     stats = cells.keyed_stats(paired, compared, by, spec.normalize, spec.null_is_empty)
     if equal is not None:
         stats = cells.with_equal_rows(stats, equal, by)
@@ -208,7 +208,7 @@ def _compare_keyed(primary, replicated, cols, spec, dataset, by, n_samples, stor
     return Diff(
         results=_result(stats, by, dataset, spec, cols, messages, "n_unequal = 0", same, **values),
         column_diffs=lambda: _column_diffs(stats, by, dataset),
-        **_keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples, stored),
+        **_keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples),
     )
 
 
@@ -323,6 +323,8 @@ def _compare_unique(primary, replicated, cols, spec, dataset, by, same_columns,
     row_cols = [c for c in cols if c not in key_cols]
     compared = [c for c in row_cols if c not in spec.compare_exclude]
     paired = cells.pair_by_key(primary, replicated, key_cols, row_cols)
+    if stored:
+        paired = cut_lineage(cells.without_equal_rows(paired, key_cols, compared, by, spec.null_is_empty), "paired")
     stats = cells.keyed_stats(paired, compared, by, spec.normalize, spec.null_is_empty)
     if equal is not None:
         stats = cells.with_equal_rows(stats, equal, by)
@@ -336,7 +338,7 @@ def _compare_unique(primary, replicated, cols, spec, dataset, by, same_columns,
     return Diff(
         results=_result(stats, by, dataset, spec, cols, messages, "n_unequal = 0", same_columns),
         column_diffs=lambda: _column_diffs(stats, by, dataset),
-        **_keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples, stored),
+        **_keyed_frames(paired, key_cols, compared, spec, by, dataset, n_samples),
     )
 
 
@@ -513,8 +515,8 @@ def compare_tables(
 
     The result frames are lazy, apart from what decides how to go on: whether keys are unique,
     totals of whole rows, equality of grouped tables, and the layout of a positional comparison.
-    With ``stored``, counts and differing rows are computed once into the shared folder, which
-    pays when several frames are read.
+    With ``stored``, the pairs are computed once into the shared folder, equal rows without their cells, and
+    so are the counts, which pays when several frames are read.
     """
     rules = rules or CompareRules()
     spec = spec or spec_for(dataset)

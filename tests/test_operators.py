@@ -266,3 +266,31 @@ def test_positions_over_short_stretches(spark, monkeypatch, by):
         for x, s in ((a, "p"), (b, "r")):
             filled = {(row.g, row.v): range(row[f"{s}_start"], row[f"{s}_end"]) for row in found.collect()}
             assert x == [t for _, t in sorted((i, t) for t, span in filled.items() for i in span)]
+
+
+@pytest.mark.parametrize("dedup", [None, "first"])
+def test_pairs_without_equal_rows(spark, dedup):
+    left = [("a", "x"), ("b", "y"), ("c", None), ("d", "z"), (None, "q")]
+    right = [("a", "x"), ("b", "w"), ("c", ""), ("e", "z"), (None, "q")]
+    paired = cells.pair_by_key(kv(spark, left), kv(spark, right), ["k"], dedup=dedup)
+    short = cells.without_equal_rows(paired, ["k"], ["v"])
+    assert cells.keyed_stats(short, ["v"]).collect() == cells.keyed_stats(paired, ["v"]).collect()
+    assert {r.k for r in short.where("k IS NOT NULL OR p IS NOT NULL OR r IS NOT NULL").collect()} == set("bcde")
+    assert short.where("unequal").exceptAll(paired.where("unequal")).isEmpty()
+
+
+def test_cells_that_differ_in_text_alone_stay_with_their_pair(spark):
+    sides = [spark.createDataFrame([("a", v)], "k string, v double") for v in (0.0, -0.0)]
+    paired = cells.pair_by_key(*sides, ["k"])
+    short = cells.without_equal_rows(paired, ["k"], ["v"], null_is_empty=True)
+    both = [cells.keyed_stats(x, ["v"], null_is_empty=True).first() for x in (paired, short)]
+    assert both[0] == both[1] and both[0].n_records_with_diffs == 1
+
+
+def test_reported_items_are_computed_once(spark, monkeypatch):
+    stored, cut = [], groups.cut_lineage
+    monkeypatch.setattr(groups, "cut_lineage", lambda df, name: stored.append(name) or cut(df, name))
+    sides = [frame(spark, rows, "g string, i string, name string") for rows in ([("a", "x", "n"), ("a", "y", "m")], [("a", "x", "n")])]
+    found = groups.group_set_diff(*sides, ["g"], "i", info_cols=["name"])
+    assert stored == ["items"]
+    assert [(r.g, r.item, r.kind, r.info_name) for r in found.collect()] == [("a", "y", groups.MISSING, "n")]
