@@ -11,8 +11,9 @@ Equal fingerprints are one node. A key's nodes meet in one task if they are few;
 dealt in chunks over cells, one for each pair of chunks. A task emits a spanning forest of the links
 that it finds, never all pairs. Components come from contracting these edges.
 
-``drop_near_duplicates`` has a similarity that is far beyond three bits. It needs no fingerprints: an exact
-set-similarity join over hashed windows, with prefix, length and positional filters, finds all pairs.
+``drop_near_duplicates`` has a similarity that goes far beyond three bits. Its first links are those that chains find,
+verified by the exact similarity; an exact set-similarity join over hashed windows, with prefix, length and positional
+filters, then finds the pairs that are still apart.
 
 Odd cases: null, empty and white-space-only texts have the fingerprint zero and are linked like any
 other. Rows that share a doc_id are rows of their own. Only doc_id and text are read by
@@ -62,7 +63,11 @@ def window_hashes(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3, count: int = 1) -> list[int]:
     """``count`` fingerprints of a text, unsigned. The first one has the bits of XXH64 with seed 42."""
-    hashes = window_hashes(text, words)
+    return _fingerprint_of(window_hashes(text, words), count)
+
+
+def _fingerprint_of(hashes: np.ndarray, count: int = 1) -> list[int]:
+    """The fingerprints of a text from the hashes of its windows, repeats included."""
     if not len(hashes):
         return [0] * count
     out = []
@@ -253,9 +258,9 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def _with_prefixes(docs: DataFrame, names: list[str], words: int, similarity: float) -> DataFrame:
-    """``docs`` with columns of these names: a 128-bit hash of the set of windows, its size, its prefix and its parity."""
+    """``docs`` with columns of these names: a 128-bit hash of the set of windows, its size, its prefix and its parity, and the fingerprint."""
     known, ranks = _frequent_windows(docs, words)
-    kinds = [T.LongType(), T.LongType(), T.IntegerType(), T.ArrayType(T.LongType()), T.BinaryType()]
+    kinds = [T.LongType(), T.LongType(), T.IntegerType(), T.ArrayType(T.LongType()), T.BinaryType(), T.LongType()]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
 
     def prefix(windows: np.ndarray) -> np.ndarray:
@@ -268,7 +273,9 @@ def _with_prefixes(docs: DataFrame, names: list[str], words: int, similarity: fl
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(window_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            hashes = [window_hashes(t, words) for t in batch.column("text").to_pylist()]
+            prints = np.array([_fingerprint_of(h)[0] for h in hashes], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
             keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), ">i8").reshape(-1, 2).astype(np.int64)
             prefixes = [prefix(s) for s in sets]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in prefixes], dtype=np.int64))).astype(np.int32)
@@ -279,6 +286,7 @@ def _with_prefixes(docs: DataFrame, names: list[str], words: int, similarity: fl
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 pa.array([window_parity(s) for s in sets], pa.binary()),
+                pa.array(prints),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
 
@@ -364,21 +372,31 @@ def _similar(texts: DataFrame, pairs: DataFrame, words: int, similarity: float)
     return cut_lineage(map_batches(joined, check, "a bigint, b bigint"), "similar")
 
 
-def _similarity_edges(rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the ``label`` of their node, which is the node itself where it has none; stored."""
+    rows = rows.select("key", "node", "at").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return cut_lineage(rows.select("key", "node", "at", "label"), "labelled")
+
+
+def _similarity_edges(rows: DataFrame, prints: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of nodes that are similar, from ``rows`` (key, node, at).
 
-    First each key's candidates are spanned, which keeps large families linear. Then come, of the keys whose
-    nodes are not yet connected, all pairs that are neither tested nor connected.
+    First come the links that chains find among the fingerprints in ``prints`` (node, _f0), verified. The rest follows by
+    shared windows: each key's candidates of different labels are spanned, which keeps large families linear, and then, of
+    the keys whose nodes are not yet connected, come all pairs that are neither tested nor connected.
     """
+    near = links(prints, ["_f0"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tested = cut_lineage(near.distinct(), "chained")
+    linked = _similar(texts, tested, words, similarity)
     shared = rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
     rows = cut_lineage(rows.join(shared, "key", "left_semi"), "shared")
-    pairs = cut_lineage(_candidates(rows.withColumn("label", F.col("node")), similarity, False), "pairs")
-    edges = _similar(texts, pairs, words, similarity)
-    labelled = rows.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = cut_lineage(labelled.select("key", "node", "at", "label"), "labelled")
+    found = _candidates(_labelled(rows, components(linked)), similarity, False)
+    pairs = cut_lineage(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+    edges = linked.union(_similar(texts, pairs, words, similarity))
+    labelled = _labelled(rows, components(edges))
     apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     rest = _candidates(labelled.join(apart.select("key"), "key", "left_semi"), similarity, True)
-    rest = cut_lineage(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = cut_lineage(rest.join(pairs.union(tested), ["a", "b"], "left_anti"), "rest")
     return edges.union(_similar(texts, rest, words, similarity))
 
 
@@ -386,12 +404,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id.
 
     Texts are near-duplicates if their sets of windows of ``words`` words have a Jaccard similarity of
-    ``similarity`` or more, or are both empty; links chain. All such pairs are found: they share a window among the
+    ``similarity`` or more, or are both empty; links chain. The chains of :func:`near_duplicates` come first, over SimHash
+    fingerprints of these windows; what they link is verified. All other such pairs are found, too: they share a window among the
     first n - ceil(similarity n) + 1 of both, by rarity. The parities of the sets, a bit a window, rule out most
     candidates; the others are verified on the whole sets.
     """
     own = free_prefix(docs.columns)
-    rid, names = f"{own}rid", [f"{own}{c}" for c in ("k1", "k2", "n", "prefix", "parity")]
+    rid, names = f"{own}rid", [f"{own}{c}" for c in ("k1", "k2", "n", "prefix", "parity", "print")]
     stored = cut_lineage(_with_prefixes(docs.withColumn(rid, F.monotonically_increasing_id()), names, words, similarity), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(rid).alias("rid"))
     keys = [F.col(n).alias(c) for n, c in zip(names[:2], ("k1", "k2"), strict=True)]
@@ -400,8 +419,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     firsts = stored.join(nodes.select(F.col("node").alias(rid)), rid, "left_semi")
     rows = firsts.select(F.col(rid).alias("node"), F.col(names[2]).cast("long").alias("n"), F.posexplode(names[3]).alias("place", "key"))
     rows = rows.select("key", "node", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
+    prints = firsts.select(F.col(rid).alias("node"), F.col(names[5]).alias("_f0"))
     texts = stored.select(F.col(rid).alias("node"), F.col(names[2]).alias("n"), F.col(names[4]).alias("parity"), "text")
-    labels = components(_similarity_edges(rows, texts, words, similarity))
+    labels = components(_similarity_edges(rows, prints, texts, words, similarity))
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     keep = cut_lineage(labelled.groupBy("label").agg(F.min("first").alias("first")), "kept")
     return stored.join(keep.select(F.col("first.rid").alias(rid)), rid, "left_semi").select(*docs.columns)

@@ -244,3 +244,19 @@ def test_lines_of_odd_documents(spark, odd_docs, no_docs):
     assert out.columns == odd_docs.columns
     assert out.filter(F.col("doc_id") == 5).count() == 1 and out.filter(F.col("doc_id") < 4).count() == 3
     assert line_dedup.line_report(no_docs).collect() == line_dedup.drop_repeated_lines(no_docs).collect() == []
+
+
+def test_chains_link_near_duplicates_of_the_pipeline(spark, monkeypatch):
+    """SimHash chains alone find texts within three bits; the join over windows then finds what is left, and no chained text is verified away."""
+    rng, words, rows, far = random.Random(11), [f"w{i}" for i in range(3000)], [], 0
+    for k in range(30):
+        text = [rng.choice(words) for _ in range(400)]
+        near = [*text[:-1], "changed"]
+        bits = [simhash.fingerprint(" ".join(t), 5)[0] for t in (text, near)]
+        far += (bits[0] ^ bits[1]).bit_count() > 3
+        rows += [(k, " ".join(text)), (100 + k, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(range(30))
+    none = lambda rows, *_: rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    monkeypatch.setattr(simhash, "_candidates", none)
+    assert far < 30 and simhash.drop_near_duplicates(docs).count() == 30 + far
