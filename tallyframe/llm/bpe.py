@@ -17,29 +17,31 @@ import gc
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from tallyframe.llm.common import map_batches
 
-KEPT_WORDS = 200_000  # words that a worker remembers
-KEPT_CHUNKS = 250_000  # and what stands between white space, twice
+KEPT_WORDS = 200_000  # words that a worker remembers, twice
+KEPT_CHUNKS = 250_000  # different chunks between white space that are split into words at once
 LONG_WORD = 64  # characters; longer words are merged one by one
 MERGED_TOGETHER = 20_000
-TOGETHER_CHARS = 2_000_000  # of texts whose new words are encoded at once
+TOGETHER_CHARS = 8_000_000  # of texts whose new words are encoded at once
 _END = "\ue000"  # stands for the end of a word; no byte maps to it
 _NEVER = np.int64(1) << 40
-_LENGTH = 0xFF  # characters of a token that is proposed; a match is kept as place, id (20 bits) and length (8 bits)
+_LENGTH = 0xFF  # characters of a token that is proposed; a match is kept as id and length (8 bits)
 # Texts of these characters alone are split by the pattern; the tests hold each of them against the library.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u017f\u2013\u2014\u2018-\u201d\u2026\u20ac]*+")
+_PLAIN_CLASS = "[\t\n\r\x20-\x7e¡-įı-ſ–—‘-”…€]*"
+_PLAIN = regex.compile(f"{_PLAIN_CLASS}+")
 
 
 def _byte_characters() -> list[str]:
@@ -50,6 +52,12 @@ def _byte_characters() -> list[str]:
     return [made[b] for b in range(256)]
 
 
+def spread(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Groups of ``values``, which stand one after the other and have ``sizes``, in the order of ``which``, repeats included."""
+    before, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
+    return values[np.arange(n.sum()) + np.repeat(before - (np.cumsum(n) - n), n)]
+
+
 class WordBpe:
     """A word-level BPE tokenizer from a file of the tokenizers library whose words end in a suffix."""
 
@@ -62,7 +70,7 @@ class WordBpe:
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.specials = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
-        self.words = regex.compile(content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.words = content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.characters = _byte_characters()
         self.byte_of = {c: b for b, c in enumerate(self.characters)}
         size = max([*self.vocabulary.values(), *self.specials.values()]) + 1
@@ -97,12 +105,12 @@ class WordBpe:
                     automaton.add_word(text, i << 8 | len(text))
         automaton.make_automaton()
         self.automaton = automaton
-        self.first = {c: self.vocabulary[c] for c in self.characters}
-        self.last = {c: self.vocabulary[c + suffix] for c in self.characters}
+        self.codes = np.array([ord(c) for c in self.characters], "<u2")
+        self.first = np.array([self.vocabulary[c] for c in self.characters])
+        self.last = np.array([self.vocabulary[c + suffix] for c in self.characters])
         self.raw = [i.to_bytes(4, "little") for i in range(size)]
         self.known: dict[str, bytes] = {}  # words
-        self.older: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}  # what stands between white space in plain texts, in lower case
+        self.older: dict[str, bytes] = {}  # words of the generation before
         self.failed = 0  # words that needed exact merging, for tests and reports
 
     # -- verification -------------------------------------------------------------------------
@@ -201,10 +209,8 @@ class WordBpe:
     # -- words --------------------------------------------------------------------------------
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet."""
-        characters = self.characters
-        # Printable ASCII stands for itself.
-        spelled = [w if w.isascii() and w.isprintable() else "".join([characters[b] for b in w.encode()]) for w in words]
-        flat, sizes = self._proposals(spelled)
+        lengths, spelled = self._spelled(words)
+        flat, sizes = self._proposals(lengths, spelled)
         inside = np.ones(len(flat), bool)
         inside[np.cumsum(sizes[sizes > 0]) - 1] = False  # a word's last token has no pair
         at = np.flatnonzero(inside)
@@ -214,57 +220,72 @@ class WordBpe:
         good[np.repeat(np.arange(len(words)), sizes)[at[wrong]]] = False
         self.failed += int(len(words) - good.sum())
 
-        first, last = self.first, self.last
-        long = [k for k in np.flatnonzero(~good).tolist() if len(spelled[k]) > LONG_WORD]
-        short = [k for k in np.flatnonzero(~good).tolist() if len(spelled[k]) <= LONG_WORD]
+        short, long = np.flatnonzero(~good & (lengths <= LONG_WORD)), np.flatnonzero(~good & (lengths > LONG_WORD))
         for at in range(0, len(short), MERGED_TOGETHER):
             part = short[at : at + MERGED_TOGETHER]
-            lengths = np.array([len(spelled[k]) for k in part])
-            ids = np.array([first[c] for k in part for c in spelled[k]])
-            ids[np.cumsum(lengths) - 1] = [last[spelled[k][-1]] for k in part]
-            self._keep([words[k] for k in part], *self.merged(ids, lengths))
-        for k in long:
-            ids = [first[c] for c in spelled[k]]
-            ids[-1] = last[spelled[k][-1]]
-            self.known[words[k]] = np.array(self.merged_long(ids), "<u4").tobytes()
+            self._keep([words[k] for k in part.tolist()], *self.merged(self._single(lengths, spelled, part), lengths[part]))
+        for k in long.tolist():
+            ids = self.merged_long(self._single(lengths, spelled, np.array([k])).tolist())
+            self.known[words[k]] = np.array(ids, "<u4").tobytes()
         self._keep([w for w, fine in zip(words, good.tolist(), strict=True) if fine], flat[np.repeat(good, sizes)], sizes[good])
 
-    def _proposals(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _spelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many bytes each word has, and the bytes of all, one word after the other."""
+        made = pa.array(words, pa.large_binary())
+        lengths = np.diff(np.frombuffer(made.buffers()[1], np.int64, len(words) + 1))
+        return lengths, np.frombuffer(made.buffers()[2] or b"", np.uint8, lengths.sum())
+
+    def _single(self, lengths: np.ndarray, spelled: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The ids of single bytes that spell some of the words."""
+        taken, ends = spread(spelled, lengths, which), np.cumsum(lengths[which]) - 1
+        ids = self.first[taken]
+        ids[ends] = self.last[taken[ends]]
+        return ids
+
+    def _proposals(self, lengths: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest-match tokens of all words, one after the other, and how many each word has; 0 if it is not covered.
 
         Words go through the automaton as one text: no token goes on behind the end of a word, so each starts afresh.
         """
-        lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
-        text = _END.join([*spelled, ""])
-        found = np.fromiter((at << 28 | v for at, v in self.automaton.iter_long(text)), np.int64)
-        word = np.searchsorted(np.cumsum(lengths), found >> 28, side="right")
-        covered = np.bincount(word, found & _LENGTH, len(spelled)) == lengths
-        return (found >> 8 & 0xFFFFF)[covered[word]], np.bincount(word, minlength=len(spelled)) * covered
+        count, places = len(lengths), np.arange(len(spelled)) + np.repeat(np.arange(len(lengths)), lengths)
+        codes = np.full(len(spelled) + count, ord(_END), "<u2")
+        codes[places] = self.codes[spelled]
+        matches = self.automaton.iter_long(codes.tobytes().decode("utf-16-le"))
+        at, found = np.fromiter(chain.from_iterable(matches), np.int64).reshape(-1, 2).T
+        word = np.repeat(np.arange(count), lengths + 1)[at]
+        covered = np.bincount(word, found & _LENGTH, count) == lengths + 1
+        return (found >> 8)[covered[word]], np.bincount(word, minlength=count) * covered
 
     def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
         self.known.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=False))
 
     # -- texts --------------------------------------------------------------------------------
-    def _remember(self, words: set[str]) -> None:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        if new := [w for w in words if w not in self.known]:
+    def _remember(self, words: Iterable[str]) -> None:
+        if len(self.known) > KEPT_WORDS:  # a new generation; what is met again moves to it
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = [w for w in words if w and w not in known]
+        known[""] = b""  # behind the last word of a chunk
+        if older:
+            known.update([(w, older[w]) for w in new if w in older])
+            new = [w for w in new if w not in older]
+        if new:
             self.learn(new)
 
-    def _learn_chunks(self, chunks: set[str]) -> None:
-        """Encode what stands between white space: a word, a word and a mark, or what the pattern makes of it."""
-        again = chunks & self.older.keys()
-        self.chunks.update({c: self.older[c] for c in again})
-        find = self.words.findall
-        single, rest = [], []
-        for c in chunks - again:
-            (single if c.isalpha() else rest).append(c)
-        parts = [(c[:-1], c[-1]) if c[-1] in ".,;:!?" and c[:-1].isalpha() else find(c) for c in rest]
-        self._remember(set(chain(single, *parts)))
-        known = self.known
-        self.chunks.update(zip(single, map(known.__getitem__, single), strict=True))
-        self.chunks.update(zip(rest, [b"".join([known[w] for w in found]) for found in parts], strict=True))
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, one after the other, and how many each has. What is not a word alone is split by the pattern."""
+        single = pc.utf8_is_alpha(chunks)
+        rest = pc.replace_substring_regex(chunks.filter(pc.invert(single)), self.words, r"\0 ")
+        parts = pc.ascii_split_whitespace(pc.replace_with_mask(chunks, pc.invert(single), rest))
+        found = parts.flatten().dictionary_encode()
+        words, of = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        self._remember(words)
+        raw = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat = spread(np.frombuffer(b"".join(raw), "<u4"), sizes, of)
+        ends = np.concatenate(([0], np.cumsum(sizes[of])))[parts.offsets.to_numpy()]
+        return flat, np.diff(ends)
 
     def _other(self, text: str) -> bytes:
         """Normalised and split as the tokenizer file says."""
@@ -302,24 +323,33 @@ class WordBpe:
                 gc.enable()
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        split = []  # of each text its parts: bytes that are done, or a list of chunks
+        split, segments = [], []  # of each text its parts: bytes that are done, or the place of a segment
         for text in texts:
             parts, at = [], 0
             for cut in self.special.finditer(text) if "<" in text else ():
-                parts += [self._segment(text[at : cut.start()]), self.raw[self.specials[cut[0]]]]
+                parts += [len(segments), self.raw[self.specials[cut[0]]]]
+                segments.append(text[at : cut.start()])
                 at = cut.end()
-            split.append([*parts, self._segment(text[at:])])
-        if len(self.chunks) > KEPT_CHUNKS:  # a new generation; what is met again moves to it
-            self.older, self.chunks = self.chunks, {}
-        needed = set().union(*[p for parts in split for p in parts if isinstance(p, list)])
-        if new := needed.difference(self.chunks):
-            self._learn_chunks(new)
-        of = self.chunks.__getitem__
-        return [b"".join([p if isinstance(p, bytes) else b"".join(map(of, p)) for p in parts]) for parts in split]
-
-    def _segment(self, text: str) -> list[str] | bytes:
-        """The chunks of a plain text; white space always separates words. The ids of any other."""
-        return text.lower().split() if _PLAIN.fullmatch(text) else self._other(text)
+            split.append([*parts, len(segments)])
+            segments.append(text[at:] if at else text)
+        plain = pc.match_substring_regex(pa.array(segments, pa.large_string()), f"\\A{_PLAIN_CLASS}\\z").to_pylist()
+        made = iter(self._plain_ids([s.lower() for s, fine in zip(segments, plain, strict=True) if fine]))
+        done = [next(made) if fine else self._other(s) for s, fine in zip(segments, plain, strict=True)]
+        return [b"".join([p if isinstance(p, bytes) else done[p] for p in parts]) for parts in split]
+
+    def _plain_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of plain texts. White space always separates words, so each different chunk between it is encoded once."""
+        chunks = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        found = chunks.flatten().dictionary_encode()
+        several = range(0, len(found.dictionary), KEPT_CHUNKS)
+        made = [self._chunk_ids(found.dictionary.slice(k, KEPT_CHUNKS).cast(pa.string())) for k in several]
+        if not made:
+            return [b""] * len(texts)
+        ids, sizes = (np.concatenate(x) for x in zip(*made, strict=True))
+        of = found.indices.to_numpy()
+        flat = spread(ids, sizes, of).tobytes()
+        ends = (4 * np.concatenate(([0], np.cumsum(sizes[of])))[chunks.offsets.to_numpy()]).tolist()
+        return [flat[a:b] for a, b in pairwise(ends)]
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes without a decoder: tokens, special ones too, joined by spaces."""

@@ -132,3 +132,19 @@ def test_packing_odd_documents(spark, tokenizer_path, odd_docs, no_docs):
     assert {p.source for p in pieces} == {"a", "b", None}
     assert packing.pack(no_docs, tokenizer_path).collect() == []
     assert zlib.crc32(bytes(next(p.ids for p in pieces if p.doc_id == 2))) == zlib.crc32((1).to_bytes(4, "little"))
+
+
+def test_a_worker_remembers_words_alone(own, library, monkeypatch):
+    """What stands between white space is encoded once in a group of texts and not kept."""
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 100)
+    monkeypatch.setattr(bpe, "TOGETHER_CHARS", 300)
+    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 1000)
+    fresh = bpe.WordBpe.__new__(bpe.WordBpe)
+    fresh.__dict__.update(own.__dict__, known={}, chunks={}, older={}, failed=0)
+    same(fresh, library, [f"a{chr(97 + k % 26)}{chr(97 + k // 26)}, don't {k}%% \n{k}" * 3 for k in range(400)])
+    assert sum(len(d) for d in (fresh.known, fresh.older, fresh.chunks)) < 400
+
+
+def test_groups_are_spread():
+    made = bpe.spread(np.array([5, 6, 7, 8]), np.array([1, 0, 3]), np.array([2, 1, 0, 2, 0]))
+    assert made.tolist() == [6, 7, 8, 5, 6, 7, 8, 5]
