@@ -7,11 +7,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyframe.llm import components, exact_dedup, line_dedup, queries, simhash
+from tallyframe.llm import common, components, exact_dedup, line_dedup, queries, simhash
 from tests.llm.conftest import SF, odd_texts
 
 
@@ -260,3 +261,30 @@ def test_chains_link_near_duplicates_of_the_pipeline(spark, monkeypatch):
     none = lambda rows, *_: rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     monkeypatch.setattr(simhash, "_candidates", none)
     assert far < 30 and simhash.drop_near_duplicates(docs).count() == 30 + far
+
+
+def test_verifying_moves_only_classes_in_pairs(spark, monkeypatch):
+    """What is joined to the pairs are the few classes that they name, not all."""
+    rows = [(k, f"word{k} other{k} third{k} fourth{k} fifth{k}") for k in range(400)] + [(1000 + k, f"word{k} other{k} third{k} fourth{k} fifth{k} {'x' if k < 5 else 'y z w v u'}") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup._lines(docs, 0.8, 1).withColumn("class", F.col("doc_id"))
+    pairs = spark.createDataFrame([(1000 + k, k, False) for k in range(10)], "late long, early long, more boolean")
+    seen = []
+    thin = line_dedup.rows_in_bitmap
+    monkeypatch.setattr(line_dedup, "rows_in_bitmap", lambda rows, key, needed: seen.append(thin(rows, key, needed)) or seen[-1])
+    found = {(r["late"], r["match"]) for r in line_dedup._verified(docs, pairs, lines, 0.8, 1).collect()}
+    assert found == {(1000 + k, k < 5) for k in range(10)}
+    assert 20 <= seen[0].count() < 30
+
+
+def test_frequent_words_by_bytes_and_white_space(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARE", 1000)
+    texts = ["b a\x0ba\x0c a\r\n", None, "", " \t", "é\xa0x é\xa0x é\xa0x", "once a b"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    assert line_dedup.frequent_words(docs) == {b"a": 3, "é\xa0x".encode(): 2, b"b": 1}
+
+
+def test_batches_are_cut(monkeypatch):
+    monkeypatch.setattr(common, "ROWS_AT_ONCE", 3)
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (7, 0, 3)]
+    assert [b.column(0).to_pylist() for b in common.in_slices(batches)] == [[0, 1, 2], [3, 4, 5], [6], [0, 1, 2]]
