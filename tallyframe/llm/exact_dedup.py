@@ -9,6 +9,9 @@ Equal blocks meet by hash partitioning and are sorted there; a name is the place
 them. A block that fills many rows is first dealt over salts and named in each of them; then the one
 representative that each salt has is reconciled. So no task sees all rows of a hot block.
 
+Equal blocks have equal hashes, so a block whose hash no other row has is equal to none: it gets a name
+of its own, and its content is not moved. A bitmap of hashes rules out, it never decides that blocks are equal.
+
 Odd cases: a null text counts as empty, and all empty texts are equal. Rows that share a doc_id are
 rows of their own; of equal texts, one row stays even if all have the same doc_id. A null doc_id
 sorts behind all others. Columns other than doc_id and text are not read. An empty table gives none.
@@ -21,14 +24,22 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import normal_spaces
+from tallyframe.llm.common import marked_in_bitmap, normal_spaces
 from tallyframe.session import cut_lineage
 
 BLOCK_CHARS = 4096
 HOT_ROWS = 500  # rows of one value that may meet in a task
+ALONE = 1 << 30  # salts over which rows are spread that no other row can equal
 MAX_HOT = 50_000  # the most frequent values that are salted; 16 bytes each are broadcast
 
 
+def contents_of_repeats(hashed: DataFrame, value: list[str], repeats: DataFrame) -> DataFrame:
+    """``hashed`` (with ``_hash``) with ``_alone`` where the hash is surely not in ``repeats``; these rows lose their ``value``."""
+    marked = marked_in_bitmap(hashed, "_hash", repeats, "_likely")
+    kept = [F.when(F.col("_likely"), F.col(c)).alias(c) if c in value else F.col(c) for c in hashed.columns]
+    return marked.select(*kept, (~F.col("_likely")).alias("_alone"))
+
+
 def name_values(rows: DataFrame, value: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """``rows`` (with ``rid`` and ``pos``) with an integer ``name`` in place of the columns of ``value``.
 
@@ -37,23 +48,24 @@ def name_values(rows: DataFrame, value: list[str], hot_rows: int = HOT_ROWS) ->
     """
     others = [c for c in rows.columns if c not in value]
     hashed = rows.withColumn("_hash", F.xxhash64(*value))
+    repeats = cut_lineage(hashed.groupBy("_hash").agg(F.count("*").alias("_n")).filter("_n > 1"), "repeats")
     hot = (
-        hashed.groupBy("_hash")
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > hot_rows)
+        repeats.filter(F.col("_n") > hot_rows)
         .orderBy(F.desc("_n"), "_hash")
         .limit(MAX_HOT)
         .select("_hash", F.ceil(F.col("_n") / hot_rows).alias("_salts"))
     )
     by_value = Window.partitionBy(*value, "_salt")
+    spread = F.pmod(F.xxhash64("rid", "pos"), F.coalesce("_salts", F.lit(ALONE)))
     local = (
-        hashed.join(F.broadcast(hot), "_hash", "left")
-        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("rid", "pos"), "_salts"), F.lit(0)))
+        contents_of_repeats(hashed, value, repeats)
+        .join(F.broadcast(hot), "_hash", "left")
+        .withColumn("_salt", F.when(F.col("_alone"), -1 - spread).when(F.col("_salts").isNull(), 0).otherwise(spread))
         .drop("_hash")
         .repartition(*value, "_salt")
         .sortWithinPartitions(*value, "_salt")
         .withColumn("_place", F.monotonically_increasing_id())
-        .withColumn("_name", F.min("_place").over(by_value))
+        .withColumn("_name", F.when(F.col("_alone"), F.col("_place")).otherwise(F.min("_place").over(by_value)))
     )
     stands_for_salt = F.col("_salts").isNotNull() & (F.col("_place") == F.col("_name"))
     local = cut_lineage(

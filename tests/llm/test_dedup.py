@@ -47,6 +47,15 @@ def test_names_tell_contents_apart(spark):
     assert len(set.union(*of.values())) == 4
 
 
+def test_contents_of_single_blocks_stay_where_they_are(spark, monkeypatch):
+    moved, keep = [], exact_dedup.contents_of_repeats
+    monkeypatch.setattr(exact_dedup, "contents_of_repeats", lambda *a: moved.append(keep(*a)) or moved[-1])
+    rows = [(k, 0, f"only {k}") for k in range(200)] + [(200 + k, 0, "twice") for k in range(2)] + [(300, 0, None)]
+    named = exact_dedup.name_values(spark.createDataFrame(rows, "rid long, pos int, v string"), ["v"]).collect()
+    assert len({r["name"] for r in named}) == 202
+    assert [r.v for r in moved[0].collect() if r.v] == ["twice"] * 2  # the bitmap may let some through, of so few it does not
+
+
 def slow_print(text, words=3):
     found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not found:
