@@ -214,7 +214,9 @@ def _record_lines(diff: Diff, e: str) -> list[DataFrame]:
 
 def write_report(lines: DataFrame, path: str, emp_col: str = "emp_id") -> None:
     """One text file per employer under ``path/emp_id=…``, lines in order."""
-    ordered = lines.repartition(emp_col).sortWithinPartitions(emp_col, "line_no")
+    # A report costs its file, not its bytes, by which AQE would merge partitions that have no number.
+    partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lines.repartition(partitions, emp_col).sortWithinPartitions(emp_col, "line_no")
     ordered.select(emp_col, F.col("text").alias("value")).write.mode("overwrite").partitionBy(emp_col).text(path)
 
 

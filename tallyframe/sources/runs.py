@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.labels import presence
 from tallyframe.operators.ranking import latest_per_group
+from tallyframe.session import few_listing_tasks
 
 # Fixed pattern: name of a comparison report.
 REPORT_NAME = r"^([^_]+)_.*comparison_report\.txt$"
@@ -16,7 +17,8 @@ REPORT_NAME = r"^([^_]+)_.*comparison_report\.txt$"
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Every file under ``path`` with name, size and modification time (contents not read)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    with few_listing_tasks(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(
         "path",
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
@@ -118,7 +120,8 @@ def find_reports(files: DataFrame, date: str | None = None) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Report files as whole texts, one row each."""
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    with few_listing_tasks(spark):
+        files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return files.select(
         F.col("_metadata.file_name").alias("report_file"),
         F.col("_metadata.file_modification_time").alias("modified_at"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.plans import report, rollup
 from tallyframe.plans.folders import compare_exports, compare_folders, differing_employers, run_files
 from tallyframe.plans.rules import CompareRules
+from tallyframe.sources import runs
 from tallyframe.sources.sql import export_datasets
 from tallyframe.streaming import gates
 
@@ -63,6 +64,27 @@ def test_run_folders(spark, tmp_path):
     assert [(r.emp_id, r.status) for r in some.results.collect()] == [("289", "IDENTICAL")]
 
 
+def test_many_reports_are_written_and_listed_in_parallel(spark, tmp_path):
+    path, context = str(tmp_path / "reports"), spark.sparkContext
+    lines = spark.range(600).selectExpr("CAST(id % 200 AS STRING) AS emp_id", "id AS line_no", "'line ' || id AS text")
+    report.write_report(lines, path)
+    files = list((tmp_path / "reports").glob("emp_id=*/part-*.txt"))
+    assert len(files) == 200
+    assert {f.read_text() for f in files} == {f"line {k}\nline {k + 200}\nline {k + 400}\n" for k in range(200)}
+    assert len({f.name.split("-")[1] for f in files}) == 8  # a task each for all partitions, however small they are
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    context.setJobGroup("listing", "listing")
+    try:
+        read = runs.read_reports(spark, path)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * context.defaultParallelism
+    assert read.count() == 200
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
 def test_gates_to_results(spark, tmp_path):
     """Status stream, release, export of both targets, comparison, report."""
     out, status = str(tmp_path / "out"), str(tmp_path / "status")

@@ -8,7 +8,7 @@ from tallyframe.functions import text
 from tallyframe.operators import ranking
 from tallyframe.plans.report import write_report
 from tallyframe.plans.rules import GENERIC, apply_rules
-from tallyframe.session import scratch_path
+from tallyframe.session import few_listing_tasks, scratch_path
 from tallyframe.sources import delimited, ids, runs, sql
 from workload.data import norm, register, run_sql
 from workload.registry import query
@@ -284,7 +284,8 @@ def report_files(spark, sf):
     path = scratch_path(spark, "reports")
     lines = run_sql(spark, sf, "SELECT CAST(user_id AS STRING) AS emp_id, event_id AS line_no, event_type AS text FROM events")
     write_report(lines, path)
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+    with few_listing_tasks(spark):
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     employer = F.regexp_extract(F.col("_metadata.file_path"), "emp_id=([^/]+)/", 1)
     n_lines = text.char_count(F.col("value"), "\n").cast("bigint")
     return files.groupBy(employer.alias("emp_id")).agg(F.sum(n_lines).alias("n"))
