@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import CHUNK, dealt_in_cells, free_prefix, group_ends, map_batches, rows_in_bitmap, whole_groups
+from tallyframe.llm.common import CHUNK, dealt_in_cells, free_prefix, group_ends, in_slices, map_batches, rows_in_bitmap, whole_groups
 from tallyframe.llm.components import components
 from tallyframe.session import cut_lineage
 
@@ -41,7 +41,6 @@ HALVES = ((0, 8), (8, 8))
 THIRDS = ((0, 5), (5, 5), (10, 6))
 _SUM_ROWS = 1 << 15
 FREQUENT = 50_000  # windows whose rank is known; all others count as rare
-SHARE = 20_000  # a window is counted where it is at least one in so many
 SAMPLED = 8  # one text in so many is read for the ranks
 
 
@@ -219,21 +218,21 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 # -- near-duplicates by exact similarity of window sets -------------------------------------------
 def _frequent_windows(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that many texts have, sorted, and their ranks from 1 for the least frequent; at most FREQUENT.
+    """Windows that several texts have, sorted, and their ranks from 1 for the least frequent; at most FREQUENT.
 
-    They come from a sample, and a batch reports windows that make up one in SHARE of it. Any order of
-    windows is correct as long as all texts use the same; this one only makes the join fast.
+    They come from a sample of the texts and are counted over all of it, since a window that one text in a thousand has
+    makes as many pairs as that is of all texts, squared. Any order of windows is correct as long as all texts use the
+    same; this one only makes the join fast.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [np.unique(window_hashes(t, words)) for t in batch.column(0).to_pylist()]
             values, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-            kept = n >= max(2, int(n.sum()) // SHARE)
-            yield pa.RecordBatch.from_arrays([pa.array(values[kept].view(np.int64)), pa.array(n[kept])], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
 
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
-    counts = map_batches(sample, count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = map_batches(sample, count, "key bigint, n int").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
     top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
     known = np.array([r["key"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(known)

@@ -56,6 +56,15 @@ def test_contents_of_single_blocks_stay_where_they_are(spark, monkeypatch):
     assert [r.v for r in moved[0].collect() if r.v] == ["twice"] * 2  # the bitmap may let some through, of so few it does not
 
 
+def test_windows_are_counted_over_all_batches(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    rows = [(k, f"a passage that some texts share {' '.join(f'w{k}x{j}' for j in range(20))}") for k in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16, "doc_id")
+    known, ranks = simhash._frequent_windows(docs, 5)
+    assert set(known) == set(simhash.window_hashes("a passage that some texts share", 5))
+    assert sorted(ranks) == [1, 2]
+
+
 def slow_print(text, words=3):
     found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not found:
