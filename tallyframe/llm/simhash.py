@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import CHUNK, dealt_in_cells, free_prefix, group_ends, in_slices, map_batches, rows_in_bitmap, whole_groups
+from tallyframe.llm.common import CHUNK, dealt_in_cells, free_prefix, group_ends, in_slices, map_batches, rows_in_bitmap, whole_groups, without
 from tallyframe.llm.components import components
 from tallyframe.session import cut_lineage
 
@@ -339,6 +339,8 @@ def _close(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
             good = np.array([least_difference(x, y) for x, y in sides], np.int64) <= most
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    texts = rows_in_bitmap(texts.select("node", "n", "parity"), "node", ends)  # most are in no pair
     sides = [texts.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(w)) for c, w in (("a", "x"), ("b", "y"))]
     joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y")
     return cut_lineage(map_batches(joined, check, "a bigint, b bigint"), "close")
@@ -415,12 +417,14 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     keys = [F.col(n).alias(c) for n, c in zip(names[:2], ("k1", "k2"), strict=True)]
     nodes = stored.groupBy(*keys).agg(F.min(rid).alias("node"), F.min(order).alias("first"))
     nodes = cut_lineage(nodes.select("node", "first"), "nodes")
-    firsts = stored.join(nodes.select(F.col("node").alias(rid)), rid, "left_semi")
+    copies = cut_lineage(stored.select(rid).join(nodes.select(F.col("node").alias(rid)), rid, "left_anti"), "copies")
+    firsts = without(stored.select(rid, names[2], names[3], names[5]), rid, copies)
     rows = firsts.select(F.col(rid).alias("node"), F.col(names[2]).cast("long").alias("n"), F.posexplode(names[3]).alias("place", "key"))
     rows = rows.select("key", "node", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
     prints = firsts.select(F.col(rid).alias("node"), F.col(names[5]).alias("_f0"))
     texts = stored.select(F.col(rid).alias("node"), F.col(names[2]).alias("n"), F.col(names[4]).alias("parity"), "text")
     labels = components(_similarity_edges(rows, prints, texts, words, similarity))
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    keep = cut_lineage(labelled.groupBy("label").agg(F.min("first").alias("first")), "kept")
-    return stored.join(keep.select(F.col("first.rid").alias(rid)), rid, "left_semi").select(*docs.columns)
+    keep = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first.rid")
+    dropped = cut_lineage(stored.select(rid).join(keep.select(F.col("rid").alias(rid)), rid, "left_anti"), "dropped")
+    return without(stored.select(*docs.columns, rid), rid, dropped).select(*docs.columns)

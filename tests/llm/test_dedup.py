@@ -65,6 +65,19 @@ def test_windows_are_counted_over_all_batches(spark, monkeypatch):
     assert sorted(ranks) == [1, 2]
 
 
+def test_only_rows_that_may_go_are_moved(spark, monkeypatch):
+    moved, mark = [], common.marked_in_bitmap
+    monkeypatch.setattr(common, "marked_in_bitmap", lambda *a: moved.append(mark(*a)) or moved[-1])
+    rows = spark.createDataFrame([(k, f"{k}") for k in range(100)] + [(None, "none")], "_word long, text string")
+    gone = spark.createDataFrame([(3,), (50,), (None,)], "_word long")
+    left = common.without(rows, "_word", gone).collect()
+    assert sorted((r["_word"] is None, r["_word"], r.text) for r in left if r["_word"] is not None) == sorted(
+        (False, k, f"{k}") for k in range(100) if k not in (3, 50)
+    )
+    assert sum(r["_word"] is None for r in left) == 1  # as in any anti join, null is in no table
+    assert moved[0].filter("likely").count() <= 3
+
+
 def slow_print(text, words=3):
     found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not found:
