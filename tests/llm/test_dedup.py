@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tallyframe.llm import common, components, exact_dedup, line_dedup, queries, simhash
+from tallyframe.session import cut_lineage
 from tests.llm.conftest import SF, odd_texts
 
 
@@ -319,3 +320,37 @@ def test_batches_are_cut(monkeypatch):
     monkeypatch.setattr(common, "ROWS_AT_ONCE", 3)
     batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (7, 0, 3)]
     assert [b.column(0).to_pylist() for b in common.in_slices(batches)] == [[0, 1, 2], [3, 4, 5], [6], [0, 1, 2]]
+
+
+def line_classes(spark, sets, similarity=0.8):
+    docs = spark.createDataFrame([(k, " ".join(sorted(x))) for k, x in enumerate(sets)], "doc_id long, text string").coalesce(1)
+    lines = line_dedup._numbered_lines(cut_lineage(line_dedup._lines(docs, similarity, 1)))
+    fold = {c: F.col(x).bitwiseXOR(F.col(y)) for x, y, c in (("p0", "p2", "even"), ("p1", "p3", "odd"))}
+    return cut_lineage(lines.withColumns({**fold, "asks": F.lit(True)}))
+
+
+def test_prefixes_travel_in_few_rows_and_lose_no_pair(spark, monkeypatch):
+    """Words of prefixes are dealt out by buckets, many in a row; frequent ones are split, and all similar pairs still meet."""
+    rng = random.Random(3)
+    sets = [set(rng.sample([f"w{k}" for k in range(40)], rng.randint(1, 30))) for _ in range(150)]
+    sets += [x ^ {rng.choice("w1 w2 w3 other new".split())} or {"w"} for x in sets]
+    rows = line_classes(spark, sets)
+    number = {r["doc_id"]: r["class"] for r in rows.collect()}
+    similar = {(number[i], number[j]) for i in range(300) for j in range(i) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+    assert len(similar) > 100 and sorted(number, key=number.get) == sorted(number)
+    dealt, entries = [], line_dedup._entries
+    monkeypatch.setattr(line_dedup, "_entries", lambda rows, function, schema: dealt.append(entries(rows, function, schema)) or dealt[-1])
+    assert similar <= {(r["late"], r["early"]) for r in line_dedup._candidates(rows, 0.8, True).collect()}
+    words = rows.agg(F.sum(F.size("prefix"))).first()[0]
+    assert dealt[-1].count() < words / 10
+    monkeypatch.setattr(line_dedup, "CHUNK", 20)
+    assert line_dedup._hot(rows)
+    assert similar <= {(r["late"], r["early"]) for r in line_dedup._candidates(rows, 0.8, True).collect()}
+
+
+def test_word_hashes_follow_the_bytes_alone():
+    words = [b"", b"a", b"a\x00", b"12345678", b"123456789", b"12345678\x00", b"x" * 256, b"x" * 257, "\u00e9\u8fd9".encode()]
+    one, two = line_dedup.word_hashes(pa.array(words, pa.large_binary()))
+    assert len(set(one.tolist())) == len(set(two.tolist())) == len(words)
+    again = line_dedup.word_hashes(pa.array([b"filler", *words[::-1]], pa.large_binary())[1:])
+    assert again[0][::-1].tolist() == one.tolist() and again[1][::-1].tolist() == two.tolist()
