@@ -354,3 +354,9 @@ def test_word_hashes_follow_the_bytes_alone():
     assert len(set(one.tolist())) == len(set(two.tolist())) == len(words)
     again = line_dedup.word_hashes(pa.array([b"filler", *words[::-1]], pa.large_binary())[1:])
     assert again[0][::-1].tolist() == one.tolist() and again[1][::-1].tolist() == two.tolist()
+
+
+def test_no_word_of_a_batch_is_asked_for(spark):
+    rows = line_classes(spark, [{"a", "b", "c", "d", "e"}, {"a", "b", "c", "d"}])
+    assert line_dedup._candidates(rows, 0.8, True, np.zeros(1 << 10, bool)).collect() == []
+    assert len(line_dedup._candidates(rows, 0.8, True, np.ones(1 << 10, bool)).collect()) == 1
