@@ -360,3 +360,12 @@ def test_no_word_of_a_batch_is_asked_for(spark):
     rows = line_classes(spark, [{"a", "b", "c", "d", "e"}, {"a", "b", "c", "d"}])
     assert line_dedup._candidates(rows, 0.8, True, np.zeros(1 << 10, bool)).collect() == []
     assert len(line_dedup._candidates(rows, 0.8, True, np.ones(1 << 10, bool)).collect()) == 1
+
+
+def test_words_of_all_documents_are_ranked(spark):
+    """Each document has a word of its own in all its lines; it stands behind the rare ones, so it is in no prefix."""
+    rows = [(d, "\n".join(" ".join([f"own{d}", *(f"w{d}x{k}x{j}" for j in range(7))]) for k in range(10))) for d in range(24)]
+    lines = line_dedup._lines(spark.createDataFrame(rows, "doc_id long, text string"), 0.8, 1).collect()
+    own = (line_dedup.word_hashes(pa.array([f"own{d}" for d in range(24)], pa.large_string()))[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    assert len(lines) == 240 and all(r.n == 8 and len(r.prefix) == 2 for r in lines)
+    assert [(r.doc_id, r.pos) for r in lines if int(own[r.doc_id]) in r.prefix] == []
