@@ -24,15 +24,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import CHUNK, dealt_in_cells, free_prefix, group_ends, in_slices, map_batches, rows_in_bitmap, whole_groups, without
+from tallyframe.llm.common import CHUNK, dealt_in_cells, free_prefix, group_ends, in_slices, map_batches, of_planes, planes, rows_in_bitmap, whole_groups, without
 from tallyframe.llm.components import components
 from tallyframe.session import cut_lineage
 
@@ -41,7 +42,11 @@ HALVES = ((0, 8), (8, 8))
 THIRDS = ((0, 5), (5, 5), (10, 6))
 _SUM_ROWS = 1 << 15
 FREQUENT = 50_000  # windows whose rank is known; all others count as rare
-SAMPLED = 8  # one text in so many is read for the ranks
+SAMPLED = 1  # all texts are read for the ranks, whatever this says; only a test names it
+SLOT_BITS = 28  # of a window's hash, by which windows are counted first
+BUCKET_BITS = 10
+WINDOWS_AT_ONCE = 1 << 21  # that are counted together
+KEPT = 256  # slots of a bucket whose windows are counted one by one
 
 
 def window_hashes(text: str | None, words: int) -> np.ndarray:
@@ -220,25 +225,95 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 def _frequent_windows(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows that several texts have, sorted, and their ranks from 1 for the least frequent; at most FREQUENT.
 
-    They come from a sample of the texts and are counted over all of it, since a window that one text in a thousand has
-    makes as many pairs as that is of all texts, squared. Any order of windows is correct as long as all texts use the
-    same; this one only makes the join fast.
+    They are counted over all texts, since a window that one text in a thousand has makes as many pairs as that is of all
+    texts, squared. Most windows occur once. So all are counted by a part of their hash first, and one by one then only those
+    of the most frequent slots, unless a window of another slot could be among the FREQUENT: then all are. Any order of
+    windows is correct as long as all texts use the same; this one only makes the join fast.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
-            sets = [np.unique(window_hashes(t, words)) for t in batch.column(0).to_pylist()]
-            values, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
-
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
-    counts = map_batches(sample, count, "key bigint, n int").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-    top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+    slots, left = _frequent_slots(docs.select("text"), words)
+    top = _counted_windows(docs.select("text"), words, slots)
+    if left > 1 and (len(top) < FREQUENT or top[-1]["n"] < left):
+        top = _counted_windows(docs.select("text"), words, None)
     known = np.array([r["key"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(known)
     return known[order], (len(top) - np.arange(len(top)))[order]
 
 
+def _windows_together(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[np.ndarray]:
+    """The windows of the texts in ``batches``, sorted, once for each text that has them, WINDOWS_AT_ONCE or somewhat more at a time."""
+    held, size = [], 0
+    for batch in in_slices(batches):
+        sets = [np.unique(window_hashes(t, words)) for t in batch.column(0).to_pylist()]
+        held.append(np.concatenate(sets))
+        size += len(held[-1])
+        if size >= WINDOWS_AT_ONCE:
+            yield np.sort(np.concatenate(held))
+            held, size = [], 0
+    if size:
+        yield np.sort(np.concatenate(held))
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values of ``x`` starts, and its length."""
+    starts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return starts, np.diff(np.append(starts, len(x)))
+
+
+def _frequent_slots(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
+    """Of each bucket the KEPT slots that most windows of ``texts`` fall in, sorted, and how many fall in one that is left out at most.
+
+    A slot is the first SLOT_BITS of a window's hash. Slots with their counts travel by buckets, many in a row.
+    """
+    width = SLOT_BITS - BUCKET_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for windows in _windows_together(batches, words):
+            slot = (windows >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+            starts, n = _runs(slot)
+            slot, n = slot[starts], n.astype(np.uint32)
+            bucket, within = (slot >> np.uint32(width)).astype(np.int32), slot & np.uint32((1 << width) - 1)
+            first, size = _runs(bucket)
+            steps = np.diff(within, prepend=within[:1])
+            steps[first] = within[first]
+            packed = [pa.array([planes(x[i : i + k]) for i, k in zip(first, size, strict=True)], pa.binary()) for x in (steps, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), *packed], ["bucket", "steps", "n"])
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in groupby(((b, k) for b in batches for k in range(b.num_rows)), lambda x: x[0].column(0)[x[1]].as_py()):
+            counts = np.zeros(1 << width, np.int64)
+            for b, k in rows:
+                counts[np.cumsum(of_planes(b.column(1)[k].as_py(), np.uint32))] += of_planes(b.column(2)[k].as_py(), np.uint32)
+            kept = min(KEPT, len(counts) - 1)
+            order = np.argpartition(-counts, kept)
+            some = order[:kept][counts[order[:kept]] > 1].astype(np.uint32) + np.uint32(bucket << width)
+            yield pa.RecordBatch.from_arrays([pa.array([some.tobytes()], pa.binary()), pa.array([counts[order[kept]]])], ["slots", "rest"])
+
+    packed = map_batches(texts, count, "bucket int, steps binary, n binary")
+    packed = packed.repartition("bucket").sortWithinPartitions("bucket")
+    found = map_batches(packed, most, "slots binary, rest bigint").collect()
+    slots = np.frombuffer(b"".join(bytes(r["slots"]) for r in found), np.uint32)
+    return np.sort(slots), max((r["rest"] for r in found), default=0)
+
+
+def _counted_windows(texts: DataFrame, words: int, slots: np.ndarray | None) -> list[Row]:
+    """The FREQUENT most frequent windows (key, n) that several ``texts`` have, of those in ``slots`` if it is given."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for windows in _windows_together(batches, words):
+            if slots is not None:
+                slot = (windows >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+                at = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
+                windows = windows[slots[at] == slot]
+            if len(windows):
+                starts, n = _runs(windows)
+                yield pa.RecordBatch.from_arrays([pa.array(windows[starts].view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    if slots is not None and not len(slots):
+        return []
+    counts = map_batches(texts, count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+    return counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+
+
 def window_parity(windows: np.ndarray) -> bytes:
     """Bits of the parity of a set of windows, as many as it has windows, rounded up to a power of two.
 

@@ -369,3 +369,23 @@ def test_words_of_all_documents_are_ranked(spark):
     own = (line_dedup.word_hashes(pa.array([f"own{d}" for d in range(24)], pa.large_string()))[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
     assert len(lines) == 240 and all(r.n == 8 and len(r.prefix) == 2 for r in lines)
     assert [(r.doc_id, r.pos) for r in lines if int(own[r.doc_id]) in r.prefix] == []
+
+
+def test_windows_of_all_texts_are_ranked(spark, monkeypatch):
+    """The most frequent windows by brute force, from whichever texts, and also if a slot that was left out could hold one."""
+    words = [f"a{k} b{k} c{k} d{k} e{k}" for k in range(40)]
+    rows = [(100 * k + j, f"{words[k]} {' '.join(f'w{k}x{j}x{i}' for i in range(9))}") for k in range(40) for j in range(2 + k % 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = {int(simhash.window_hashes(w, 5)[0]): 2 + k % 3 for k, w in enumerate(words)}
+    known, ranks = simhash._frequent_windows(docs, 5)
+    assert sorted(map(int, known)) == sorted(n) and list(known) == sorted(known)
+    by_rank = [n[int(w)] for w in known[np.argsort(ranks)]]
+    assert by_rank == sorted(by_rank) and sorted(ranks) == list(range(1, 41))
+    monkeypatch.setattr(simhash, "BUCKET_BITS", 0)
+    monkeypatch.setattr(simhash, "SLOT_BITS", 8)
+    monkeypatch.setattr(simhash, "KEPT", 3)
+    monkeypatch.setattr(simhash, "FREQUENT", 20)
+    slots, left = simhash._frequent_slots(docs.select("text"), 5)
+    assert len(slots) == 3 and left > 1
+    known, ranks = simhash._frequent_windows(docs, 5)
+    assert sorted((n[int(w)] for w in known), reverse=True) == sorted(n.values(), reverse=True)[:20]
