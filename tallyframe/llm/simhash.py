@@ -45,7 +45,7 @@ FREQUENT = 50_000  # windows whose rank is known; all others count as rare
 SAMPLED = 1  # all texts are read for the ranks, whatever this says; only a test names it
 SLOT_BITS = 28  # of a window's hash, by which windows are counted first
 BUCKET_BITS = 10
-WINDOWS_AT_ONCE = 1 << 21  # that are counted together
+WINDOWS_AT_ONCE = 1 << 20  # that are counted together
 KEPT = 256  # slots of a bucket whose windows are counted one by one
 
 
@@ -239,16 +239,18 @@ def _frequent_windows(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
     return known[order], (len(top) - np.arange(len(top)))[order]
 
 
-def _windows_together(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[np.ndarray]:
-    """The windows of the texts in ``batches``, sorted, once for each text that has them, WINDOWS_AT_ONCE or somewhat more at a time."""
+def _windows_together(batches: Iterator[pa.RecordBatch], words: int, part) -> Iterator[np.ndarray]:
+    """``part`` of the windows of the texts in ``batches``, sorted, once for each text that has them, WINDOWS_AT_ONCE or somewhat more at a time."""
     held, size = [], 0
     for batch in in_slices(batches):
-        sets = [np.unique(window_hashes(t, words)) for t in batch.column(0).to_pylist()]
-        held.append(np.concatenate(sets))
+        windows = np.concatenate([np.unique(window_hashes(t, words)) for t in batch.column(0).to_pylist()])
+        windows.sort()
+        held.append(part(windows))
         size += len(held[-1])
         if size >= WINDOWS_AT_ONCE:
-            yield np.sort(np.concatenate(held))
-            held, size = [], 0
+            together, held, size = np.concatenate(held), [], 0
+            together.sort()
+            yield together
     if size:
         yield np.sort(np.concatenate(held))
 
@@ -259,16 +261,19 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(x)))
 
 
+def _slots(windows: np.ndarray, bits: int) -> np.ndarray:
+    return (windows >> np.uint64(64 - bits)).astype(np.uint32)
+
+
 def _frequent_slots(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
     """Of each bucket the KEPT slots that most windows of ``texts`` fall in, sorted, and how many fall in one that is left out at most.
 
     A slot is the first SLOT_BITS of a window's hash. Slots with their counts travel by buckets, many in a row.
     """
-    width = SLOT_BITS - BUCKET_BITS
+    bits, width = SLOT_BITS, SLOT_BITS - BUCKET_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for windows in _windows_together(batches, words):
-            slot = (windows >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+        for slot in _windows_together(batches, words, lambda w: _slots(w, bits)):
             starts, n = _runs(slot)
             slot, n = slot[starts], n.astype(np.uint32)
             bucket, within = (slot >> np.uint32(width)).astype(np.int32), slot & np.uint32((1 << width) - 1)
@@ -298,15 +303,18 @@ def _frequent_slots(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
 def _counted_windows(texts: DataFrame, words: int, slots: np.ndarray | None) -> list[Row]:
     """The FREQUENT most frequent windows (key, n) that several ``texts`` have, of those in ``slots`` if it is given."""
 
+    bits = SLOT_BITS
+
+    def counted(windows: np.ndarray) -> np.ndarray:
+        if slots is None:
+            return windows
+        slot = _slots(windows, bits)
+        return windows[slots[np.minimum(np.searchsorted(slots, slot), len(slots) - 1)] == slot]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for windows in _windows_together(batches, words):
-            if slots is not None:
-                slot = (windows >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
-                at = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
-                windows = windows[slots[at] == slot]
-            if len(windows):
-                starts, n = _runs(windows)
-                yield pa.RecordBatch.from_arrays([pa.array(windows[starts].view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+        for windows in _windows_together(batches, words, counted):
+            starts, n = _runs(windows)
+            yield pa.RecordBatch.from_arrays([pa.array(windows[starts].view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     if slots is not None and not len(slots):
         return []
@@ -346,7 +354,7 @@ def _with_prefixes(docs: DataFrame, names: list[str], words: int, similarity: fl
         return windows[np.lexsort((windows, rank))[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             hashes = [window_hashes(t, words) for t in batch.column("text").to_pylist()]
             prints = np.array([_fingerprint_of(h)[0] for h in hashes], np.uint64).view(np.int64)
             sets = [np.unique(h) for h in hashes]
@@ -407,7 +415,7 @@ def _close(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     share = similarity / (1 + similarity)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             n = batch.column("n").to_numpy()
             most = n - 2 * np.ceil(share * n - 1e-9)
             sides = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
@@ -427,7 +435,7 @@ def _similar(texts: DataFrame, pairs: DataFrame, words: int, similarity: float)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [np.unique(window_hashes(t, words)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "windows"])
 
@@ -435,7 +443,7 @@ def _similar(texts: DataFrame, pairs: DataFrame, words: int, similarity: float)
     sets = cut_lineage(map_batches(likely.select("node", "text"), read, "node bigint, windows binary"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             good = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
